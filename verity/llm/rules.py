@@ -49,7 +49,8 @@ def ratio_table(grams: DataFrame, buckets: int, smoothing: float) -> DataFrame:
     ``grams`` has (_grams, _target), a row for each document. Counts are summed before the shuffle, so a task sends
     a row for each bucket at most, and the array has ``buckets`` numbers whatever the corpus.
     """
-    counted = grams.select(F.explode("_grams").alias("b"), "_target").groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.sum("_target").alias("target"))
+    # The outer form, as the other infers a filter on the array, and so makes the array twice, word by word.
+    counted = grams.select(F.explode_outer("_grams").alias("b"), "_target").where("b IS NOT NULL").groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.sum("_target").alias("target"))
     every = grams.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b")).join(counted, "b", "left").fillna(0)
     one = every.agg(F.sum("raw").alias("raws"), F.sum("target").alias("targets"), F.array_sort(F.collect_list(F.struct("b", "raw", "target"))).alias("all"))
     share = lambda n, total: (n + smoothing) / (total + smoothing * buckets)

@@ -99,7 +99,8 @@ def scan(versions: DataFrame, id_col: str, text_col: str, rules: list[SecretRule
     texts = versions.select(F.col(id_col).alias("_id"), blob_of(text).alias("_blob"), text.alias("_text"))
     todo = texts.join(one, texts["_id"].eqNullSafe(one["_id"]) & (F.col("_blob") == F.col("blob"))).select("blob", "_text", "_todo")
     scanned = [F.when(F.array_contains("_todo", r.key), F.struct(F.lit(r.key).alias("rule"), _find(F.col("_text"), r, k).alias("findings"))) for k, r in enumerate(rules)]
-    fresh = todo.select("blob", F.explode(F.array_compact(F.array(*scanned))).alias("e")).select("blob", "e.rule", "e.findings")
+    # The outer form: the other infers a filter on the array, and would scan each text for that too.
+    fresh = todo.select("blob", F.explode_outer(F.array(*scanned)).alias("e")).where("e IS NOT NULL").select("blob", "e.rule", "e.findings")
     return fresh.groupBy("blob", "rule").agg(F.first("findings").alias("findings")), ids  # repeated rows are one
 
 

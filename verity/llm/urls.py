@@ -100,7 +100,7 @@ def match_rules(tokens: DataFrame, rules: DataFrame) -> DataFrame:
     rest of the rule is checked against the row's own tokens.
     """
     needed = rules.select(F.explode("antecedent").alias("_t")).distinct()
-    postings = tokens.select("_id", "_tokens", F.explode("_tokens").alias("_t")).join(needed, "_t")
+    postings = tokens.select("_id", "_tokens", F.explode_outer("_tokens").alias("_t")).where("_t IS NOT NULL").join(needed, "_t")
     counts = postings.groupBy("_t").agg(F.count(F.lit(1)).alias("_n"))
     ranked = rules.select("antecedent", F.explode("antecedent").alias("_t")).join(counts, "_t")
     index = ranked.groupBy("antecedent").agg(F.min_by("_t", F.struct("_n", "_t")).alias("_t"))
