@@ -65,7 +65,7 @@ def judge_quality(
     trusted_rows: int = 200_000,
     buckets: int = 1 << 14,
     smoothing: float = 20.0,
-    threshold: float = -0.2,
+    threshold: float = -0.04,
 ) -> DataFrame:
     """Keep or drop every document by counted rules and by the mean log-likelihood ratio of its n-grams.
 
