@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verity.llm import boosting, rules, secrets, sentencepieces, sharding, urls
+from verity.llm import boosting, neardup, rules, secrets, sentencepieces, sharding, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op6_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boosting.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op5_quality_rules, op6_boosted_quality, op8_hash_tree, op9_secret_ledger, op10_url_rules)}
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.join_similar(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op5_quality_rules, op6_boosted_quality, op7_jaccard_join, op8_hash_tree, op9_secret_ledger, op10_url_rules)}
 
 ORACLE_SQL: dict[str, str] = {}
