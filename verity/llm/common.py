@@ -41,6 +41,10 @@ def powers(base: int, n: int) -> np.ndarray:
     return out
 
 
+#: Bytes that end a word: white space; or all ASCII but letters and digits.
+BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
+NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
 _FORWARD, _BACKWARD = powers(BASE, _STEP), powers(INVERSE, _STEP)
 
 
@@ -65,8 +69,10 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0] if len(column) else np.zeros(1, np.int64)
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of each row: 64-bit hash, start, end, and the rows' offsets into the words.
+def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = True, apart: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each row: 64-bit hash, start, end, and the rows' offsets into the words.
+
+    A word is a longest run of bytes for which ``apart`` is false; by default ``[^\\x20\\x09-\\x0D]+``.
 
     The hash is a polynomial over the bytes, taken from prefix sums, so a whole batch needs a few numpy passes.
     With ``lower`` the letters A-Z count as a-z.
@@ -77,7 +83,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple
         return np.zeros(0, np.uint64), z, z, np.zeros(len(offsets), np.int64)
     inside = np.ones(n + 2, bool)
     inside[0] = inside[-1] = False
-    inside[1:-1] = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    inside[1:-1] = ~apart[data]
     first = np.zeros(n + 1, bool)
     first[offsets[1:-1]] = True  # a row's start ends the word before it
     begins = np.flatnonzero(inside[1:] & (~inside[:-1] | first))
@@ -97,7 +103,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple
     return hashes, begins, ends, np.searchsorted(begins, offsets)
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int = 16 << 20):
+def pieces(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
     """Slices of a batch whose texts hold about ``limit`` bytes at most (one longer text is a slice of its own)."""
     lengths = utf8(batch.column(column))[1]
     start = 0
