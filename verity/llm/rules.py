@@ -37,7 +37,7 @@ def with_statistics(df: DataFrame, text_col: str, words_col: str) -> DataFrame:
 
 
 def gram_buckets(words: Column, buckets: int) -> Column:
-    """Buckets of the single words and the pairs of neighbours, A-Z in lower case."""
+    """Buckets of the single words and the pairs of neighbours."""
     one = F.transform(words, lambda x: F.pmod(F.xxhash64(x), F.lit(buckets)).cast("int"))
     two = F.transform(F.sequence(F.lit(0), F.size(words) - 2), lambda i: F.pmod(F.xxhash64(words[i], words[i + 1]), F.lit(buckets)).cast("int"))
     return F.concat(one, F.when(F.size(words) >= 2, two).otherwise(F.array().cast("array<int>")))
@@ -82,13 +82,13 @@ def judge_quality(
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     ids = trusted.select(F.col(id_col).alias("_id")).where(F.col("_id").isNotNull()).distinct()
     ids = ids.orderBy(F.xxhash64("_id"), "_id").limit(trusted_rows).select("_id", F.lit(1).alias("_target"))
-    lowered = words_of(F.lower("_text"))
-    counted = rows.join(F.broadcast(ids), "_id", "left").select(F.coalesce("_target", F.lit(0)).alias("_target"), lowered.alias("_words"))
+    words = words_of(F.col("_text"))
+    counted = rows.join(F.broadcast(ids), "_id", "left").select(F.coalesce("_target", F.lit(0)).alias("_target"), words.alias("_words"))
     counted = counted.select("_target", gram_buckets(F.col("_words"), buckets).alias("_grams"))
     ratios = ratio_table(counted, buckets, smoothing).scalar()
 
-    out = rows.withColumns({"_words": words_of(F.col("_text")), "_lowered": lowered})
-    out = with_statistics(out, "_text", "_words").withColumn("_grams", gram_buckets(F.col("_lowered"), buckets))
+    out = rows.withColumn("_words", words)
+    out = with_statistics(out, "_text", "_words").withColumn("_grams", gram_buckets(F.col("_words"), buckets))
     total = F.aggregate("_grams", F.lit(0.0), lambda a, b: a + F.get(F.col("_ratios"), b))
     out = out.withColumn("_ratios", ratios).withColumn("llr", F.when(F.size("_grams") > 0, total / F.size("_grams")).otherwise(0.0))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
