@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verity.llm import boosting, decontamination, maxent, neardup, rules, secrets, sentencepieces, sharding, urls
+from verity.llm import boosting, decontamination, maxent, neardup, rules, secrets, sentencepieces, sharding, surrogates, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,10 @@ def op4_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.score_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_latent_decontamination, op4_maxent_scores, op5_quality_rules, op6_boosted_quality, op7_jaccard_join, op8_hash_tree, op9_secret_ledger, op10_url_rules)}
+def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.pseudonymise(_table(spark, sf_dir, "documents"), "corpus")
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_surrogates, op3_latent_decontamination, op4_maxent_scores, op5_quality_rules, op6_boosted_quality, op7_jaccard_join, op8_hash_tree, op9_secret_ledger, op10_url_rules)}
 
 ORACLE_SQL: dict[str, str] = {}
