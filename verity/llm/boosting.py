@@ -244,3 +244,15 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     share of label 1, smoothed.
     """
     return score_documents(docs, train(docs, labels, id_col, text_col), id_col, text_col, threshold)
+
+
+def keep_good(docs: DataFrame, model: Trees, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores ``threshold`` or more. One pass, no shuffle."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, text_col):
+                yield part.filter(pa.array(sent.value.score(statistics(*utf8(part.column(text_col)))) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -281,3 +281,13 @@ def join_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     least = known.groupBy("_class").agg(F.min("_rep").alias("class_id"))
     known = known.join(least, "_class").select("_key", "class_id", "n_links")
     return docs.select("_id", "_key").join(known, "_key").select(F.col("_id").alias(id_col), "class_id", "n_links")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings | None = None) -> DataFrame:
+    """The rows of ``df``, all columns, with one of each class: the one of least id, once if it is repeated."""
+    seen = join_similar(df, id_col, text_col, settings)
+    gone = cut(seen.where(~F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("_gone")).distinct())
+    twice = cut(seen.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col(id_col).alias("_twice")))
+    kept = df.join(gone, df[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    repeated = kept.join(twice, kept[id_col].eqNullSafe(twice["_twice"]), "left_semi").dropDuplicates([id_col])
+    return kept.join(twice, kept[id_col].eqNullSafe(twice["_twice"]), "left_anti").unionByName(repeated)

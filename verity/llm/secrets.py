@@ -107,7 +107,7 @@ def scan(versions: DataFrame, id_col: str, text_col: str, rules: list[SecretRule
 def scan_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[SecretRule] | None = None, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Findings of every row, and the ledger entries that are new.
 
-    Returns (rows, entries): rows has id_col and ``findings`` (start, rank, kind, end; by start, then kind as
+    Returns (rows, entries): rows has id_col, blob and ``findings`` (start, rank, kind, end; by start, then kind as
     listed; code points), a row for each row; entries (blob, rule, findings) are written to the shared folder and
     are to be appended to the ledger. Null text counts as empty. Findings are joined back to every row of a blob.
     """
@@ -118,8 +118,33 @@ def scan_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hits = known.where(F.size("findings") > 0).groupBy("blob").agg(F.collect_set("findings").alias("_all"))
     hits = hits.select("blob", F.array_sort(F.array_distinct(F.flatten("_all"))).alias("findings"))
     rows = ids.join(hits, "blob", "left")
-    return rows.select(F.col("_id").alias(id_col), F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings")), entries
+    return rows.select(F.col("_id").alias(id_col), "blob", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings")), entries
 
 
 def spans_text(findings: Column) -> Column:
     return F.array_join(F.transform(findings, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+
+def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, rules: list[SecretRule] | None = None) -> DataFrame:
+    """The rows of ``df``, all columns, with each secret replaced by its kind in brackets.
+
+    Spans that overlap are one, named by the first. Texts without secrets are as they were; those with some also get
+    their new length in ``length_col``.
+    """
+    found, _ = scan_documents(df, id_col, text_col, rules)
+    found = cut(found.where(F.size("findings") > 0).select(F.col(id_col).alias("_id"), F.col("blob").alias("_blob"), "findings").distinct().withColumnRenamed("findings", "_findings"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = df.withColumn("_own", blob_of(F.col(text_col))).join(found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_blob")), "left")
+
+    def step(state: Column, x: Column) -> Column:
+        fresh = x["start"] >= state["at"]
+        named = F.concat(state["out"], F.substring(text, state["at"] + 1, x["start"] - state["at"]), F.lit("["), x["kind"], F.lit("]"))
+        return F.struct(F.greatest(state["at"], x["end"]).alias("at"), F.when(fresh, named).otherwise(state["out"]).alias("out"))
+
+    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    clean = F.aggregate("_findings", first, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    hit = F.col("_findings").isNotNull()
+    out = {text_col: F.when(hit, clean).otherwise(F.col(text_col))}
+    if length_col:
+        out[length_col] = F.when(hit, F.length(clean).cast("long")).otherwise(F.col(length_col))
+    return rows.select(*(out[c].alias(c) if c in out else F.col(c) for c in df.columns))
