@@ -103,7 +103,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = True, apart: n
     return hashes, begins, ends, np.searchsorted(begins, offsets)
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
+def pieces(batch: pa.RecordBatch, column: str, limit: int = 1 << 20):
     """Slices of a batch whose texts hold about ``limit`` bytes at most (one longer text is a slice of its own)."""
     lengths = utf8(batch.column(column))[1]
     start = 0
