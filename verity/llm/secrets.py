@@ -132,9 +132,9 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     their new length in ``length_col``.
     """
     found, _ = scan_documents(df, id_col, text_col, rules)
-    found = cut(found.where(F.size("findings") > 0).select(F.col(id_col).alias("_id"), F.col("blob").alias("_blob"), "findings").distinct().withColumnRenamed("findings", "_findings"))
+    found = cut(found.where(F.size("findings") > 0).select(F.col(id_col).alias("__id"), F.col("blob").alias("__blob"), "findings").distinct().withColumnRenamed("findings", "__findings"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.withColumn("_own", blob_of(F.col(text_col))).join(found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_blob")), "left")
+    rows = df.withColumn("__own", blob_of(F.col(text_col))).join(found, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__blob")), "left")
 
     def step(state: Column, x: Column) -> Column:
         fresh = x["start"] >= state["at"]
@@ -142,8 +142,8 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
         return F.struct(F.greatest(state["at"], x["end"]).alias("at"), F.when(fresh, named).otherwise(state["out"]).alias("out"))
 
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("_findings", first, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    hit = F.col("_findings").isNotNull()
+    clean = F.aggregate("__findings", first, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    hit = F.col("__findings").isNotNull()
     out = {text_col: F.when(hit, clean).otherwise(F.col(text_col))}
     if length_col:
         out[length_col] = F.when(hit, F.length(clean).cast("long")).otherwise(F.col(length_col))
