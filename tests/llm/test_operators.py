@@ -134,6 +134,17 @@ def test_op3_finds_copies_and_paraphrases(spark, corpus):
     assert {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(table(spark, docs), bench, settings=small).collect()} == found
 
 
+def test_op3_finds_an_item_in_a_third_of_the_documents(spark):
+    rng = random.Random(12)
+    pool = ["".join(rng.choice("klmnopqrst") for _ in range(rng.randint(4, 8))) for _ in range(300)]
+    hosts = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(4, 8))) for _ in range(400)]
+    items = [(k, words(rng, 40, pool)) for k in range(5)]
+    docs = [(k, f"{words(rng, 70, hosts)} {items[0][1]} {words(rng, 70, hosts)}" if k % 3 == 0 else words(rng, 180, hosts)) for k in range(150)]
+    docs += [(1000 + k, f"{words(rng, 50, hosts)} {items[k][1]}") for k in range(1, 5)]
+    found = decontamination.find_leaks(table(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(k, 0) for k in range(0, 150, 3)} | {(1000 + k, k) for k in range(1, 5)}
+
+
 def test_op3_common_subsequence():
     rng = random.Random(2)
 

@@ -29,8 +29,8 @@ class Settings:
     rank: int = 64
     hop: int = 16
     cosine: float = 0.6
-    #: Words in more than this share of the documents (and in more than 20) are stop words.
-    common: float = 0.05
+    #: Weight of a word that is in all documents.
+    least: float = 0.1
     shared: float = 0.35
     overlap: float = 0.6
     answer: float = 0.5
@@ -104,9 +104,10 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def word_weights(docs: DataFrame, items: DataFrame, settings: Settings) -> np.ndarray:
-    """Inverse document frequency of the buckets that items use, over all documents; 0 for others and stop words.
+    """Inverse document frequency of the buckets that items use, over all documents; 0 for others.
 
-    Tasks send a count for each such bucket at most; the result has ``buckets`` numbers.
+    Every word of an item has a positive weight, however many documents have it: the frequency counts the leaks too,
+    so a cut would hide an item that many documents hold. Tasks send a count for each such bucket at most; the result has ``buckets`` numbers.
     """
 
     def used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,9 +134,9 @@ def word_weights(docs: DataFrame, items: DataFrame, settings: Settings) -> np.nd
     weights = np.zeros(settings.buckets)
     frequency = {r["b"]: r["n"] for r in docs.select("_text").mapInArrow(count, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).collect()}
     total = frequency.pop(-1, 0)
-    weights[known] = np.log(1.0 + total) + 1.0
+    weights[known] = np.log(1.0 + total) + settings.least
     for b, n in frequency.items():
-        weights[b] = 0.0 if n > max(20, settings.common * total) else np.log((1.0 + total) / (1.0 + n)) + 1.0
+        weights[b] = np.log((1.0 + total) / (1.0 + n)) + settings.least
     return weights.astype(np.float32)
 
 
