@@ -238,6 +238,14 @@ def test_op5_statistics_and_ratio(spark, corpus):
     assert rules.judge_quality(table(spark, docs), trusted.where("false")).where("base_failed = kept").count() == 0
 
 
+def test_op5_counts_every_trusted_document(spark, corpus):
+    docs = table(spark, [(i, t) for i, t in corpus if i is not None and i < 60])
+    many = spark.range(400_000).select(F.col("id").alias("doc_id")).where("doc_id % 2 = 0 OR doc_id >= 60")
+    few = many.where("doc_id < 60")
+    got, want = ({r["doc_id"]: r["llr"] for r in rules.judge_quality(docs, t, buckets=64, smoothing=2.0).collect()} for t in (many, few))
+    assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-9, abs_tol=1e-12) for i in want)
+
+
 def test_op6_learns_and_flat_trees(spark, corpus):
     rng = random.Random(3)
     docs = [(k, words(rng, 60, ["alpha", "beta", "gamma"])) for k in range(150)] + [(500 + k, words(rng, 60, ["###$$", "!!%%", "q**"])) for k in range(150)]

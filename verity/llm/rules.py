@@ -62,16 +62,15 @@ def judge_quality(
     trusted: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    trusted_rows: int = 200_000,
     buckets: int = 1 << 14,
     smoothing: float = 20.0,
     threshold: float = -0.04,
 ) -> DataFrame:
     """Keep or drop every document by counted rules and by the mean log-likelihood ratio of its n-grams.
 
-    ``trusted`` has the ids of trusted documents. At most ``trusted_rows`` of them (those of least hash) make up the
-    target multinomial, so the ids that are broadcast are bounded; the raw multinomial counts all documents. A
-    document's score is the sum over its hashed words and word pairs of log(p_target / p_raw), over their number;
+    ``trusted`` has the ids of trusted documents. All of them make up the target multinomial, and all documents the
+    raw one: ids and texts meet in a shuffle join, so nothing but the table of buckets is broadcast. A document's
+    score is the sum over its hashed words and word pairs of log(p_target / p_raw), over their number;
     it is kept if the score is at least ``threshold`` and no counted rule drops it.
 
     Returns id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, llr. Null text
@@ -80,10 +79,11 @@ def judge_quality(
     score. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    ids = trusted.select(F.col(id_col).alias("_id")).where(F.col("_id").isNotNull()).distinct()
-    ids = ids.orderBy(F.xxhash64("_id"), "_id").limit(trusted_rows).select("_id", F.lit(1).alias("_target"))
+    ids = trusted.select(F.col(id_col).alias("_id")).where(F.col("_id").isNotNull()).distinct().withColumn("_target", F.lit(1))
     words = words_of(F.col("_text"))
-    counted = rows.join(F.broadcast(ids), "_id", "left").select(F.coalesce("_target", F.lit(0)).alias("_target"), words.alias("_words"))
+    # Rows with a null id match nothing, and would all meet in one task.
+    known = rows.where("_id IS NOT NULL").join(ids.hint("merge"), "_id", "left").select(F.coalesce("_target", F.lit(0)).alias("_target"), "_text")
+    counted = known.unionByName(rows.where("_id IS NULL").select(F.lit(0).alias("_target"), "_text")).select("_target", words.alias("_words"))
     counted = counted.select("_target", gram_buckets(F.col("_words"), buckets).alias("_grams"))
     ratios = ratio_table(counted, buckets, smoothing).scalar()
 
