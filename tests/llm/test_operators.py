@@ -314,6 +314,19 @@ def test_op7_equals_all_pairs(spark, corpus):
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == sorted({c for _, _, c, _ in want}) and kept.columns == table(spark, docs).columns
 
 
+def test_stages_tell_rows_apart_by_id_and_text(spark):
+    rng = random.Random(8)
+    pool = [f"w{k}" for k in range(400)]
+    a, b, c, d, e, item = (words(rng, 60, pool) for _ in range(6))
+    rows = [(None, a), (None, b), (None, c), (1, c), (2, d), (2, e), (3, e), (2, d), (None, a)]
+    kept = neardup.keep_one(table(spark, rows))
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(None, a), (None, b), (1, c), (2, d), (2, e)])
+    assert kept.columns == table(spark, rows).columns
+    rows = [(None, a), (None, f"{b} {item}"), (5, c), (5, f"{d} {item}"), (5, c), (6, None), (6, item)]
+    kept = decontamination.drop_leaks(table(spark, rows), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(None, a), (5, c), (5, c), (6, None)])
+
+
 def test_op7_posterior_bounds():
     for n, least in neardup.least_matches(neardup.Settings()):
         tail = lambda m, n=n: sum(math.comb(n + 1, k) * 0.8**k * 0.2 ** (n + 1 - k) for k in range(m + 1))

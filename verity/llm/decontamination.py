@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -236,24 +237,29 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     Null and empty texts or items match nothing. Repeated rows and equal ids give a pair once, at its best. Null
     item ids are items like others. Empty tables give no rows.
     """
-    settings = settings or Settings()
+    best = _leaks(df, benchmark, id_col, text_col, item_id, item_text, settings or Settings())
+    best = best.groupBy("_id", "_item").agg(F.max("cosine").alias("cosine"), F.max("overlap").alias("overlap"))
+    return best.select(F.col("_id").alias(id_col), F.col("_item").alias(item_id), "cosine", "overlap")
+
+
+def _leaks(df: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_id: str, item_text: str, settings: Settings) -> DataFrame:
+    """The pairs found, with the text's MD5: _id, _item, cosine, overlap, _key."""
     spark = df.sparkSession
     docs = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     items = cut(benchmark.select(F.col(item_id).alias("_item"), F.col(item_text).alias("_text")).withColumn("_at", F.monotonically_increasing_id()))
     weights = word_weights(docs, items, settings)
     basis = latent_basis(items, weights, settings) * weights[:, None]
     model = spark.sparkContext.broadcast((basis, weights))
-    schema = T.StructType([docs.schema["_id"], items.schema["_item"], T.StructField("cosine", T.DoubleType()), T.StructField("overlap", T.DoubleType())])
+    schema = T.StructType([docs.schema["_id"], items.schema["_item"], T.StructField("cosine", T.DoubleType()), T.StructField("overlap", T.DoubleType()), T.StructField("_key", T.BinaryType())])
     out = spark.createDataFrame([], schema)
     if not basis.shape[1]:
-        return out.toDF(id_col, item_id, "cosine", "overlap")
+        return out
 
     blocks = -(-items.count() // settings.block)
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("_at"), F.lit(blocks)) == k)
         out = out.unionByName(_search(docs, block.collect(), model, settings, schema))
-    best = out.groupBy("_id", "_item").agg(F.max("cosine").alias("cosine"), F.max("overlap").alias("overlap"))
-    return best.select(F.col("_id").alias(id_col), F.col("_item").alias(item_id), "cosine", "overlap")
+    return out
 
 
 def _search(docs: DataFrame, block: list, model, settings: Settings, schema: T.StructType) -> DataFrame:
@@ -309,13 +315,17 @@ def _search(docs: DataFrame, block: list, model, settings: Settings, schema: T.S
                             found[doc, item] = [cosine, share]
                 if found:
                     docs_at, items_at = zip(*found, strict=True)
-                    columns = [ids.take(pa.array(docs_at)), pa.array([names[k] for k in items_at], kind), pa.array([v[0] for v in found.values()]), pa.array([v[1] for v in found.values()])]
-                    yield pa.RecordBatch.from_arrays(columns, names=["_id", "_item", "cosine", "overlap"])
+                    texts = part.column("_text").cast(pa.large_string()).cast(pa.large_binary()).take(pa.array(docs_at))
+                    keys = pa.array([hashlib.md5(t).digest() for t in texts.to_pylist()], pa.binary())
+                    columns = [ids.take(pa.array(docs_at)), pa.array([names[k] for k in items_at], kind), pa.array([v[0] for v in found.values()]), pa.array([v[1] for v in found.values()]), keys]
+                    yield pa.RecordBatch.from_arrays(columns, names=["_id", "_item", "cosine", "overlap", "_key"])
 
     return docs.mapInArrow(run, schema)
 
 
-def drop_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``df``, all columns, without those that hold a benchmark item."""
-    leaks = cut(find_leaks(df, benchmark, id_col, **options).select(F.col(id_col).alias("_leak")).distinct())
-    return df.join(leaks, df[id_col].eqNullSafe(leaks["_leak"]), "left_anti")
+def drop_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", settings: Settings | None = None) -> DataFrame:
+    """The rows of ``df``, all columns, without those that hold a benchmark item, told apart by id and text."""
+    leaks = _leaks(df, benchmark, id_col, text_col, item_id, item_text, settings or Settings())
+    leaks = cut(leaks.select(F.col("_id").alias("__id"), F.col("_key").alias("__key")).distinct())
+    rows = df.withColumn("__own", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
+    return rows.join(leaks, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")), "left_anti").drop("__own")

@@ -269,7 +269,14 @@ def join_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts without words are linked to equal ones only. A text of fewer than five words is one window. Rows with
     equal ids are separate rows; null ids are least only where a class has no other. An empty table gives none.
     """
-    settings = settings or Settings()
+    docs, known = _classed(df, id_col, text_col, settings or Settings())
+    least = known.groupBy("_class").agg(F.min("_rep").alias("class_id"))
+    known = known.join(least, "_class").select("_key", "class_id", "n_links")
+    return docs.select("_id", "_key").join(known, "_key").select(F.col("_id").alias(id_col), "class_id", "n_links")
+
+
+def _classed(df: DataFrame, id_col: str, text_col: str, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """The rows (_id, _key, _text), and a row for each distinct text: _key, _rep (least id), n_links, _class."""
     docs = df.select(F.col(id_col).alias("_id"), text_key(F.col(text_col)).alias("_key"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     nodes = _nodes(docs, settings)
     groups = components(_candidates(nodes, settings))
@@ -277,17 +284,24 @@ def join_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = components(found.select(F.col("_node").alias("u"), F.col("_root").alias("v")))
     links = found.groupBy("_node").agg(F.sum("_links").alias("_links"))
     known = nodes.select("_key", "_rep", "_copies", "_node").join(links, "_node", "left").join(classes.withColumnRenamed("node", "_node"), "_node", "left")
-    known = known.select("_key", "_rep", (F.coalesce("_links", F.lit(0)) + F.col("_copies") - 1).alias("n_links"), F.coalesce("root", "_node").alias("_class"))
-    least = known.groupBy("_class").agg(F.min("_rep").alias("class_id"))
-    known = known.join(least, "_class").select("_key", "class_id", "n_links")
-    return docs.select("_id", "_key").join(known, "_key").select(F.col("_id").alias(id_col), "class_id", "n_links")
+    return docs, known.select("_key", "_rep", (F.coalesce("_links", F.lit(0)) + F.col("_copies") - 1).alias("n_links"), F.coalesce("root", "_node").alias("_class"))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings | None = None) -> DataFrame:
-    """The rows of ``df``, all columns, with one of each class: the one of least id, once if it is repeated."""
-    seen = join_similar(df, id_col, text_col, settings)
-    gone = cut(seen.where(~F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("_gone")).distinct())
-    twice = cut(seen.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col(id_col).alias("_twice")))
-    kept = df.join(gone, df[id_col].eqNullSafe(gone["_gone"]), "left_anti")
-    repeated = kept.join(twice, kept[id_col].eqNullSafe(twice["_twice"]), "left_semi").dropDuplicates([id_col])
-    return kept.join(twice, kept[id_col].eqNullSafe(twice["_twice"]), "left_anti").unionByName(repeated)
+    """The rows of ``df``, all columns, with one of each class: the one of least id, once if it is repeated.
+
+    Rows are told apart by id and text, so those with null or equal ids and different texts stand for themselves.
+    """
+    docs, known = _classed(df, id_col, text_col, settings or Settings())
+    known = cut(known.select("_key", "_rep", "_class"))
+    # Null ids come last; equal ids in a class are told apart by their texts.
+    best = known.groupBy("_class").agg(F.min(F.struct(F.col("_rep").isNull().alias("none"), F.col("_rep").alias("id"), F.col("_key").alias("key"))).alias("_best"))
+    seen = docs.select("_id", "_key").join(known.join(best, "_class").select("_key", "_best"), "_key")
+    stays = F.col("_id").eqNullSafe(F.col("_best.id")) & (F.col("_key") == F.col("_best.key"))
+    rows = cut(seen.groupBy("_id", "_key").agg(F.min(stays).alias("_stays"), F.count(F.lit(1)).alias("_n")).where("NOT _stays OR _n > 1"))
+    gone = rows.where("NOT _stays").select(F.col("_id").alias("__id"), F.col("_key").alias("__key"))
+    twice = rows.where("_stays").select(F.col("_id").alias("__id"), F.col("_key").alias("__key"))
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key"))
+    kept = df.withColumn("__own", text_key(F.col(text_col))).join(gone, same, "left_anti")
+    repeated = kept.join(twice, same, "left_semi").dropDuplicates([id_col, "__own"])
+    return kept.join(twice, same, "left_anti").unionByName(repeated).drop("__own")
