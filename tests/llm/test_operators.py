@@ -112,6 +112,20 @@ def test_op2_draws_again_on_collision(spark):
     assert len(set(made)) == len(made) == 6000
 
 
+def test_op2_names_are_distinct_as_printed(spark):
+    letters = "abcdefghij"
+    last = ["Q" + "".join(letters[k // 10**p % 10] for p in range(4)) for k in range(3000)]
+    rows = [(k, f"saw Mr {x} today") for k, x in enumerate(last)] + [(5000 + k, f"saw Mr {g} Qaaaa today") for k, g in enumerate(["John", "Paul", *(f"Z{c}{d}x" for c in letters for d in "abc")])]
+    rows += [(6000, "Dr Anna Qbaaa"), (6001, "Mrs Anna Qbaaa"), (6002, "Mrs Qbaaa"), (6003, "Dr Kim Qcaaa and Mr Kim Qcaaa and Mrs Kim Qcaaa")]
+    got = {r["doc_id"]: r["text"] for r in surrogates.pseudonymise(table(spark, rows), "k").collect()}
+    short = [got[k].split()[2] for k in range(3000)]
+    assert len(set(short)) == 3000 and not set(short) & set(last)
+    full = [got[5000 + k].split()[2:4] for k in range(32)]
+    assert {s for _, s in full} == {short[0]} and len({g for g, _ in full}) == 32
+    assert got[6000].split()[1:] == got[6001].split()[1:] and got[6002].split()[1] == got[6001].split()[2] == short[1]
+    assert len(set(re.findall(r"(\w+) \w+(?: and|$)", got[6003]))) == 3
+
+
 def test_op3_finds_copies_and_paraphrases(spark, corpus):
     rng = random.Random(9)
     pool = ["".join(rng.choice("klmnopqrst") for _ in range(rng.randint(3, 8))) for _ in range(300)]

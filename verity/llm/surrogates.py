@@ -67,7 +67,8 @@ def surrogate(kind: Column, entity: Column, draws: Column, attempt: Column) -> C
     """The normal form of a replacement of the same type: digits for digits, letters for letters of the same script.
 
     E-mail domains end in the reserved ``example``; IP addresses are private ones; social security numbers start
-    with the unissued 9; cards keep the first digit, IBANs the country; names keep gender and script.
+    with the unissued 9; cards keep the first digit, IBANs the country; names keep gender and script. Names are made in
+    parts: a surname, and a given name for ``gender:given surname``, with that surname behind it.
     """
     pick = lambda text, at: F.substring(F.lit(text), _number(draws, at, len(text)) + 1, F.lit(1))
     place = lambda i: F.pmod(i * 3, F.lit(250))
@@ -91,18 +92,18 @@ def surrogate(kind: Column, entity: Column, draws: Column, attempt: Column) -> C
     card, ssn = F.concat(F.substring(entity, 1, 1), F.substring(number, F.lit(2), F.length(entity))), F.concat(F.lit("9"), F.substring(number, F.lit(2), F.length(entity)))
     iban = F.concat(F.substring(entity, 1, 2), F.substring(number, F.lit(3), F.length(entity)))
     script, gender = F.when(F.rlike(entity, F.lit(r"\p{IsCyrillic}")), "cyrillic").otherwise("latin"), F.substring(entity, 1, 1)
-    name = None
-    for (s, g), given in GIVEN.items():
-        surname = _surname(draws, attempt, SYLLABLES[s])
-        one = F.concat(F.element_at(F.array(*map(F.lit, given)), _number(draws, 0, len(given)) + 1), F.lit(" "), surname)
-        name = F.when((script == s) & (gender == g), one) if name is None else name.when((script == s) & (gender == g), one)
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "ssn", ssn).when(kind == "iban", iban).when(kind == "person", F.concat(gender, F.lit(":"), name)).otherwise(number)
+    surname = F.when(script == "cyrillic", _syllables(draws, F.lit(3) + attempt, "cyrillic")).otherwise(_syllables(draws, F.lit(3) + attempt, "latin"))
+    given = None
+    for (s, g), bank in GIVEN.items():
+        one = F.concat(F.element_at(F.array(*map(F.lit, bank)), _number(draws, 0, len(bank)) + 1), _syllables(draws, attempt, s), F.lit(" "), F.substring_index(entity, " ", -1))
+        given = F.when((script == s) & (gender == g), one) if given is None else given.when((script == s) & (gender == g), one)
+    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "ssn", ssn).when(kind == "iban", iban).when(kind == "surname", surname).when(kind == "given", given).otherwise(number)
 
 
-def _surname(draws: Column, attempt: Column, syllables: list[str]) -> Column:
-    """Three syllables, and one more for each attempt, so that there are always more names to draw."""
-    bank = F.array(*map(F.lit, syllables))
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.lit(3) + F.least(attempt, F.lit(40))), lambda i: F.element_at(bank, _number(draws, i * 5, 16) + 1)), "")
+def _syllables(draws: Column, n: Column, script: str) -> Column:
+    """So many syllables, 43 at most: one more for each attempt, so that there are always more names to draw."""
+    bank = F.array(*map(F.lit, SYLLABLES[script]))
+    return F.array_join(F.transform(F.slice(F.sequence(F.lit(1), F.lit(43)), F.lit(1), F.least(n, F.lit(43))), lambda i: F.element_at(bank, _number(draws, i * 5, 16) + 1)), "")
 
 
 def formatted(kind: Column, mention: Column, made: Column) -> Column:
@@ -122,6 +123,29 @@ def formatted(kind: Column, mention: Column, made: Column) -> Column:
 def assign(entities: DataFrame, key: str) -> DataFrame:
     """(kind, entity, made): a surrogate for each distinct entity, no two of a kind the same and none a real entity.
 
+    A person's surname has one surrogate, whatever the title and with or without a given name, and distinct surnames
+    have distinct ones, so what is printed of a one-name mention is distinct too. Given names are distinct among
+    those of a surname. A title that tells no gender takes that of the one gender which the same name has elsewhere.
+    """
+    people = entities.where("kind = 'person'").select("entity", F.substring("entity", 1, 1).alias("_gender"), F.expr("substring(entity, 3)").alias("_name"))
+    people = people.withColumn("_surname", F.substring_index("_name", " ", -1))
+    full = people.where("_name <> _surname")
+    told = full.where("_gender <> 'n'").groupBy("_name").agg(F.min("_gender").alias("_least"), F.max("_gender").alias("_most")).where("_least = _most").select("_name", "_least")
+    full = full.join(told, "_name", "left").select("entity", F.concat(F.when(F.col("_gender") == "n", F.coalesce("_least", "_gender")).otherwise(F.col("_gender")), F.lit(":"), F.col("_name")).alias("_given"))
+    people = cut(people.join(full, "entity", "left").select("entity", "_gender", "_surname", "_given"))
+    parts = people.select(F.lit("surname").alias("kind"), F.col("_surname").alias("entity")).unionByName(people.where("_given IS NOT NULL").select(F.lit("given").alias("kind"), F.col("_given").alias("entity"))).distinct()
+    others = entities.where("kind <> 'person'").select("kind", "entity")
+    made = _distinct(others.unionByName(parts), key)
+    surnames = made.where("kind = 'surname'").select(F.col("entity").alias("_surname"), F.col("made").alias("_last"))
+    givens = made.where("kind = 'given'").select(F.col("entity").alias("_given"), F.concat(F.substring_index("made", " ", 1), F.lit(" ")).alias("_first"))
+    named = people.join(surnames, "_surname").join(givens, "_given", "left")
+    named = named.select(F.lit("person").alias("kind"), "entity", F.concat("_gender", F.lit(":"), F.coalesce("_first", F.lit("")), "_last").alias("made"))
+    return made.where("kind NOT IN ('surname', 'given')").unionByName(named)
+
+
+def _distinct(entities: DataFrame, key: str) -> DataFrame:
+    """(kind, entity, made) for entities that are replaced as they are.
+
     All entities draw; of those that drew one surrogate the least keeps it, and the others, and those that drew what
     is itself an entity, draw again. Each round is a window over equal surrogates and a join on them.
     """
