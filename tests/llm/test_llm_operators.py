@@ -304,7 +304,7 @@ def brute_classes(docs, threshold=0.8):
     for k, r in enumerate(root):
         i = docs[k][0]
         least[r] = i if least.get(r) is None else least[r] if i is None else min(least[r], i)
-    return sorted(((docs[k][0] is None, docs[k][0] or 0, least[root[k]] or 0, links[k]) for k in range(len(docs))))
+    return sorted(((docs[k][0] is None, docs[k][0] or 0, least[root[k]] is None, least[root[k]] or 0, links[k]) for k in range(len(docs))))
 
 
 def test_op7_equals_all_pairs(spark, corpus):
@@ -319,13 +319,28 @@ def test_op7_equals_all_pairs(spark, corpus):
         family.append((2000 + k, " ".join(w)))
     docs = [*corpus, *family, family[0]]
     want = brute_classes(docs)
-    for settings in (neardup.Settings(), neardup.Settings(block_texts=16)):
+    # blocks of 16 meet two by two; buckets of over 4 texts have edges to the first text only
+    for settings in (neardup.Settings(), neardup.Settings(block_texts=16), neardup.Settings(bucket=4, flags=8)):
         rows = neardup.join_similar(table(spark, docs), settings=settings).collect()
-        got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["class_id"] or 0, r["n_links"]) for r in rows)
+        got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["class_id"] is None, r["class_id"] or 0, r["n_links"]) for r in rows)
         assert got == want
     assert neardup.join_similar(table(spark, docs).where("false")).count() == 0
     kept = neardup.keep_one(table(spark, docs))
-    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == sorted({c for _, _, c, _ in want}) and kept.columns == table(spark, docs).columns
+    classes = sorted({(none, c) for _, _, none, c, _ in want})
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == classes and kept.columns == table(spark, docs).columns
+    assert neardup.keep_one(table(spark, docs).where("false")).count() == 0
+
+
+def test_op7_edges_span_what_the_posterior_leaves():
+    rng = np.random.default_rng(3)
+    settings = neardup.Settings()
+    base = rng.integers(0, 256, (5, settings.hashes), np.uint8)
+    sig = np.repeat(base, 30, axis=0)
+    noise = rng.random(sig.shape) < 0.1
+    sig[noise] = rng.integers(0, 256, noise.sum(), np.uint8)
+    i, j = neardup.linked(sig, settings)
+    assert len(i) == 145 and (i // 30 == j // 30).all() and len(set(neardup._roots(150, i, j))) == 5
+    assert [len(x) for x in neardup.linked(sig[:1], settings)] == [0, 0]
 
 
 def test_stages_tell_rows_apart_by_id_and_text(spark):
@@ -453,7 +468,7 @@ def test_pipeline_stages_chain(spark):
     out = {r["doc_id"]: r for r in corpus_pipeline.run(spark, base).collect()}
     left = docs.join(boosting.classify(docs, spark.read.parquet(f"{base}/labels.parquet")).where("predicted = 1"), "doc_id", "left_semi").select("doc_id", "text").collect()
     rows = [(r["doc_id"], r["text"]) for r in left]
-    firsts = {c for _, _, c, _ in brute_classes(rows)}
+    firsts = {c for _, _, _, c, _ in brute_classes(rows)}
     bench = [re.findall(r"\w+", r["text"].lower()) for r in spark.read.parquet(f"{base}/benchmark.parquet").collect()]
     for i, t in rows:
         w = " ".join(re.findall(r"\w+", t.lower()))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Odd base of the polynomial word hash, and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
@@ -16,10 +17,12 @@ _STEP = 1 << 16
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that all machines share: spark.checkpoint.dir. Only a local session may do without the setting."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="spark-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/verity-scratch"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
@@ -32,6 +35,54 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the folder of a table made by ``cut`` that nothing reads any more."""
+    jvm = df.sparkSession.sparkContext._jvm
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names made of ``names`` that ``df`` doesn't have in either case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def flag_words(keys: DataFrame, bits: int) -> DataFrame:
+    """(w, flags): 2**bits flags in words of 64, with the flag of each hash in the one column of ``keys`` set.
+
+    At most 2**bits / 64 rows, whatever the number of keys, and tasks send no more than that each.
+    """
+    place = F.col(keys.columns[0]).bitwiseAND((1 << bits) - 1)
+    placed = keys.select(place.alias("x")).select(F.shiftright("x", 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(x & 63 AS INT))").alias("f"))
+    return placed.groupBy("w").agg(F.bit_or("f").alias("flags"))
+
+
+def maybe_in(keys: DataFrame, bits: int = 24) -> Callable[[Column], Column]:
+    """A test of hashes: true for all in the one column of ``keys``, and for few others while those are below 2**bits.
+
+    It keeps rows that a join would drop anyway out of the join's shuffle. What is broadcast has a fixed size; more keys
+    only let more rows through, so the join after it decides.
+    """
+    words = keys.sparkSession.range(1 << (bits - 6)).select(F.col("id").cast("int").alias("w")).join(flag_words(keys, bits), "w", "left")
+    all_words = words.agg(F.sort_array(F.collect_list(F.struct("w", F.coalesce("flags", F.lit(0).cast("long")).alias("flags")))).alias("a")).select(F.transform("a", lambda x: x["flags"]).alias("a"))
+    table = all_words.scalar()
+    mask = (1 << bits) - 1
+
+    def test(h: Column) -> Column:
+        place = h.bitwiseAND(mask)
+        return F.bit_get(F.get(table, F.shiftright(place, 6).cast("int")), place.bitwiseAND(63).cast("int")) == 1
+
+    return test
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     out = np.full(n, base, dtype=np.uint64)

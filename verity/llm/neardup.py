@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verity.llm.common import BASE, cut, mix, pieces, powers, utf8, words_of
+from verity.llm.common import BASE, cut, discard, flag_words, fresh, maybe_in, mix, pieces, powers, utf8, words_of
 from verity.llm.components import components
 
 
@@ -21,7 +21,8 @@ class Settings:
     """``bands`` of ``rows`` MinHash values find candidates; ``step`` values at a time are compared to prune them.
 
     With the defaults, 32 bands of 5 find a pair of similarity 0.8 but for 3 in a million, and pruning loses a pair
-    of that similarity with a probability below ``tolerance`` at each of its ten looks.
+    of that similarity with a probability below ``tolerance`` at each of its ten looks. Bands are made of whole values;
+    the low eight bits of each are kept for the comparisons.
     """
 
     width: int = 5
@@ -33,6 +34,10 @@ class Settings:
     #: Most texts and shingles (on average) in a block; blocks of a large group are compared two by two.
     block_texts: int = 512
     block_shingles: int = 500_000
+    #: Most texts of a bucket whose pairs are compared; those of a larger one all get an edge to its first.
+    bucket: int = 4096
+    #: Bits of the flags that tell which bands occur twice.
+    flags: int = 26
     seed: int = 7
 
     @property
@@ -96,9 +101,10 @@ def least_matches(settings: Settings) -> list[tuple[int, int]]:
     """(values compared, matches below which a pair is dropped) after each step.
 
     With a uniform prior, m matches of n leave a Beta(m + 1, n - m + 1) posterior, whose mass at or above t is the
-    probability that a Binomial(n + 1, t) is at most m.
+    probability that a Binomial(n + 1, t) is at most m. Values that differ agree in their low eight bits once in 256,
+    so t is the probability of a match at the threshold.
     """
-    out, t = [], settings.threshold
+    out, t = [], settings.threshold + (1 - settings.threshold) / 256
     for n in range(settings.step, settings.hashes + 1, settings.step):
         mass, m = 0.0, -1
         while m < n and (mass := mass + math.comb(n + 1, m + 1) * t ** (m + 1) * (1 - t) ** (n - m)) < settings.tolerance:
@@ -166,36 +172,141 @@ def _roots(count: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _nodes(docs: DataFrame, settings: Settings) -> DataFrame:
-    """A row for each distinct text: _key, _rep (least id), _copies, _n, _sig and the number _node."""
+    """A row for each distinct text: _key, _rep (least id), _copies, _n, _sig, _bands and the number _node."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "_text"):
                 values, bounds = shingles(*utf8(part.column("_text")), settings.width)
                 table = signatures(values, bounds, settings)
-                columns = [part.column("_id"), part.column("_key"), pa.array(np.diff(bounds)), pa.array([r.tobytes() for r in table], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["_id", "_key", "_n", "_sig"])
+                bands = band_keys(table, settings)
+                columns = [part.column("_id"), part.column("_key"), pa.array(np.diff(bounds)), _rows(table.astype(np.uint8)), _rows(bands)]
+                yield pa.RecordBatch.from_arrays(columns, names=["_id", "_key", "_n", "_sig", "_bands"])
 
-    schema = T.StructType([docs.schema["_id"], docs.schema["_key"], T.StructField("_n", T.LongType()), T.StructField("_sig", T.BinaryType())])
+    schema = T.StructType([docs.schema["_id"], docs.schema["_key"], T.StructField("_n", T.LongType()), T.StructField("_sig", T.BinaryType()), T.StructField("_bands", T.BinaryType())])
     signed = docs.mapInArrow(sign, schema)
-    nodes = signed.groupBy("_key").agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_copies"), F.first("_n").alias("_n"), F.first("_sig").alias("_sig"))
+    nodes = signed.groupBy("_key").agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_copies"), *(F.first(c).alias(c) for c in ("_n", "_sig", "_bands")))
     return cut(nodes.withColumn("_node", F.monotonically_increasing_id()))
 
 
+def _rows(table: np.ndarray) -> pa.Array:
+    """The bytes of each row."""
+    width = table.shape[1] * table.itemsize
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(table), [None, pa.py_buffer(np.ascontiguousarray(table))]).cast(pa.binary())
+
+
+def _matrix(column: pa.Array, kind: type, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
+
+
+def linked(sig: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs that span what the posterior leaves of all pairs of a bucket.
+
+    From each text reached, only texts not yet reached are compared, so a bucket of copies takes one pass and a bucket
+    of unlike texts ends at the first look.
+    """
+    left, queue, ups, downs = np.arange(1, len(sig)), [0], [], []
+    looks = least_matches(settings)
+    while len(left):
+        if not queue:
+            queue.append(int(left[0]))
+            left = left[1:]
+            continue
+        x = queue.pop()
+        alive, count = left, np.zeros(len(left), np.int64)
+        for upto, least in looks:
+            count += (sig[alive, upto - settings.step : upto] == sig[x, upto - settings.step : upto]).sum(axis=1)
+            keep = count >= least
+            alive, count = alive[keep], count[keep]
+        if len(alive):
+            ups.append(np.full(len(alive), x))
+            downs.append(alive)
+            queue.extend(alive.tolist())
+            left = left[~np.isin(left, alive, assume_unique=True)]
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(ups), np.concatenate(downs)) if ups else (none, none)
+
+
 def _candidates(nodes: DataFrame, settings: Settings) -> DataFrame:
-    """Edges (u, v) from each node to the least node that shares a band with it: no pairs within a bucket."""
+    """Edges (u, v) that connect all pairs which share a band and whose posterior doesn't drop them.
+
+    Bands are counted first; only rows of bands that occur twice carry their signatures to the buckets. A bucket's
+    pairs are compared in its task and only edges that span what is left go out. In a bucket of more than
+    ``bucket`` texts each has an edge to the first instead, which connects all pairs and drops none; buckets with over
+    a thousandth of all band rows (1,000 at most) get those edges before any shuffle.
+    """
+    some = nodes.where("_n > 0").select("_node", "_sig", "_bands")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 1024):
                 part = batch.slice(k, 1024)
-                table = np.frombuffer(b"".join(part.column("_sig").to_pylist()), np.uint32).reshape(-1, settings.hashes)
-                node = np.repeat(part.column("_node").to_numpy(), settings.bands)
-                yield pa.RecordBatch.from_arrays([pa.array(band_keys(table, settings).reshape(-1)), pa.array(node)], names=["_band", "_node"])
+                keys = _matrix(part.column("_bands"), np.int64, settings.bands)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(part.column("_node").to_numpy(), settings.bands))], names=["_band", "_node"])
+
+    bands = some.select("_node", "_bands").mapInArrow(emit, "_band long, _node long")
+    shared = cut(bands.groupBy("_band").agg(F.min("_node").alias("_lead"), F.count(F.lit(1)).alias("_c")).where("_c > 1"))
+    total = shared.agg(F.coalesce(F.sum("_c"), F.lit(0))).first()[0]
+    hot = shared.where(F.col("_c") > max(settings.bucket, total // 1000)).select("_band", "_lead").toArrow()
+    hot_bands, leads = hot.column(0).to_numpy(), hot.column(1).to_numpy()
+    order = np.argsort(hot_bands)
+    hot_bands, leads = hot_bands[order], leads[order]
+    words = flag_words(shared.select("_band"), settings.flags).toArrow()
+    flags = np.zeros(1 << (settings.flags - 6), np.uint64)
+    flags[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
+    discard(shared)
+    sent = nodes.sparkSession.sparkContext.broadcast((flags, hot_bands, leads))
+
+    def shared_rows(batches: Iterator[pa.RecordBatch], hot: bool) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+        flags, hot_bands, _ = sent.value
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
+                keys = _matrix(part.column("_bands"), np.int64, settings.bands).reshape(-1)
+                place = keys.view(np.uint64) & np.uint64((1 << settings.flags) - 1)
+                set_ = (flags[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1)
+                at = np.flatnonzero((set_ == 1) & (np.isin(keys, hot_bands) == hot))
+                yield part, keys[at], at // settings.bands
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, keys, at in shared_rows(batches, False):
+            chosen = pa.array(at)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), part.column("_node").take(chosen), part.column("_sig").take(chosen)], names=["_band", "_node", "_sig"])
+
+    def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, hot_bands, leads = sent.value
+        for part, keys, at in shared_rows(batches, True):
+            yield pa.RecordBatch.from_arrays([part.column("_node").take(pa.array(at)), pa.array(leads[np.searchsorted(hot_bands, keys)])], names=["u", "v"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def edges(node: np.ndarray, sig: np.ndarray) -> pa.RecordBatch | None:
+            i, j = linked(sig, settings) if len(node) > 1 else (np.zeros(0, np.int64),) * 2
+            return pa.RecordBatch.from_arrays([pa.array(node[j]), pa.array(node[i])], names=["u", "v"]) if len(i) else None
+
+        band, nodes_, sigs, first = None, [], [], None  # ``first`` is set once the bucket is too large to compare
+        for batch in batches:
+            keys, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else []
+            for a, b in zip(starts, [*starts[1:], len(keys)], strict=True):
+                if keys[a] != band:
+                    if len(nodes_) and (out := edges(np.concatenate(nodes_), np.concatenate(sigs))) is not None:
+                        yield out
+                    band, nodes_, sigs, first = keys[a], [], [], None
+                if first is None:
+                    nodes_.append(node[a:b])
+                    sigs.append(_matrix(batch.column(2).slice(a, b - a), np.uint8, settings.hashes))
+                    if sum(map(len, nodes_)) > settings.bucket:
+                        first, mine, nodes_, sigs = nodes_[0][0], np.concatenate(nodes_), [], []
+                        yield pa.RecordBatch.from_arrays([pa.array(mine), pa.array(np.full(len(mine), first))], names=["u", "v"])
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array(node[a:b]), pa.array(np.full(b - a, first))], names=["u", "v"])
+        if len(nodes_) and (out := edges(np.concatenate(nodes_), np.concatenate(sigs))) is not None:
+            yield out
 
-    bands = nodes.where("_n > 0").select("_sig", "_node").mapInArrow(emit, "_band long, _node long")
-    leaders = bands.groupBy("_band").agg(F.min("_node").alias("v"), F.count(F.lit(1)).alias("_c")).where("_c > 1").select("_band", "v")
-    return bands.join(leaders, "_band").where("_node <> v").select(F.col("_node").alias("u"), "v")
+    found = some.mapInArrow(deal, "_band long, _node long, _sig binary").repartition("_band").sortWithinPartitions("_band", "_node").mapInArrow(compare, "u long, v long")
+    if len(hot_bands):
+        found = found.unionByName(some.mapInArrow(star, "u long, v long"))
+    return found.where("u <> v")
 
 
 def _links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, settings: Settings) -> DataFrame:
@@ -207,8 +318,10 @@ def _links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, settings: Setti
     members = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
     members = members.join(nodes.select(F.col("_node").alias("node"), "_key", "_rep", "_copies", "_n", "_sig"), "node")
     sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / settings.block_texts), F.ceil(F.sum("_n") / settings.block_shingles)).cast("int").alias("_blocks"))
-    members = members.join(sizes, "root")
-    text = docs.select(F.col("_id").alias("_of"), F.col("_key").alias("_k"), "_text")
+    members = cut(members.join(sizes, "root"))
+    # Only the rows that stand for a member, and few others, are shuffled with their texts.
+    wanted = maybe_in(members.select(F.xxhash64("_rep", "_key").alias("h")))
+    text = docs.where(wanted(F.xxhash64("_id", "_key"))).select(F.col("_id").alias("_of"), F.col("_key").alias("_k"), "_text")
     texts = text.join(members, (F.col("_k") == F.col("_key")) & F.col("_of").eqNullSafe(F.col("_rep")))
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +343,7 @@ def _links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, settings: Setti
         same = rows[0]["_i"] == rows[0]["_j"]
         left = [k for k, r in enumerate(rows) if r["_b"] == r["_i"]]
         right = left if same else [k for k, r in enumerate(rows) if r["_b"] == r["_j"]]
-        sig = np.frombuffer(b"".join(r["_sig"] for r in rows), np.uint32).reshape(-1, settings.hashes)
+        sig = np.frombuffer(b"".join(r["_sig"] for r in rows), np.uint8).reshape(-1, settings.hashes)
         i, j = similar_pairs(left, right, same, sig, [np.frombuffer(r["_set"], np.uint64) for r in rows], settings)
         if not len(i):
             return None
@@ -284,24 +397,30 @@ def _classed(df: DataFrame, id_col: str, text_col: str, settings: Settings) -> t
     classes = components(found.select(F.col("_node").alias("u"), F.col("_root").alias("v")))
     links = found.groupBy("_node").agg(F.sum("_links").alias("_links"))
     known = nodes.select("_key", "_rep", "_copies", "_node").join(links, "_node", "left").join(classes.withColumnRenamed("node", "_node"), "_node", "left")
-    return docs, known.select("_key", "_rep", (F.coalesce("_links", F.lit(0)) + F.col("_copies") - 1).alias("n_links"), F.coalesce("root", "_node").alias("_class"))
+    known = cut(known.select("_key", "_rep", (F.coalesce("_links", F.lit(0)) + F.col("_copies") - 1).alias("n_links"), F.coalesce("root", "_node").alias("_class")))
+    discard(nodes)
+    discard(found)
+    return docs, known
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings | None = None) -> DataFrame:
     """The rows of ``df``, all columns, with one of each class: the one of least id, once if it is repeated.
 
-    Rows are told apart by id and text, so those with null or equal ids and different texts stand for themselves.
+    Rows are told apart by id and text, so those with null or equal ids and different texts stand for themselves. Null
+    ids come last, and equal ids in a class are told apart by their texts. Null text counts as empty, so rows of null
+    and empty text are one class. Columns may have any names; an empty table gives none.
+
+    A row that no other is like is not shuffled with its columns: hashes of the rows to look at are tested first.
     """
     docs, known = _classed(df, id_col, text_col, settings or Settings())
-    known = cut(known.select("_key", "_rep", "_class"))
-    # Null ids come last; equal ids in a class are told apart by their texts.
     best = known.groupBy("_class").agg(F.min(F.struct(F.col("_rep").isNull().alias("none"), F.col("_rep").alias("id"), F.col("_key").alias("key"))).alias("_best"))
     seen = docs.select("_id", "_key").join(known.join(best, "_class").select("_key", "_best"), "_key")
     stays = F.col("_id").eqNullSafe(F.col("_best.id")) & (F.col("_key") == F.col("_best.key"))
     rows = cut(seen.groupBy("_id", "_key").agg(F.min(stays).alias("_stays"), F.count(F.lit(1)).alias("_n")).where("NOT _stays OR _n > 1"))
-    gone = rows.where("NOT _stays").select(F.col("_id").alias("__id"), F.col("_key").alias("__key"))
-    twice = rows.where("_stays").select(F.col("_id").alias("__id"), F.col("_key").alias("__key"))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key"))
-    kept = df.withColumn("__own", text_key(F.col(text_col))).join(gone, same, "left_anti")
-    repeated = kept.join(twice, same, "left_semi").dropDuplicates([id_col, "__own"])
-    return kept.join(twice, same, "left_anti").unionByName(repeated).drop("__own")
+    discard(known)
+    own, of, key, keep = fresh(df, "_own", "_of", "_its_key", "_keep")
+    looked = maybe_in(rows.select(F.xxhash64("_id", "_key").alias("h")))(F.xxhash64(F.col(id_col), text_key(F.col(text_col))))
+    marked = df.where(looked).withColumn(own, text_key(F.col(text_col)))
+    marked = marked.join(rows.select(F.col("_id").alias(of), F.col("_key").alias(key), F.col("_stays").alias(keep)), F.col(id_col).eqNullSafe(F.col(of)) & (F.col(own) == F.col(key)), "left")
+    once = marked.where(F.col(keep)).dropDuplicates([id_col, own])
+    return df.where(~looked).unionByName(marked.where(F.col(keep).isNull()).unionByName(once).drop(own, of, key, keep))
