@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -97,6 +98,7 @@ def band_keys(table: np.ndarray, settings: Settings) -> np.ndarray:
     return keys.view(np.int64)
 
 
+@functools.cache
 def least_matches(settings: Settings) -> list[tuple[int, int]]:
     """(values compared, matches below which a pair is dropped) after each step.
 
@@ -199,6 +201,19 @@ def _matrix(column: pa.Array, kind: type, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
+def surviving(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, settings: Settings) -> np.ndarray:
+    """Which of the pairs (a[i], b[j]) the posterior leaves, ``step`` values at a time."""
+    alive, count = np.arange(len(i)), np.zeros(len(i), np.int64)
+    for upto, least in least_matches(settings):
+        if not len(alive):
+            break
+        part = slice(upto - settings.step, upto)
+        count += (a[i[alive], part] == b[j[alive], part]).sum(axis=1)
+        keep = count >= least
+        alive, count = alive[keep], count[keep]
+    return alive
+
+
 def linked(sig: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs that span what the posterior leaves of all pairs of a bucket.
 
@@ -206,18 +221,13 @@ def linked(sig: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray]
     of unlike texts ends at the first look.
     """
     left, queue, ups, downs = np.arange(1, len(sig)), [0], [], []
-    looks = least_matches(settings)
     while len(left):
         if not queue:
             queue.append(int(left[0]))
             left = left[1:]
             continue
         x = queue.pop()
-        alive, count = left, np.zeros(len(left), np.int64)
-        for upto, least in looks:
-            count += (sig[alive, upto - settings.step : upto] == sig[x, upto - settings.step : upto]).sum(axis=1)
-            keep = count >= least
-            alive, count = alive[keep], count[keep]
+        alive = left[surviving(sig[x : x + 1], sig, np.zeros(len(left), np.int64), left, settings)]
         if len(alive):
             ups.append(np.full(len(alive), x))
             downs.append(alive)
@@ -278,30 +288,44 @@ def _candidates(nodes: DataFrame, settings: Settings) -> DataFrame:
         for part, keys, at in shared_rows(batches, True):
             yield pa.RecordBatch.from_arrays([part.column("_node").take(pa.array(at)), pa.array(leads[np.searchsorted(hot_bands, keys)])], names=["u", "v"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def edges(node: np.ndarray, sig: np.ndarray) -> pa.RecordBatch | None:
-            i, j = linked(sig, settings) if len(node) > 1 else (np.zeros(0, np.int64),) * 2
-            return pa.RecordBatch.from_arrays([pa.array(node[j]), pa.array(node[i])], names=["u", "v"]) if len(i) else None
+    def edges(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    def finished(keys: np.ndarray, node: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The edges of whole buckets; those of two texts, which are most, are compared all at once."""
+        if not len(keys):
+            return
+        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        sizes = np.diff(np.append(starts, len(keys)))
+        first = starts[sizes == 2]
+        kept = first[surviving(sig, sig, first, first + 1, settings)]
+        yield edges(node[kept + 1], node[kept])
+        for a, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
+            if n > settings.bucket:
+                yield edges(node[a : a + n], np.full(n, node[a]))
+            else:
+                i, j = linked(sig[a : a + n], settings)
+                yield edges(node[a + j], node[a + i])
 
-        band, nodes_, sigs, first = None, [], [], None  # ``first`` is set once the bucket is too large to compare
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, node, sig = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, settings.hashes), np.uint8)
+        large = None  # (band, first text) of a bucket that is too large to be held
         for batch in batches:
-            keys, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else []
-            for a, b in zip(starts, [*starts[1:], len(keys)], strict=True):
-                if keys[a] != band:
-                    if len(nodes_) and (out := edges(np.concatenate(nodes_), np.concatenate(sigs))) is not None:
-                        yield out
-                    band, nodes_, sigs, first = keys[a], [], [], None
-                if first is None:
-                    nodes_.append(node[a:b])
-                    sigs.append(_matrix(batch.column(2).slice(a, b - a), np.uint8, settings.hashes))
-                    if sum(map(len, nodes_)) > settings.bucket:
-                        first, mine, nodes_, sigs = nodes_[0][0], np.concatenate(nodes_), [], []
-                        yield pa.RecordBatch.from_arrays([pa.array(mine), pa.array(np.full(len(mine), first))], names=["u", "v"])
-                else:
-                    yield pa.RecordBatch.from_arrays([pa.array(node[a:b]), pa.array(np.full(b - a, first))], names=["u", "v"])
-        if len(nodes_) and (out := edges(np.concatenate(nodes_), np.concatenate(sigs))) is not None:
-            yield out
+            keys, node = np.append(keys, batch.column(0).to_numpy()), np.append(node, batch.column(1).to_numpy())
+            sig = np.concatenate([sig, _matrix(batch.column(2), np.uint8, settings.hashes)])
+            if large and (n := int(np.searchsorted(keys, large[0], "right"))):
+                yield edges(node[:n], np.full(n, large[1]))
+                keys, node, sig = keys[n:], node[n:], sig[n:]
+            if not len(keys):
+                continue
+            large, last = None, int(np.searchsorted(keys, keys[-1]))
+            yield from finished(keys[:last], node[:last], sig[:last])
+            keys, node, sig = keys[last:], node[last:], sig[last:]
+            if len(keys) > settings.bucket:
+                large = (keys[0], node[0])
+                yield edges(node, np.full(len(node), node[0]))
+                keys, node, sig = keys[:0], node[:0], sig[:0]
+        yield from finished(keys, node, sig)
 
     found = some.mapInArrow(deal, "_band long, _node long, _sig binary").repartition("_band").sortWithinPartitions("_band", "_node").mapInArrow(compare, "u long, v long")
     if len(hot_bands):
