@@ -195,28 +195,36 @@ def test_op4_base_and_model(spark, corpus):
     assert maxent.score_documents(table(spark, corpus).where("false")).count() == 0
 
 
-def test_op4_is_a_distribution_and_learns():
-    st = maxent.Settings(classes=4, members=4, rows=256)
+def test_op4_is_a_distribution(spark):
+    st = maxent.Settings(fan=4, anchors=5, rows=128, rounds=1)
     rng = np.random.default_rng(0)
-    names = rng.integers(1, 1 << 62, 40).astype(np.uint64)
-    chain = [0]
-    for _ in range(5999):
-        chain.append((chain[-1] * 7 + 3) % 20 if rng.random() < 0.9 else int(rng.integers(0, 40)))
-    tokens = names[chain]
-    h, n = np.unique(tokens, return_counts=True)
-    lexicon = maxent.Lexicon(h, n, n.sum(), len(h), st)
-    w = maxent.Weights.zeros(st)
-    bounds = np.array([0, len(tokens)])
-    before = maxent.token_scores(w, lexicon, tokens, bounds, st)[0].mean()
-    state = {k: np.zeros(st.rows, np.float32) for k in ("class", "class_used", "word", "word_used")}
-    maxent.learn(w, lexicon, tokens, bounds, state, st)
-    assert maxent.token_scores(w, lexicon, tokens, bounds, st)[0].mean() > before + 0.5
-    # over all known words and the unseen one the probabilities sum to one, in the same context
-    f = maxent.contexts(tokens[:4], np.array([0, 4]), st)[3:]
-    classes = maxent.class_probabilities(w, lexicon, f)[0]
-    total = sum(classes[c] * maxent.word_probabilities(w, lexicon, maxent.word_rows(f, np.array([c]), st), np.array([c])).sum() for c in range(st.classes))
-    outside = sum(k + 1 for k, r in zip(lexicon.counts, lexicon.rank, strict=True) if r < 0) + 1
-    assert math.isclose(total + classes[-1], 1, rel_tol=1e-5) and outside == lexicon.outside
+    texts = spark.createDataFrame([(k, " ".join(f"w{x}" for x in rng.zipf(1.4, 60) % 150)) for k in range(40)], "_id long, _text string")
+    counts = [(r["h"], r["n"]) for r in maxent.count_tokens(texts).collect()]
+    h, n = np.array([c[0] for c in counts]).view(np.uint64), np.array([c[1] for c in counts])
+    lexicon = maxent.Lexicon(h, n, n.sum(), len(h))
+    tree, weights = maxent.train(texts, lexicon, st)
+    inside = np.flatnonzero(tree.place >= 0)
+    assert len(inside) == 64 and sorted(tree.place[inside]) == list(range(64)) and len(h) > 70
+    # after the same words, the tree's words, the words outside and the unseen one have probabilities that sum to one
+    before = lexicon.hashes[[3, 5]]
+    total = 0.0
+    for k in inside:
+        text = np.append(before, lexicon.hashes[k])
+        total += math.exp(maxent.token_scores(tree, weights, lexicon, text, np.array([0, 3]), st)[0][2])
+    unseen = maxent.token_scores(tree, weights, lexicon, np.append(before, np.uint64(77)), np.array([0, 3]), st)
+    assert unseen[2][2] and math.isclose(total + math.exp(unseen[0][2]), 1, rel_tol=1e-4)
+    assert math.isclose(sum(n[k] + 1 for k in range(len(n)) if k in set(np.argsort(h)[np.flatnonzero(tree.place < 0)])) + 1, tree.outside)
+
+
+def test_op4_learns_alike_in_any_partitions(spark):
+    rng = random.Random(7)
+    tongues = [[f"{p}{k}" for k in range(300)] for p in "abc"]
+    docs = [(k, " ".join(min(rng.choices(tongues[k % 3], k=2)) for _ in range(rng.randint(20, 150)))) for k in range(400)]
+    one, many = ({r["doc_id"]: r for r in maxent.score_documents(table(spark, docs, p), settings=maxent.Settings(anchors=16, task_tokens=2000)).collect()} for p in (1, 16))
+    assert all(math.isclose(one[i]["score"], many[i]["score"], rel_tol=1e-6) for i in one)
+    held = [r for r in one.values() if r["held_out"]]
+    assert len(held) > 30 and all(r["score"] > r["base_score"] for r in held)
+    assert sum(r["score"] for r in held) > 0.9 * sum(r["base_score"] for r in held)
 
 
 def test_op5_statistics_and_ratio(spark, corpus):

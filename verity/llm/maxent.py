@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,24 +20,32 @@ LOG10 = np.log(10.0)
 
 @dataclass(frozen=True)
 class Settings:
-    """``classes`` of ``members`` frequent words each, and one class for all other words.
+    """A tree of ``fan`` classes of ``fan`` subclasses of ``fan`` frequent words, and one class for all other words.
 
-    A context has four features: the last word, the last two as a pair, and the two words before the last by
-    themselves (skips). They are hashed to ``rows`` rows of weights. ``frequent`` words have their counts broadcast;
-    the counts of others are joined. Training is one pass over all texts in ``rounds`` parts.
+    A context has four features: the last of the ``anchors`` most frequent words, the last word, the word before it,
+    and the two as a pair. At each level of the tree they are hashed, with the node, to ``rows`` rows of weights.
+    ``frequent`` words have their counts broadcast; the counts of others are joined. Each of the ``rounds`` is one
+    gradient over all training texts; those after the first change the weights of the classes only. A task takes
+    about ``task_tokens`` tokens at least, as it sends sums of a fixed size.
     """
 
-    classes: int = 32
-    members: int = 32
-    rows: int = 1 << 14  # at most 2**16
+    fan: int = 32
+    anchors: int = 64
+    rows: int = 1 << 14
     frequent: int = 1 << 18
     rounds: int = 2
-    batch: int = 16384
-    rate: float = 0.4
+    rate: float = 0.5
+    damping: float = 20.0
+    batch: int = 2048
+    task_tokens: int = 2_000_000
+
+    def __post_init__(self) -> None:
+        if self.fan & (self.fan - 1) or self.rows % self.fan:
+            raise ValueError("fan must be a power of two, and rows a multiple of it")
 
     @property
     def vocabulary(self) -> int:
-        return self.classes * self.members
+        return self.fan**3
 
 
 FEATURES = 4
@@ -53,143 +61,144 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return out, bounds
 
 
-def contexts(tokens: np.ndarray, bounds: np.ndarray, settings: Settings) -> np.ndarray:
-    """(tokens, FEATURES) rows of weights; places before the start of a text count as START."""
-    place = np.arange(len(tokens)) - np.repeat(bounds[:-1], np.diff(bounds))
-    back = []
-    for k in (1, 2, 3):
-        x = np.full(len(tokens), START)
-        x[k:] = np.where(place[k:] >= k, tokens[:-k], START) if len(tokens) > k else x[k:]
-        back.append(x)
-    odd = np.uint64(0x9E3779B97F4A7C15)
-    parts = [back[0], mix(back[0] * odd) ^ back[1], back[1] + np.uint64(2), back[2] + np.uint64(3)]
-    return np.stack([(mix(p * odd + np.uint64(k)) % np.uint64(settings.rows)).astype(np.uint16) for k, p in enumerate(parts)], axis=1)
-
-
 class Lexicon:
-    """Frequent words in the order of their hashes, with counts; the most frequent are in classes by rank."""
+    """Frequent words in the order of their hashes, with counts and ranks; ``place`` is set once the tree is made."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, types: int, settings: Settings):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, types: int):
         order = np.argsort(hashes)
         self.hashes, self.counts, self.total, self.types = hashes[order], counts[order], int(total), int(types)
         #: Where the hashes of each of 2**20 equal ranges start: a range has a few words at most.
         self.start = np.searchsorted(self.hashes >> np.uint64(44), np.arange((1 << 20) + 1, dtype=np.uint64))
-        rank = np.empty(len(order), np.int64)
-        rank[np.lexsort((self.hashes, -self.counts))] = np.arange(len(order))
-        self.rank = np.where(rank < settings.vocabulary, rank, -1)
-        inside = self.rank >= 0
-        own = np.zeros(settings.vocabulary)
-        own[self.rank[inside]] = self.counts[inside]
-        #: All words outside the classes share this mass: their counts plus one each, and one for the unseen.
-        self.outside = self.total - own.sum() + (self.types - inside.sum()) + 1
-        by_class = own.reshape(settings.classes, settings.members)
-        self.class_bias = np.log(np.append(by_class.sum(axis=1), self.outside) + 1).astype(np.float32)
-        self.word_bias = np.log(by_class + 0.01).astype(np.float32)
-        self.word_bias[by_class == 0] = -30  # places without a word
-        if not (by_class > 0).any():
-            self.class_bias[:-1] = -30
-
-    def find(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Count of each token (-1 if it isn't frequent) and its place in the classes (-1 if outside)."""
-        counts, place = np.full(len(tokens), -1), np.full(len(tokens), -1)
+        self.rank = np.empty(len(order), np.int64)
+        self.rank[np.lexsort((self.hashes, -self.counts))] = np.arange(len(order))
+
+    def find(self, tokens: np.ndarray) -> np.ndarray:
+        """Index of each token, -1 if it isn't frequent."""
+        out = np.full(len(tokens), -1)
         bucket = (tokens >> np.uint64(44)).astype(np.int64)
         at, left = self.start[bucket], self.start[bucket + 1]
         todo = np.flatnonzero(at < left)
         at, left, wanted = at[todo], left[todo], tokens[todo]
         while len(todo):
             hit = self.hashes[at] == wanted
-            counts[todo[hit]], place[todo[hit]] = self.counts[at[hit]], self.rank[at[hit]]
+            out[todo[hit]] = at[hit]
             more = ~hit & (at + 1 < left)
             todo, at, left, wanted = todo[more], at[more] + 1, left[more], wanted[more]
-        return counts, place
-
-
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
-
-
-@dataclass
-class Weights:
-    """Rows of weights by context feature: for the classes, and for the words of a class by feature and class."""
-
-    by_class: np.ndarray
-    by_word: np.ndarray
-
-    @staticmethod
-    def zeros(settings: Settings) -> Weights:
-        return Weights(np.zeros((settings.rows, settings.classes + 1), np.float32), np.zeros((settings.rows, settings.members), np.float32))
-
-
-def word_rows(features: np.ndarray, classes: np.ndarray, settings: Settings) -> np.ndarray:
-    """Rows of the words' weights: the context feature hashed with the class."""
-    return ((features + classes[:, None] * 7919) % settings.rows).astype(np.uint16)
-
-
-def class_probabilities(w: Weights, lexicon: Lexicon, features: np.ndarray) -> np.ndarray:
-    z = lexicon.class_bias + w.by_class[features[:, 0]]
-    for k in range(1, FEATURES):
-        z += w.by_class[features[:, k]]
-    return _softmax(z)
-
-
-def word_probabilities(w: Weights, lexicon: Lexicon, rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    z = lexicon.word_bias[classes]
-    for k in range(FEATURES):
-        z += w.by_word[rows[:, k]]
-    return _softmax(z)
-
-
-def _descend(weights: np.ndarray, squares: np.ndarray, used: np.ndarray, rows: np.ndarray, error: np.ndarray, rate: float) -> None:
-    """One AdaGrad step: the gradient of a row is the sum of the errors of the tokens that have it."""
-    flat = rows.T.reshape(-1)
-    order = np.argsort(flat, kind="stable")
-    ordered = flat[order]
-    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    # Classes by tokens: sums along the last axis are several times as fast.
-    gradient = np.add.reduceat(error.T.take(np.tile(np.arange(len(error)), rows.shape[1])[order], axis=1), first, axis=1).T
-    row = ordered[first]
-    squares[row] += (gradient**2).mean(axis=1)
-    weights[row] -= rate * gradient / np.sqrt(squares[row] + 1e-6)[:, None]
-    used[row] += np.diff(np.append(first, len(ordered)))
-
-
-def learn(w: Weights, lexicon: Lexicon, tokens: np.ndarray, bounds: np.ndarray, state: dict, settings: Settings) -> None:
-    """Gradient steps over the tokens in order, in place."""
-    features = contexts(tokens, bounds, settings)
-    place = lexicon.find(tokens)[1]
-    classes = np.where(place >= 0, place // settings.members, settings.classes)
-    for low in range(0, len(tokens), settings.batch):
-        f, c, p = (x[low : low + settings.batch] for x in (features, classes, place))
-        error = class_probabilities(w, lexicon, f)
-        error[np.arange(len(c)), c] -= 1
-        _descend(w.by_class, state["class"], state["class_used"], f, error, settings.rate)
-        known = np.flatnonzero(p >= 0)
-        if len(known):
-            rows = word_rows(f[known], c[known], settings)
-            error = word_probabilities(w, lexicon, rows, c[known])
-            error[np.arange(len(known)), p[known] % settings.members] -= 1
-            _descend(w.by_word, state["word"], state["word_used"], rows, error, settings.rate)
-
-
-def token_scores(w: Weights, lexicon: Lexicon, tokens: np.ndarray, bounds: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Natural log of the model's probability of each token less that of its outside word; counts; outside flags."""
-    features = contexts(tokens, bounds, settings)
-    counts, place = lexicon.find(tokens)
-    classes = np.where(place >= 0, place // settings.members, settings.classes)
-    out = np.empty(len(tokens))
-    for low in range(0, len(tokens), settings.batch):
+        return out
+
+
+def last_anchors(rank: np.ndarray, bounds: np.ndarray, settings: Settings) -> np.ndarray:
+    """The rank of the last anchor before each token in its text; ``anchors`` - 1 where there is none."""
+    none = settings.anchors - 1
+    places = np.where((rank >= 0) & (rank < none), np.arange(len(rank)), -1)
+    last = np.concatenate([[-1], np.maximum.accumulate(places)[:-1]]) if len(rank) else places
+    return np.where(last >= np.repeat(bounds[:-1], np.diff(bounds)), rank[np.maximum(last, 0)], none)
+
+
+def class_tree(near: np.ndarray, counts: np.ndarray, settings: Settings) -> np.ndarray:
+    """Place of each word in the tree, from how often it follows each anchor (words by anchors).
+
+    Words are halved along the principal direction of their shares of anchors, again and again, so words in like
+    company, such as those of one language, end up in one class; small sets are halved by frequency.
+    """
+    if not len(counts):
+        return np.zeros(0, np.int64)
+    share = (near.sum(axis=0) + 1e-9) / (near.sum() + 1e-9 * settings.anchors)
+    x = np.sqrt((near + 0.5 * share) / (near.sum(axis=1, keepdims=True) + 0.5))
+    x -= np.average(x, axis=0, weights=counts)
+    x = x @ np.linalg.eigh((x * counts[:, None]).T @ x)[1][:, -8:]
+    place = np.empty(len(counts), np.int64)
+    todo = [(np.arange(len(counts)), 0, settings.vocabulary)]
+    while todo:
+        of, base, room = todo.pop()
+        if room == 1 or len(of) == 1:
+            place[of] = base
+            continue
+        along = -counts[of]
+        if len(of) > 16:
+            y = x[of] - np.average(x[of], axis=0, weights=counts[of])
+            v = np.linalg.eigh((y * counts[of][:, None]).T @ y)[1][:, -1]
+            along = y @ (v * np.sign(v[np.argmax(np.abs(v))]))
+        order = of[np.argsort(along, kind="stable")]
+        half = -(-len(of) // 2)
+        todo += [(order[:half], base, room // 2), (order[half:], base + room // 2, room // 2)] if half < len(of) else [(order, base, room // 2)]
+    return place
+
+
+class Tree:
+    """The words of the tree by lexicon index, and the log probabilities of its nodes without a context."""
+
+    def __init__(self, lexicon: Lexicon, place: np.ndarray, settings: Settings):
+        """``place`` is -1 for words outside the tree."""
+        fan, inside = settings.fan, place >= 0
+        self.place = place
+        own = np.full(settings.vocabulary, 1e-9)  # places without a word
+        own[place[inside]] = lexicon.counts[inside]
+        #: All words outside share this mass: their counts plus one each, and one for the unseen.
+        self.outside = float(lexicon.total - lexicon.counts[inside].sum() + lexicon.types - inside.sum() + 1)
+        classes, subs = own.reshape(fan, -1).sum(axis=1), own.reshape(fan, fan, fan).sum(axis=2)
+        first = np.append(classes, self.outside)
+        self.base = [first / first.sum(), subs / subs.sum(axis=1, keepdims=True), (own.reshape(fan * fan, fan) / subs.reshape(-1, 1))]
+        self.logs = [np.log(p).astype(np.float32) for p in self.base]
+
+    def levels(self, place: np.ndarray, settings: Settings) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each level: the tokens that get there, their node, and the child that they take."""
+        fan, every, inside = settings.fan, np.arange(len(place)), np.flatnonzero(place >= 0)
+        p = place[inside]
+        return [(every, np.zeros(len(place), np.int64), np.where(place >= 0, place // fan**2, fan)), (inside, p // fan**2, p // fan % fan), (inside, p // fan, p % fan)]
+
+
+def contexts(tokens: np.ndarray, bounds: np.ndarray, anchors: np.ndarray) -> np.ndarray:
+    """(FEATURES, tokens) hashes of the features; places before the start of a text count as START."""
+    place = np.arange(len(tokens)) - np.repeat(bounds[:-1], np.diff(bounds))
+    back = []
+    for k in (1, 2):
+        x = np.full(len(tokens), START)
+        x[k:] = np.where(place[k:] >= k, tokens[:-k], START) if len(tokens) > k else x[k:]
+        back.append(x)
+    odd = np.uint64(0x9E3779B97F4A7C15)
+    parts = [anchors.astype(np.uint64), back[0], back[1], mix(back[0] * odd) ^ back[1]]
+    return np.stack([mix(p * odd + np.uint64(k)) for k, p in enumerate(parts)])
+
+
+def weight_rows(features: np.ndarray, node: np.ndarray, level: int, settings: Settings) -> np.ndarray:
+    """(FEATURES, tokens) rows of weights: the feature hashed with the node; at the last level a row has one subclass."""
+    if not level:
+        return (features % np.uint64(settings.rows)).astype(np.int64)
+    fan = np.uint64(settings.fan)
+    odd = np.uint64(0xC4CEB9FE1A85EC53)
+    if level == 1:
+        return (mix(features + (node.astype(np.uint64) + np.uint64(1)) * odd) % np.uint64(settings.rows)).astype(np.int64)
+    own, sub = node.astype(np.uint64) // fan, node.astype(np.uint64) % fan
+    return ((mix(features + (own + np.uint64(999)) * odd) % (np.uint64(settings.rows) // fan)) * fan + sub).astype(np.int64)
+
+
+def probabilities(weights: np.ndarray, logs: np.ndarray, rows: np.ndarray, node: np.ndarray, settings: Settings) -> Iterator[tuple[slice, np.ndarray]]:
+    """The children's probabilities for each token, in cache-sized runs of tokens."""
+    logs = logs.reshape(-1, logs.shape[-1])
+    for low in range(0, len(node), settings.batch):
         part = slice(low, low + settings.batch)
-        f, c, p = features[part], classes[part], place[part]
-        score = np.log(np.maximum(class_probabilities(w, lexicon, f)[np.arange(len(c)), c], 1e-30).astype(np.float64))
-        known = np.flatnonzero(p >= 0)
-        if len(known):
-            q = word_probabilities(w, lexicon, word_rows(f[known], c[known], settings), c[known])
-            score[known] += np.log(np.maximum(q[np.arange(len(known)), p[known] % settings.members], 1e-30).astype(np.float64))
-        out[part] = score
-    return out, counts, place < 0
+        z = logs[node[part]]
+        for k in range(FEATURES):
+            z += weights[rows[k, part]]
+        z -= z.max(axis=1, keepdims=True)
+        np.exp(z, out=z)
+        z /= z.sum(axis=1, keepdims=True)
+        yield part, z
+
+
+def token_scores(tree: Tree, weights: list[np.ndarray], lexicon: Lexicon, tokens: np.ndarray, bounds: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Natural log of the model's probability of each token less that of its outside word; counts (-1 if not frequent); outside flags."""
+    found = lexicon.find(tokens)
+    frequent = found >= 0
+    features = contexts(tokens, bounds, last_anchors(np.where(frequent, lexicon.rank[found], -1) if len(lexicon.rank) else found, bounds, settings))
+    place = np.where(frequent, tree.place[found], -1) if len(lexicon.rank) else found
+    out = np.zeros(len(tokens))
+    for level, (of, node, child) in enumerate(tree.levels(place, settings)):
+        rows = weight_rows(features[:, of], node, level, settings)
+        for part, p in probabilities(weights[level], tree.logs[level], rows, node, settings):
+            out[of[part]] += np.log(np.maximum(p[np.arange(len(p)), child[part]], 1e-30).astype(np.float64))
+    return out, np.where(frequent, lexicon.counts[found], -1) if len(lexicon.rank) else found, place < 0
 
 
 def held_out(id_col: Column) -> Column:
@@ -221,68 +230,118 @@ def count_tokens(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def _blocks(x: np.ndarray) -> list[np.ndarray]:
-    return np.array_split(x, 64)
+def summed(texts: DataFrame, tokens: int, sizes: list[int], kind: str, fill: Callable[[np.ndarray, np.ndarray, list[np.ndarray]], None], settings: Settings) -> list[np.ndarray]:
+    """Sums over all texts of arrays of fixed ``sizes``: ``fill`` adds those of some tokens to a task's own arrays.
 
+    A task sends its arrays once, in blocks; they are summed by block and salt and then by block, each time in a stream
+    that holds one block. The number of tasks follows from the number of tokens, so what is sent stays a fixed part of
+    the input however finely it is dealt. The driver gets the sums only.
+    """
+    blocks = -(-sum(sizes) // (1 << 15))
+    wide = "<f8" if kind == "<f4" else "<i8"
 
-def train(texts: DataFrame, lexicon: Lexicon, settings: Settings) -> Weights:
-    """Distributed gradient updates: in each round every task descends over its texts from the common weights.
+    def rows(b: list[int], salt: int, m: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array([salt] * len(b), pa.int32()), pa.array([x.tobytes() for x in m], pa.binary())], names=["b", "salt", "m"])
 
-    A round takes the texts of one part of the id hashes. A task sends the changes of its rows with the number of
-    tokens behind each; a row's new weights are the mean of the changes by those numbers. The sums are made in two
-    steps, by 64 blocks of rows and a salt and then by block, each in a stream that holds one block at a time.
-    """
-    w = Weights.zeros(settings)
-    width = settings.classes + 1 + settings.members + 2
-    spark = texts.sparkSession
-    lexicon_sent = spark.sparkContext.broadcast(lexicon)
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrays, seen = [np.zeros(n, wide) for n in sizes], 0
+        for batch in batches:
+            for part in pieces(batch, "_text"):
+                words, bounds = tokens_of(*utf8(part.column("_text")))
+                fill(words, bounds, arrays)
+                seen += 1
+        if seen:
+            yield rows(list(range(blocks)), seen % 61, np.array_split(np.concatenate(arrays).astype(kind), blocks))
 
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def total(batches: Iterator[pa.RecordBatch], sent_as: str = wide) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
-        salts: dict[int, int] = {}
         for batch in batches:
-            for b, salt, m in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                sums[b] = sums.get(b, 0) + np.frombuffer(m, np.float32)
-                salts[b] = salt
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(list(salts.values()), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["b", "salt", "m"])
-
-    for k in range(settings.rounds):
-        sent = spark.sparkContext.broadcast(w)
-
-        def descend(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            old, lexicon = sent.value, lexicon_sent.value
-            new = Weights(old.by_class.copy(), old.by_word.copy())
-            state = {key: np.zeros(settings.rows, np.float32) for key in ("class", "class_used", "word", "word_used")}
-            salt = seen = 0
-            for batch in batches:
-                for part in pieces(batch, "_text"):
-                    tokens, bounds = tokens_of(*utf8(part.column("_text")))
-                    learn(new, lexicon, tokens, bounds, state, settings)
-                    salt, seen = (salt * 31 + len(tokens)) % 61, 1
-            if not seen:
-                return
-            a, b = state["class_used"][:, None], state["word_used"][:, None]
-            change = np.hstack([(new.by_class - old.by_class) * a, a, (new.by_word - old.by_word) * b, b]).astype(np.float32)
-            blocks = _blocks(change)
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([salt] * len(blocks), pa.int32()), pa.array([x.tobytes() for x in blocks], pa.binary())], names=["b", "salt", "m"])
-
-        part = texts.where(F.pmod(F.xxhash64("_id"), F.lit(settings.rounds)) == k) if settings.rounds > 1 else texts
-        schema = "b int, salt int, m binary"
-        sums = part.mapInArrow(descend, schema).repartition("b", "salt").mapInArrow(total, schema).repartition("b").mapInArrow(total, schema)
-        blocks = _blocks(np.zeros((settings.rows, width), np.float32))
-        for row in sums.collect():
-            blocks[row["b"]] = blocks[row["b"]] + np.frombuffer(row["m"], np.float32).reshape(-1, width)
-        change = np.vstack(blocks)
-        c = settings.classes + 1
-        w = Weights(w.by_class + change[:, :c] / np.maximum(change[:, c : c + 1], 1), w.by_word + change[:, c + 1 : -1] / np.maximum(change[:, -1:], 1))
-    return w
+            for b, m in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                sums[b] = sums.get(b, 0) + np.frombuffer(m, sent_as).astype(wide)
+        if sums:
+            yield rows(list(sums), 0, list(sums.values()))
+
+    schema = "b int, salt int, m binary"
+    sent = texts.coalesce(max(1, tokens // settings.task_tokens)).mapInArrow(gather, schema)
+    once = sent.repartition("b", "salt").mapInArrow(lambda batches: total(batches, kind), schema)
+    out: list[np.ndarray] = [np.zeros(0)] * blocks
+    for row in once.repartition("b").mapInArrow(total, schema).collect():
+        out[row["b"]] = np.frombuffer(row["m"], wide)
+    whole = np.concatenate(out) if all(len(x) for x in out) else np.zeros(sum(sizes))
+    return np.split(whole, np.cumsum(sizes)[:-1])
+
+
+def train(texts: DataFrame, lexicon: Lexicon, settings: Settings) -> tuple[Tree, list[np.ndarray]]:
+    """The class tree and its weights, from gradients that are summed over all texts.
+
+    The gradient of a weight is how often its feature and child are seen together, less how often the model expects
+    them to be. A step is the damped log of seen over expected, as in iterative scaling, which needs no further scale.
+    Before the first step the model knows no context, so what it expects follows from how often the rows meet the nodes:
+    counting is enough. Later rounds sum the expectations of the trained model. All sums are over the whole corpus,
+    so neither the order of the texts nor the number of tasks changes the model.
+    """
+    spark, fan = texts.sparkSession, settings.fan
+    n, width = settings.rows, settings.fan + 1
+    sent = spark.sparkContext.broadcast(lexicon)
+    known = np.flatnonzero(lexicon.rank < settings.vocabulary)
+
+    def company(words: np.ndarray, bounds: np.ndarray, arrays: list[np.ndarray]) -> None:
+        found = sent.value.find(words)
+        rank = np.where(found >= 0, sent.value.rank[found], -1)
+        inside = (rank >= 0) & (rank < settings.vocabulary)
+        arrays[0] += np.bincount(rank[inside] * settings.anchors + last_anchors(rank, bounds, settings)[inside], minlength=len(arrays[0]))
+
+    near = summed(texts, lexicon.total, [settings.vocabulary * settings.anchors], "<i4", company, settings)[0].reshape(-1, settings.anchors)
+    place = np.full(len(lexicon.rank), -1)
+    place[known] = class_tree(near[lexicon.rank[known]].astype(float), lexicon.counts[known].astype(float), settings)
+    tree = Tree(lexicon, place, settings)
+    tree_sent = spark.sparkContext.broadcast(tree)
+
+    def seen(words: np.ndarray, bounds: np.ndarray, arrays: list[np.ndarray]) -> None:
+        lexicon, tree = sent.value, tree_sent.value
+        found = lexicon.find(words)
+        features = contexts(words, bounds, last_anchors(np.where(found >= 0, lexicon.rank[found], -1), bounds, settings))
+        for level, (of, node, child) in enumerate(tree.levels(np.where(found >= 0, tree.place[found], -1), settings)):
+            rows = weight_rows(features[:, of], node, level, settings)
+            arrays[level] += np.bincount((rows * (fan if level else width) + child).reshape(-1), minlength=len(arrays[level]))
+            if level:
+                arrays[level + 2] += np.bincount((rows * fan + node // (fan if level == 2 else 1)).reshape(-1), minlength=n * fan)
+
+    first, second, third, by_class, by_class_3 = summed(texts, lexicon.total, [n * width, *[n * fan] * 4], "<i4", seen, settings)
+    observed = [first.reshape(n, width), second.reshape(n, fan), third.reshape(n, fan)]
+    last = np.einsum("rsc,csk->rsk", by_class_3.reshape(n // fan, fan, fan), tree.base[2].reshape(fan, fan, fan), optimize=True)
+    expected = [observed[0].sum(axis=1, keepdims=True) * tree.base[0], by_class.reshape(n, fan) @ tree.base[1], last.reshape(n, fan)]
+    damping = [settings.damping * e / np.maximum(e.sum(axis=1, keepdims=True), 1e-9) + 1e-6 for e in expected]
+
+    def step(o: np.ndarray, e: np.ndarray, d: np.ndarray) -> np.ndarray:
+        return (settings.rate * np.log((o + d) / (e + d))).astype(np.float32)
+
+    weights = [step(*x) for x in zip(observed, expected, damping, strict=True)]
+    for _ in range(settings.rounds - 1):
+        now = spark.sparkContext.broadcast(weights[0])
+
+        def expect(words: np.ndarray, bounds: np.ndarray, arrays: list[np.ndarray], now=now) -> None:
+            lexicon, tree = sent.value, tree_sent.value
+            found = lexicon.find(words)
+            features = contexts(words, bounds, last_anchors(np.where(found >= 0, lexicon.rank[found], -1), bounds, settings))
+            rows, out = weight_rows(features, found, 0, settings), arrays[0].reshape(n, width)
+            for part, p in probabilities(now.value, tree.logs[0], rows, np.zeros(len(words), np.int64), settings):
+                flat = rows[:, part].reshape(-1)
+                order = np.argsort(flat, kind="stable")
+                ordered = flat[order]
+                starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+                out[ordered[starts]] += np.add.reduceat(p[order % len(p)], starts, axis=0)
+
+        model = summed(texts, lexicon.total, [n * width], "<f4", expect, settings)[0].reshape(n, width)
+        weights[0] = weights[0] + step(observed[0], model, damping[0])
+    return tree, weights
 
 
 def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings | None = None) -> DataFrame:
     """Log10 probability of every whole text by the model and by the add-one unigram base.
 
     Tokens are the words, A-Z in lower case, and an end. Training uses all rows that aren't held out. Words are
-    known by a 64-bit hash. Words outside the classes have the probability of their common class times their
+    known by a 64-bit hash. Words outside the tree have the probability of their common class times their
     add-one share in it, which leaves one place for all unseen words; so both models give every text a finite score.
 
     Returns id_col, held_out, n_tokens, n_known, train_tokens, base_score, score, a row for each row. Null counts as
@@ -296,22 +355,22 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     counts = cut(count_tokens(texts))
     size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("types")).first()
     top = counts.orderBy(F.desc("n"), "h").limit(settings.frequent).toArrow()
-    lexicon = Lexicon(top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy(), size["total"], size["types"], settings)
-    weights = train(texts, lexicon, settings)
-    sent = spark.sparkContext.broadcast((weights, lexicon))
+    lexicon = Lexicon(top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy(), size["total"], size["types"])
+    tree, weights = train(texts, lexicon, settings)
+    sent = spark.sparkContext.broadcast((tree, weights, lexicon))
     schema = T.StructType(
         [docs.schema["_id"], *(T.StructField(n, T.LongType()) for n in ("n_tokens", "known", "outside")), T.StructField("logs", T.DoubleType()), T.StructField("model", T.DoubleType())]
         + [T.StructField(n, T.ArrayType(T.LongType())) for n in ("rare", "times")]
     )
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, lexicon = sent.value
+        tree, weights, lexicon = sent.value
         for batch in batches:
             for part in pieces(batch, "_text"):
                 tokens, bounds = tokens_of(*utf8(part.column("_text")))
                 n = part.num_rows
                 of = np.repeat(np.arange(n), np.diff(bounds))
-                model, found, outside = token_scores(weights, lexicon, tokens, bounds, settings)
+                model, found, outside = token_scores(tree, weights, lexicon, tokens, bounds, settings)
                 logs = np.log10(np.maximum(found, 0) + 1.0)
                 total = lambda v, of=of, n=n: np.bincount(of, v, minlength=n)
                 rare = np.flatnonzero(found < 0)
@@ -333,7 +392,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     more = rare.join(counts, "h").groupBy("_row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("_logs"), F.sum("times").alias("_known"))
     out = scored.drop("rare", "times").join(more, "_row", "left").fillna(0, ["_logs", "_known"])
     base = F.col("logs") + F.col("_logs") - F.col("n_tokens") * F.log10(F.lit(float(lexicon.total + lexicon.types + 1)))
-    model = F.col("model") + F.col("_logs") - F.col("outside") * F.log10(F.lit(float(lexicon.outside)))
+    model = F.col("model") + F.col("_logs") - F.col("outside") * F.log10(F.lit(tree.outside))
     return out.select(
         F.col("_id").alias(id_col), held_out(F.col("_id")).alias("held_out"), "n_tokens", (F.col("known") + F.col("_known")).alias("n_known"), F.lit(lexicon.total).cast("long").alias("train_tokens"), base.alias("base_score"), model.alias("score")
     )
