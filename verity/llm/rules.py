@@ -47,14 +47,16 @@ def ratio_table(grams: DataFrame, buckets: int, smoothing: float) -> DataFrame:
     """One row, one array: the log ratio of a bucket's smoothed share in the target and in the raw corpus.
 
     ``grams`` has (_grams, _target), a row for each document. Counts are summed before the shuffle, so a task sends
-    a row for each bucket at most, and the array has ``buckets`` numbers whatever the corpus.
+    a row for each bucket at most, and the array has ``buckets`` numbers whatever the corpus. Without target counts
+    all ratios are 0.
     """
     # The outer form, as the other infers a filter on the array, and so makes the array twice, word by word.
     counted = grams.select(F.explode_outer("_grams").alias("b"), "_target").where("b IS NOT NULL").groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.sum("_target").alias("target"))
     every = grams.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b")).join(counted, "b", "left").fillna(0)
     one = every.agg(F.sum("raw").alias("raws"), F.sum("target").alias("targets"), F.array_sort(F.collect_list(F.struct("b", "raw", "target"))).alias("all"))
     share = lambda n, total: (n + smoothing) / (total + smoothing * buckets)
-    return one.select(F.transform("all", lambda x: F.log(share(x["target"], F.col("targets")) / share(x["raw"], F.col("raws")))).alias("ratios"))
+    ratio = lambda x: F.when(F.col("targets") > 0, F.log(share(x["target"], F.col("targets")) / share(x["raw"], F.col("raws")))).otherwise(0.0)
+    return one.select(F.transform("all", ratio).alias("ratios"))
 
 
 def judge_quality(
@@ -92,6 +94,8 @@ def judge_quality(
     total = F.aggregate("_grams", F.lit(0.0), lambda a, b: a + F.get(F.col("_ratios"), b))
     out = out.withColumn("_ratios", ratios).withColumn("llr", F.when(F.size("_grams") > 0, total / F.size("_grams")).otherwise(0.0))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return out.select(
+    judged = F.struct(
         F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("llr") >= threshold)).alias("kept"), "llr"
     )
+    # A caller's filter stops at the generator; pushed below, it would repeat all steps inside one another.
+    return out.select(F.inline_outer(F.array(judged)))
