@@ -144,7 +144,7 @@ def test_op3_finds_copies_and_paraphrases(spark, corpus):
     assert decontamination.find_leaks(table(spark, docs).where("false"), bench).count() == 0
     kept = decontamination.drop_leaks(table(spark, docs), bench)
     assert kept.count() == len(docs) - 10 and kept.columns == table(spark, docs).columns
-    small = decontamination.Settings(block=7)
+    small = decontamination.Settings(block=7, cosines=100)
     assert {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(table(spark, docs), bench, settings=small).collect()} == found
 
 
@@ -159,6 +159,46 @@ def test_op3_finds_an_item_in_a_third_of_the_documents(spark):
     assert {(r["doc_id"], r["item_id"]) for r in found} == {(k, 0) for k in range(0, 150, 3)} | {(1000 + k, k) for k in range(1, 5)}
 
 
+def test_op3_finds_copies_of_common_words(spark):
+    rng = random.Random(13)
+    common = "what is the name of a man who was in house and to it on for that by with at from".split()
+    item = "what is the name of the man who was in the house"
+    rare = ["".join(rng.choice("klmnopqrst") for _ in range(7)) for _ in range(2000)]
+    host = lambda: " ".join(rng.choice(common) if rng.random() < 0.3 else rng.choice(rare) for _ in range(120))
+    docs = [(k, f"{host()} {item} {host()}") for k in range(40)] + [(100 + k, host()) for k in range(40)]
+    items = [(1, item), *((10 + k, " ".join(rng.choice(rare) for _ in range(30))) for k in range(30))]
+    found = decontamination.find_leaks(table(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(k, 1) for k in range(40)} and all(r["overlap"] == 1 for r in found)
+
+
+def test_op3_answers_and_sections(spark):
+    rng = random.Random(14)
+    pool = ["".join(rng.choice("klmnopqrst") for _ in range(6)) for _ in range(500)]
+    question, long = words(rng, 30, pool), words(rng, 1500, pool)
+    docs = [(1, f"{words(rng, 40, pool)} {question} It is Blue Whale. {words(rng, 40, pool)}"), (2, f"{question} {words(rng, 60, pool)}"), (3, " ".join(long.split()[500:1100]))]
+    items = spark.createDataFrame([(7, question, "blue whale"), (8, long, None), (9, None, "x"), (10, "", "")], "item_id long, text string, answer string")
+    found = lambda **k: {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(table(spark, docs), items, **k).collect()}
+    assert found(answer_col="answer") == {(1, 7), (3, 8)} and found() == {(1, 7), (2, 7), (3, 8)}
+
+
+def test_op3_recall_against_brute_force(spark):
+    """All places of all texts by the same checks, without any search: the latent search finds nine in ten and more."""
+    rng = random.Random(15)
+    pool = ["".join(rng.choice("klmnopqrst") for _ in range(rng.randint(2, 8))) for _ in range(1500)]
+    share = [1 / (k + 5) for k in range(1500)]
+    zipf = lambda n: " ".join(rng.choices(pool, share, k=n))
+    items = [(k, zipf(rng.randint(15, 60))) for k in range(40)]
+    docs = []
+    for k in range(400):
+        text = items[k % 40][1].split()
+        text = [x if rng.random() > 0.02 * (k % 21) else rng.choice(pool) for x in text]
+        docs.append((k, f"{zipf(rng.randint(0, 150))} {' '.join(text)} {zipf(rng.randint(0, 150))}"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got, every = ({(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(table(spark, docs), bench, settings=s).collect()} for s in (decontamination.Settings(), decontamination.Settings(cosine=-2.0)))
+    print(len(got), len(every))
+    assert got <= every and 250 < len(every) < 420 and len(got) >= 0.95 * len(every)
+
+
 def test_op3_common_subsequence():
     rng = random.Random(2)
 

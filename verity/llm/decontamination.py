@@ -14,29 +14,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from verity.llm.common import NOT_ALNUM, cut, mix, pieces, powers, utf8, words_of
+from verity.llm.common import BASE, NOT_ALNUM, cut, fresh, maybe_in, mix, pieces, powers, utf8, words_of
 
 
 @dataclass(frozen=True)
 class Settings:
     """``buckets`` hashed words, ``rank`` latent dimensions, passages of two ``hop``s of words.
 
-    A passage whose latent cosine with a passage of an item is at least ``cosine``, and that has the ``shared`` part
-    of that passage's words, is a candidate. It is a leak if the longest common subsequence holds ``overlap`` of the
-    item's words and the ``answer`` share of its informative words is there.
+    A place whose latent cosine with a passage of an item is at least ``cosine``, or which has ``exact`` words of
+    the item in a row, is a candidate. It is a leak if the longest common subsequence holds ``overlap`` of the item's
+    words, and its answer is there too: the benchmark's own answer or, where it has none, the ``answer`` share of the
+    item's informative words (the rarer half). Items of over ``section`` words are searched in sections of that size.
     """
 
     buckets: int = 1 << 16
     rank: int = 64
     hop: int = 16
-    cosine: float = 0.6
+    cosine: float = 0.5
     #: Weight of a word that is in all documents.
     least: float = 0.1
-    shared: float = 0.35
+    exact: int = 8
     overlap: float = 0.6
     answer: float = 0.5
-    #: Most items that are broadcast at once.
-    block: int = 4096
+    section: int = 512
+    #: Most passages of items that are broadcast at once, about; and most cosines that a task holds.
+    block: int = 1 << 16
+    cosines: int = 1 << 22
     seed: int = 11
 
 
@@ -89,15 +92,19 @@ def _passages(vectors: np.ndarray, buckets: np.ndarray, at: np.ndarray, hops: np
     return both
 
 
-def _marks(words: np.ndarray, hop_of: np.ndarray, hops: np.ndarray) -> np.ndarray:
-    """256 bits for each passage, set by its words."""
-    bits = np.zeros((hops[-1], 256), bool)
-    bits[hop_of, (words >> np.uint64(24)) & np.uint64(255)] = True
-    both = bits.copy()
-    inner = np.ones(len(bits), bool)
-    inner[hops[1:][np.diff(hops) > 0] - 1] = False
-    both[:-1][inner[:-1]] |= bits[1:][inner[:-1]]
-    return np.packbits(both, axis=1).view(np.uint64)
+def _mark(words: np.ndarray) -> np.ndarray:
+    """One of 256 marks for each word."""
+    return ((words >> np.uint64(24)) & np.uint64(255)).astype(np.int64)
+
+
+def _runs(words: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the runs of ``width`` words within a row."""
+    row_end = np.repeat(at[1:], np.diff(at))
+    starts = np.flatnonzero(np.arange(len(words)) + width <= row_end)
+    total = np.zeros(len(starts), np.uint64)
+    for k, factor in enumerate(powers(BASE, width + 1)[1:]):
+        total += words[starts + k] * factor
+    return mix(total), starts
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -226,106 +233,198 @@ def lcs(masks: dict[int, int], size: int, words: list[int]) -> int:
     return size - bin(row).count("1")
 
 
-def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", settings: Settings | None = None) -> DataFrame:
+def find_leaks(
+    df: DataFrame,
+    benchmark: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    settings: Settings | None = None,
+    answer_col: str | None = None,
+) -> DataFrame:
     """Pairs of a document and a benchmark item that it holds, as a copy or a paraphrase.
 
     Every passage of every whole text is compared, in the latent space, with every passage of every item, items in
-    blocks of a fixed size; a task reads its texts once for each block, and nothing is shuffled but the pairs
-    found. Returns id_col, item_id, cosine, overlap (share of the item's words in the common subsequence), one row
-    for each pair.
+    blocks of a fixed number of passages; a task reads its texts once for each block, and nothing is shuffled but the pairs
+    found. Copies of items whose words are too common to stand out there are candidates by their runs of words. All
+    candidates go through the common subsequence and the answer check. Returns id_col, item_id, cosine, overlap (share of
+    the item's, or its best section's, words in the common subsequence), one row for each pair, both at their best.
 
     Null and empty texts or items match nothing. Repeated rows and equal ids give a pair once, at its best. Null
-    item ids are items like others. Empty tables give no rows.
+    item ids are items like others. With ``answer_col`` an item's answer must be there in one piece; null and empty
+    answers count as none. Other columns are not read. Empty tables give no rows.
     """
-    best = _leaks(df, benchmark, id_col, text_col, item_id, item_text, settings or Settings())
+    best = _leaks(df, benchmark, id_col, text_col, item_id, item_text, settings or Settings(), answer_col)
     best = best.groupBy("_id", "_item").agg(F.max("cosine").alias("cosine"), F.max("overlap").alias("overlap"))
     return best.select(F.col("_id").alias(id_col), F.col("_item").alias(item_id), "cosine", "overlap")
 
 
-def _leaks(df: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_id: str, item_text: str, settings: Settings) -> DataFrame:
+def _sections(items: DataFrame, settings: Settings) -> DataFrame:
+    """(_item, _place, _passages, _words, _answer): the sections of the items, as hashes of their words."""
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, at = _words(batch.column("_text"))
+            answers, answers_at = _words(batch.column("_answer"))
+            rows = [(k, w) for k in range(batch.num_rows) for w in range(int(at[k]), int(at[k + 1]), settings.section)]
+            own = pa.array([k for k, _ in rows], pa.int64())
+            texts = [words[w : min(w + settings.section, int(at[k + 1]))] for k, w in rows]
+            columns = [
+                batch.column("_item").take(own), pa.array([w for _, w in rows], pa.int64()), pa.array([-(-len(t) // settings.hop) for t in texts], pa.int64()),
+                pa.array([t.tobytes() for t in texts], pa.binary()), pa.array([answers[answers_at[k] : answers_at[k + 1]].tobytes() for k, _ in rows], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["_item", "_place", "_passages", "_words", "_answer"])
+
+    schema = T.StructType([items.schema["_item"], *(T.StructField(n, T.LongType()) for n in ("_place", "_passages")), *(T.StructField(n, T.BinaryType()) for n in ("_words", "_answer"))])
+    return items.mapInArrow(cut_up, schema)
+
+
+def _leaks(df: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_id: str, item_text: str, settings: Settings, answer_col: str | None = None) -> DataFrame:
     """The pairs found, with the text's MD5: _id, _item, cosine, overlap, _key."""
     spark = df.sparkSession
     docs = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    items = cut(benchmark.select(F.col(item_id).alias("_item"), F.col(item_text).alias("_text")).withColumn("_at", F.monotonically_increasing_id()))
+    answer = F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string")
+    items = cut(benchmark.select(F.col(item_id).alias("_item"), F.col(item_text).alias("_text"), answer.alias("_answer")))
     weights = word_weights(docs, items, settings)
     basis = latent_basis(items, weights, settings) * weights[:, None]
     model = spark.sparkContext.broadcast((basis, weights))
     schema = T.StructType([docs.schema["_id"], items.schema["_item"], T.StructField("cosine", T.DoubleType()), T.StructField("overlap", T.DoubleType()), T.StructField("_key", T.BinaryType())])
     out = spark.createDataFrame([], schema)
-    if not basis.shape[1]:
-        return out
-
-    blocks = -(-items.count() // settings.block)
+    sections = cut(_sections(items, settings))
+    blocks = -(-(sections.agg(F.sum("_passages")).first()[0] or 0) // settings.block)
     for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("_at"), F.lit(blocks)) == k)
-        out = out.unionByName(_search(docs, block.collect(), model, settings, schema))
+        block = sections.where(F.pmod(F.xxhash64("_words", "_place"), F.lit(blocks)) == k).collect()
+        out = out.unionByName(_search(docs, block, model, settings, schema)) if block else out
     return out
 
 
-def _search(docs: DataFrame, block: list, model, settings: Settings, schema: T.StructType) -> DataFrame:
-    """The pairs of all documents with a block of items."""
-    words, at = _words(pa.array([r["_text"] for r in block], pa.string()))
-    basis, weights = model.value
-    hops, hop_of = _hops(at, settings)
-    latent = _unit(_passages(basis, _bucket(words, settings), at, hops, settings))
-    owner = np.searchsorted(hops, np.arange(hops[-1]), "right") - 1
-    marks = _marks(words, hop_of, hops)
-    known = []
-    for k in range(len(block)):
-        mine = words[at[k] : at[k + 1]].tolist()
-        masks: dict[int, int] = {}
-        for p, w in enumerate(mine):
-            masks[w] = masks.get(w, 0) | 1 << p
-        rank = sorted(masks, key=lambda w: (-weights[w % settings.buckets], w))
-        known.append((len(mine), masks, set(rank[: max(1, len(rank) // 2)])))
-    sent = docs.sparkSession.sparkContext.broadcast((latent, owner, marks, known, [r["_item"] for r in block]))
+class Block:
+    """The passages, runs and words of some sections of items."""
+
+    def __init__(self, rows: list, basis: np.ndarray, weights: np.ndarray, settings: Settings):
+        self.names = [r["_item"] for r in rows]
+        self.words = [np.frombuffer(r["_words"], np.uint64) for r in rows]
+        self.answers = [np.frombuffer(r["_answer"], np.uint64) for r in rows]
+        self.sizes = np.array([len(w) for w in self.words])
+        words, at = np.concatenate(self.words), np.concatenate([[0], np.cumsum(self.sizes)])
+        hops, _ = _hops(at, settings)
+        self.latent = _unit(_passages(basis, _bucket(words, settings), at, hops, settings))
+        self.hops, self.owner = hops, np.searchsorted(hops, np.arange(hops[-1]), "right") - 1
+        self.marks = np.zeros((len(rows), 256), np.uint16)
+        np.add.at(self.marks, (np.repeat(np.arange(len(rows)), self.sizes), _mark(words)), 1)
+        self.runs = {}
+        for width in sorted({min(settings.exact, int(n)) for n in self.sizes}):
+            of = np.flatnonzero(np.minimum(settings.exact, self.sizes) == width)
+            part = np.concatenate([self.words[k] for k in of])
+            ends = np.concatenate([[0], np.cumsum(self.sizes[of])])
+            hashes, starts = _runs(part, ends, width)
+            order = np.argsort(hashes, kind="stable")
+            self.runs[width] = hashes[order], of[np.searchsorted(ends, starts[order], "right") - 1]
+        self.weights, self.settings, self.known = weights, settings, {}
+
+    def section(self, k: int) -> tuple[int, dict[int, int], set[int]]:
+        """Size, places of each word as bits, and the informative words of a section."""
+        if k not in self.known:
+            mine, masks = self.words[k].tolist(), {}
+            for p, w in enumerate(mine):
+                masks[w] = masks.get(w, 0) | 1 << p
+            rank = sorted(masks, key=lambda w: (-self.weights[w % self.settings.buckets], w))
+            self.known[k] = len(mine), masks, set(rank[: max(1, len(rank) // 2)])
+        return self.known[k]
+
+    def answered(self, k: int, region: list[int]) -> bool:
+        """Whether the item's answer is in the region, in one piece; without an answer, enough informative words."""
+        if len(answer := self.answers[k].tolist()):
+            return any(region[p : p + len(answer)] == answer for p in range(len(region) - len(answer) + 1))
+        informative = self.section(k)[2]
+        return len(informative.intersection(region)) >= self.settings.answer * len(informative)
+
+
+def _candidates(block: Block, vectors: np.ndarray, words: np.ndarray, at: np.ndarray, hop_of: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hop, section, cosine) of the places that are near a passage of a section, or share a run of words with it."""
+    found = []
+    step = max(1, settings.cosines // len(block.latent))
+    for low in range(0, len(vectors), step):
+        likeness = vectors[low : low + step] @ block.latent.T
+        near, of = np.nonzero(likeness >= settings.cosine)
+        found.append((near + low, block.owner[of], likeness[near, of]))
+    for width, (hashes, sections) in block.runs.items():
+        mine, starts = _runs(words, at, width)
+        low, high = np.searchsorted(hashes, mine), np.searchsorted(hashes, mine, "right")
+        hit = np.flatnonzero(high > low)
+        many = (high - low)[hit]
+        which = np.repeat(low[hit], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        found.append((hop_of[np.repeat(starts[hit], many)], sections[which], np.full(len(which), -1.0, np.float32)))
+    hop, section, cosine = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((-cosine, section, hop))
+    hop, section, cosine = hop[order], section[order], cosine[order]
+    first = np.append(True, (hop[1:] != hop[:-1]) | (section[1:] != section[:-1])) if len(hop) else np.zeros(0, bool)
+    return hop[first], section[first], cosine[first]
+
+
+def _search(docs: DataFrame, rows: list, model, settings: Settings, schema: T.StructType) -> DataFrame:
+    """The pairs of all documents with a block of sections."""
+    sent = docs.sparkSession.sparkContext.broadcast(Block(rows, *model.value, settings))
     kind = to_arrow_type(schema["_item"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        basis = model.value[0]
-        latent, owner, marks, known, names = sent.value
-        least = settings.shared * np.bitwise_count(marks).sum(axis=1)
+        basis, block = model.value[0], sent.value
         for batch in batches:
             for part in pieces(batch, "_text"):
-                ids = part.column("_id")
                 words, at = _words(part.column("_text"))
                 hops, hop_of = _hops(at, settings)
-                b = _bucket(words, settings)
-                vectors = _unit(_passages(basis, b, at, hops, settings))
-                seen_marks = _marks(words, hop_of, hops)
+                vectors = _unit(_passages(basis, _bucket(words, settings), at, hops, settings))
+                hop, section, cosine = _candidates(block, vectors, words, at, hop_of, settings)
+                if not len(hop):
+                    continue
+                doc = np.searchsorted(hops, hop, "right") - 1
+                # A word of the section that is missing around the place can't be in the common subsequence.
+                around = -(-block.sizes[section] // settings.hop)
+                low, high = np.maximum(hop - around, hops[doc]), np.minimum(hop + 2 + around, hops[doc + 1])
+                seen = np.zeros((hops[-1] + 1, 256), np.int32)
+                np.add.at(seen, (hop_of + 1, _mark(words)), 1)
+                np.cumsum(seen, axis=0, out=seen)
+                keep = []
+                for k in range(0, len(hop), 4096):
+                    s = slice(k, k + 4096)
+                    there = seen[high[s]] > seen[low[s]]
+                    keep.append((there * block.marks[section[s]]).sum(axis=1) >= settings.overlap * block.sizes[section[s]] - 1e-9)
                 found: dict[tuple[int, int], list[float]] = {}
-                for low in range(0, len(vectors), 8192):
-                    likeness = vectors[low : low + 8192] @ latent.T
-                    near, of = np.nonzero(likeness >= settings.cosine)
-                    here = seen_marks[low : low + 8192]
-                    alike = np.bitwise_count(here[near] & marks[of]).sum(axis=1) >= least[of]
-                    for w, c in zip(near[alike].tolist(), of[alike].tolist(), strict=True):
-                        place, item = low + w, int(owner[c])
-                        doc = int(np.searchsorted(hops, place, "right")) - 1
-                        cosine = float(likeness[w, c])
-                        if (hit := found.get((doc, item))) is not None:
-                            hit[0] = max(hit[0], cosine)
-                            continue
-                        size, masks, informative = known[item]
-                        middle = int(at[doc]) + (place - int(hops[doc])) * settings.hop
-                        region = words[max(int(at[doc]), middle - size) : min(int(at[doc + 1]), middle + 2 * settings.hop + size)].tolist()
-                        if len(informative.intersection(region)) < settings.answer * len(informative):
+                for k in np.flatnonzero(np.concatenate(keep)).tolist():
+                    d, c, place = int(doc[k]), int(section[k]), int(hop[k])
+                    hit = found.get((d, c))
+                    if hit is None or hit[1] < 1:
+                        size, masks, _ = block.section(c)
+                        middle = int(at[d]) + (place - int(hops[d])) * settings.hop
+                        region = words[max(int(at[d]), middle - size) : min(int(at[d + 1]), middle + 2 * settings.hop + size)].tolist()
+                        if not block.answered(c, region) or (share := lcs(masks, size, region) / size) < settings.overlap - 1e-9:
                             continue
-                        if (share := lcs(masks, size, region) / size) >= settings.overlap:
-                            found[doc, item] = [cosine, share]
+                        hit = found.setdefault((d, c), [-1.0, 0.0])
+                        hit[1] = max(hit[1], share)
+                    if cosine[k] < 0:
+                        cosine[k] = (block.latent[block.hops[c] : block.hops[c + 1]] @ vectors[place]).max()
+                    hit[0] = max(hit[0], float(cosine[k]))
                 if found:
-                    docs_at, items_at = zip(*found, strict=True)
+                    docs_at, sections_at = zip(*found, strict=True)
                     texts = part.column("_text").cast(pa.large_string()).cast(pa.large_binary()).take(pa.array(docs_at))
                     keys = pa.array([hashlib.md5(t).digest() for t in texts.to_pylist()], pa.binary())
-                    columns = [ids.take(pa.array(docs_at)), pa.array([names[k] for k in items_at], kind), pa.array([v[0] for v in found.values()]), pa.array([v[1] for v in found.values()]), keys]
+                    columns = [part.column("_id").take(pa.array(docs_at)), pa.array([block.names[k] for k in sections_at], kind), pa.array([v[0] for v in found.values()]), pa.array([v[1] for v in found.values()]), keys]
                     yield pa.RecordBatch.from_arrays(columns, names=["_id", "_item", "cosine", "overlap", "_key"])
 
     return docs.mapInArrow(run, schema)
 
 
 def drop_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", settings: Settings | None = None) -> DataFrame:
-    """The rows of ``df``, all columns, without those that hold a benchmark item, told apart by id and text."""
+    """The rows of ``df``, all columns, without those that hold a benchmark item, told apart by id and text.
+
+    So of rows with null or equal ids only those whose own text leaks go; a repeated row goes each time. Null and empty
+    texts stay; an empty table or benchmark drops nothing. Rows that don't leak are not shuffled, but for few.
+    """
     leaks = _leaks(df, benchmark, id_col, text_col, item_id, item_text, settings or Settings())
-    leaks = cut(leaks.select(F.col("_id").alias("__id"), F.col("_key").alias("__key")).distinct())
-    rows = df.withColumn("__own", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
-    return rows.join(leaks, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")), "left_anti").drop("__own")
+    of, its_key, own = fresh(df, "_of", "_its_key", "_own")
+    leaks = cut(leaks.select(F.col("_id").alias(of), F.col("_key").alias(its_key)).distinct())
+    key = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    looked = maybe_in(leaks.select(F.xxhash64(of, its_key).alias("h")))(F.xxhash64(F.col(id_col), key))
+    kept = df.where(looked).withColumn(own, key).join(leaks, F.col(id_col).eqNullSafe(F.col(of)) & (F.col(own) == F.col(its_key)), "left_anti")
+    return df.where(~looked).unionByName(kept.drop(own))
