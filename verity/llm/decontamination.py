@@ -157,8 +157,6 @@ def latent_basis(items: DataFrame, weights: np.ndarray, settings: Settings) -> n
     """
     l = settings.rank + 8
     spark = items.sparkSession
-    random = mix(np.arange(settings.buckets * l, dtype=np.uint64) + np.uint64(settings.seed) * np.uint64(1 << 40))
-    omega = (random.astype(np.float64) / 2.0**64 - 0.5).reshape(settings.buckets, l)
     sent = spark.sparkContext.broadcast(weights)
 
     def rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -177,17 +175,20 @@ def latent_basis(items: DataFrame, weights: np.ndarray, settings: Settings) -> n
         norm = np.sqrt(np.maximum(np.bincount(row, value.astype(np.float64) ** 2, minlength=hops[-1]), 1e-12))
         return row, b, value / norm[row], int(hops[-1])
 
-    def project(batch: pa.RecordBatch, by: np.ndarray) -> tuple:
+    def project(batch: pa.RecordBatch) -> tuple:
+        """The entries of A, and Y; a row of W is made where it is used, from the bucket's number."""
         row, b, value, n = rows(batch)
-        y = np.zeros((n, by.shape[1]))
-        np.add.at(y, row, by[b] * value[:, None])
+        used, place = np.unique(b, return_inverse=True)
+        random = mix((used[:, None] * l + np.arange(l)).astype(np.uint64) + np.uint64(settings.seed) * np.uint64(1 << 40))
+        y = np.zeros((n, l))
+        np.add.at(y, row, (random.astype(np.float64) / 2.0**64 - 0.5)[place] * value[:, None])
         return row, b, value, y
 
     def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((l, l))
         for batch in batches:
             for part in pieces(batch, "_text", 1 << 20):
-                y = project(part, omega_sent.value)[-1]
+                y = project(part)[-1]
                 total += y.T @ y
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(l * l)), pa.array(total.reshape(-1))], names=["k", "v"])
 
@@ -195,7 +196,7 @@ def latent_basis(items: DataFrame, weights: np.ndarray, settings: Settings) -> n
         total = np.zeros((settings.buckets, l))
         for batch in batches:
             for part in pieces(batch, "_text", 1 << 20):
-                row, b, value, y = project(part, omega_sent.value)
+                row, b, value, y = project(part)
                 np.add.at(total, b, (y @ inverse)[row] * value[:, None])
         some = np.flatnonzero(np.abs(total).sum(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([total[k].tobytes() for k in some], pa.binary())], names=["b", "m"])
@@ -207,7 +208,6 @@ def latent_basis(items: DataFrame, weights: np.ndarray, settings: Settings) -> n
                 total[b] = total.get(b, 0) + np.frombuffer(m)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["b", "m"])
 
-    omega_sent = spark.sparkContext.broadcast(omega)
     g = np.zeros(l * l)
     for r in items.select("_text").mapInArrow(gram, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
         g[r["k"]] = r["v"]

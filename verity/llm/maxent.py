@@ -36,6 +36,7 @@ class Settings:
     rounds: int = 2
     rate: float = 0.5
     damping: float = 20.0
+    largest: float = 15.0
     batch: int = 2048
     task_tokens: int = 2_000_000
 
@@ -174,16 +175,22 @@ def weight_rows(features: np.ndarray, node: np.ndarray, level: int, settings: Se
 
 
 def probabilities(weights: np.ndarray, logs: np.ndarray, rows: np.ndarray, node: np.ndarray, settings: Settings) -> Iterator[tuple[slice, np.ndarray]]:
-    """The children's probabilities for each token, in cache-sized runs of tokens."""
+    """The children's probabilities for each token, in cache-sized runs of tokens. A run's array is used again for the next.
+
+    Weights are at most ``largest`` in size, so no exponent is too large for what holds it.
+    """
     logs = logs.reshape(-1, logs.shape[-1])
+    ones = np.ones(logs.shape[1], np.float32)
+    room, more = np.empty((settings.batch, logs.shape[1]), np.float32), np.empty((settings.batch, logs.shape[1]), np.float32)
     for low in range(0, len(node), settings.batch):
         part = slice(low, low + settings.batch)
-        z = logs[node[part]]
+        z, w = room[: len(node[part])], more[: len(node[part])]
+        np.take(logs, node[part], axis=0, out=z, mode="clip")
         for k in range(FEATURES):
-            z += weights[rows[k, part]]
-        z -= z.max(axis=1, keepdims=True)
+            np.take(weights, rows[k, part], axis=0, out=w, mode="clip")
+            z += w
         np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
+        z *= (1 / (z @ ones))[:, None]
         yield part, z
 
 
@@ -246,7 +253,7 @@ def summed(texts: DataFrame, tokens: int, sizes: list[int], kind: str, fill: Cal
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays, seen = [np.zeros(n, wide) for n in sizes], 0
         for batch in batches:
-            for part in pieces(batch, "_text"):
+            for part in pieces(batch, "_text", 2 << 20):
                 words, bounds = tokens_of(*utf8(part.column("_text")))
                 fill(words, bounds, arrays)
                 seen += 1
@@ -314,9 +321,12 @@ def train(texts: DataFrame, lexicon: Lexicon, settings: Settings) -> tuple[Tree,
     damping = [settings.damping * e / np.maximum(e.sum(axis=1, keepdims=True), 1e-9) + 1e-6 for e in expected]
 
     def step(o: np.ndarray, e: np.ndarray, d: np.ndarray) -> np.ndarray:
-        return (settings.rate * np.log((o + d) / (e + d))).astype(np.float32)
+        return settings.rate * np.log((o + d) / (e + d))
+
+    def bounded(w: np.ndarray) -> np.ndarray:
+        return np.clip(w, -settings.largest, settings.largest).astype(np.float32)
 
-    weights = [step(*x) for x in zip(observed, expected, damping, strict=True)]
+    weights = [bounded(step(*x)) for x in zip(observed, expected, damping, strict=True)]
     for _ in range(settings.rounds - 1):
         now = spark.sparkContext.broadcast(weights[0])
 
@@ -324,16 +334,18 @@ def train(texts: DataFrame, lexicon: Lexicon, settings: Settings) -> tuple[Tree,
             lexicon, tree = sent.value, tree_sent.value
             found = lexicon.find(words)
             features = contexts(words, bounds, last_anchors(np.where(found >= 0, lexicon.rank[found], -1), bounds, settings))
-            rows, out = weight_rows(features, found, 0, settings), arrays[0].reshape(n, width)
-            for part, p in probabilities(now.value, tree.logs[0], rows, np.zeros(len(words), np.int64), settings):
-                flat = rows[:, part].reshape(-1)
-                order = np.argsort(flat, kind="stable")
-                ordered = flat[order]
-                starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-                out[ordered[starts]] += np.add.reduceat(p[order % len(p)], starts, axis=0)
-
-        model = summed(texts, lexicon.total, [n * width], "<f4", expect, settings)[0].reshape(n, width)
-        weights[0] = weights[0] + step(observed[0], model, damping[0])
+            rows, out = weight_rows(features, found, 0, settings), arrays[0].reshape(width, n)
+            held = np.empty((width, 1 << 16), np.float32)  # so many tokens at a time; children by tokens sum faster
+            for low in range(0, len(words), held.shape[1]):
+                some = rows[:, low : low + held.shape[1]]
+                for part, p in probabilities(now.value, tree.logs[0], some, np.zeros(some.shape[1], np.int64), settings):
+                    held[:, part.start : part.start + len(p)] = p.T
+                for k in range(FEATURES):
+                    for c in range(width):
+                        out[c] += np.bincount(some[k], held[c, : some.shape[1]], minlength=n)
+
+        model = summed(texts, lexicon.total, [n * width], "<f4", expect, settings)[0].reshape(width, n).T
+        weights[0] = bounded(weights[0] + step(observed[0], model, damping[0]))
     return tree, weights
 
 

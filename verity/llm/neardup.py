@@ -38,7 +38,7 @@ class Settings:
     #: Most texts of a bucket whose pairs are compared; those of a larger one all get an edge to its first.
     bucket: int = 4096
     #: Bits of the flags that tell which bands occur twice.
-    flags: int = 26
+    flags: int = 24
     seed: int = 7
 
     @property
