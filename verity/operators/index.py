@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ TABLES = ("postings", "doclens", "vocabulary", "stats")
 
 @dataclass(frozen=True)
 class Index:
-    """postings(term, doc_id, tf), doclens(doc_id, len), vocabulary(term, term_id, df), stats(pid_offset, n, avgdl) in one row, and maybe impacts(term, doc_id, impact)."""
+    """postings(term, doc_id, tf), doclens(doc_id, len), vocabulary(term, term_id, df), stats(pid_offset, n, avgdl) in one row, and maybe impacts(term, doc_id, impact) and bounds(term, df, most)."""
 
     postings: DataFrame
     doclens: DataFrame
@@ -24,6 +24,7 @@ class Index:
     impacts: DataFrame | None = None
     k1: float = K1
     b: float = B
+    bounds: DataFrame | None = None
 
 
 def token_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stopwords: list[str] | None = None) -> DataFrame:
@@ -75,6 +76,11 @@ def term_impacts(index: Index) -> DataFrame:
     return joined.select("term", "doc_id", impact(F.col("tf"), F.col("len"), F.col("avgdl"), F.col("idf"), index.k1, index.b).alias("impact"))
 
 
+def term_bounds(impacts: DataFrame) -> DataFrame:
+    """Documents and greatest impact of each term: no document gets more from it."""
+    return impacts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("impact").alias("most"))
+
+
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stopwords: list[str] | None = None, impacts: bool = True, k1: float = K1, b: float = B) -> Index:
     """All tables of the index, as plans. With ``impacts`` a search looks weights up and adds."""
     tokens = token_table(docs, id_col, text_col, stopwords)
@@ -83,15 +89,28 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return Index(*(getattr(index, t) for t in TABLES), term_impacts(index), k1, b) if impacts else index
 
 
-def write_index(index: Index, path: str) -> None:
-    """Parquet tables; postings and impacts are clustered by term, so a term's row groups can be skipped to."""
-    for name in (*TABLES, *(["impacts"] if index.impacts is not None else [])):
-        table = getattr(index, name)
-        if name in ("postings", "impacts"):
+def write_index(index: Index, path: str) -> Index:
+    """Parquet tables, each made from those written before it, so the texts are read once for the postings and once for the lengths.
+
+    Postings and impacts are clustered by term, so a term's row groups can be skipped to. Returns the stored index.
+    """
+    spark = index.postings.sparkSession
+
+    def stored(table: DataFrame, name: str, clustered: bool = False) -> DataFrame:
+        if clustered:
             table = table.repartitionByRange("term").sortWithinPartitions("term", "doc_id")
         table.write.mode("overwrite").parquet(f"{path}/{name}")
+        return spark.read.parquet(f"{path}/{name}")
+
+    postings, lengths = stored(index.postings, "postings", True), stored(index.doclens, "doclens")
+    made = Index(postings, lengths, stored(vocabulary(postings), "vocabulary"), stored(corpus_stats(lengths), "stats"), None, index.k1, index.b)
+    if index.impacts is None:
+        return made
+    impacts = stored(term_impacts(made), "impacts", True)
+    return replace(made, impacts=impacts, bounds=stored(term_bounds(impacts), "bounds"))
 
 
 def load_index(spark: SparkSession, path: str, impacts: bool = True, k1: float = K1, b: float = B) -> Index:
     tables = [spark.read.parquet(f"{path}/{t}") for t in TABLES]
-    return Index(*tables, spark.read.parquet(f"{path}/impacts") if impacts else None, k1, b)
+    more = [spark.read.parquet(f"{path}/{t}") if impacts else None for t in ("impacts", "bounds")]
+    return Index(*tables, more[0], k1, b, more[1])

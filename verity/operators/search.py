@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from verity.functions.text import tokenize
-from verity.operators.index import Index, term_impacts
+from verity.operators.index import Index, term_bounds, term_impacts
 
 
 def query_terms(queries: DataFrame, keys: list[str], text_col: str, terms: str = "set", stopwords: list[str] | None = None) -> DataFrame:
@@ -42,10 +48,119 @@ def bm25_scores(terms: DataFrame, index: Index, keys: list[str], max_df: int | N
     return terms.join(impacts, "term").groupBy(*keys, "doc_id").agg(F.sum(F.col("weight") * F.col("impact")).alias("score"))
 
 
+def pruned_scores(terms: DataFrame, index: Index, keys: list[str], k: int, seed: int = 40, slack: float = 1e-3) -> DataFrame:
+    """Scores of all documents that can be among the k best of a query, and of few others; same columns as ``bm25_scores``.
+
+    A term adds at most its weight times its greatest impact. The k-th best score over a query's rarest terms (``seed``
+    times k postings or more) is a floor for its k-th best score, so documents that hold only terms whose bounds add up to less
+    are never matched: these are the frequent terms, which have most of the postings. Documents matched by the
+    other terms drop out when even all the bounds left don't lift them to the floor, and only for those that stay are the
+    frequent terms looked up, by term and document. ``slack`` keeps ties after rounding.
+    """
+    rare_first = Window.partitionBy(*keys).orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
+    low_first = Window.partitionBy(*keys).orderBy("_bound", "term").rowsBetween(Window.unboundedPreceding, 0)
+    best_first = Window.partitionBy(*keys).orderBy(F.desc("score"))
+    whole = best_first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    impacts = index.impacts if index.impacts is not None else term_impacts(index)
+    bounds = index.bounds if index.bounds is not None else term_bounds(impacts)
+
+    def score(some: DataFrame) -> DataFrame:
+        return some.join(impacts, "term").groupBy(*keys, "doc_id").agg(F.sum(F.col("weight") * F.col("impact")).alias("score"))
+
+    known = terms.join(bounds, "term").select(*keys, "term", "weight", "df", (F.col("weight") * F.col("most")).alias("_bound"))
+    seeds = known.withColumn("_before", F.coalesce(F.sum("df").over(rare_first), F.lit(0))).where(F.col("_before") < seed * k)
+    floor = score(seeds).withColumn("_at", F.row_number().over(best_first)).where(F.col("_at") <= k).where(F.col("_at") == k).select(*keys, F.col("score").alias("_floor"))
+    known = known.join(floor, keys, "left").withColumn("_low", F.coalesce(F.sum("_bound").over(low_first) < F.col("_floor") - slack, F.lit(False)))
+    low = known.where("_low")
+    rest = low.groupBy(*keys).agg(F.sum("_bound").alias("_rest"))
+    found = score(known.where("NOT _low")).withColumn("_kth", F.nth_value("score", k).over(whole)).join(rest, keys, "left")
+    found = found.where(F.col("_kth").isNull() | (F.col("score") + F.coalesce("_rest", F.lit(0.0)) >= F.col("_kth") - slack)).select(*keys, "doc_id", "score")
+    more = found.select(*keys, "doc_id").join(low.select(*keys, "term", "weight"), keys).join(impacts, ["term", "doc_id"]).select(*keys, "doc_id", (F.col("weight") * F.col("impact")).alias("score"))
+    return found.unionByName(more).groupBy(*keys, "doc_id").agg(F.sum("score").alias("score"))
+
+
+#: Most rows of query terms that are broadcast at once, and most such blocks before terms and postings are joined instead.
+BLOCK, BLOCKS = 1 << 18, 16
+#: Documents of a shard, about: their scores fit a core's cache.
+SHARD = 4096
+
+
+def _score_shard(sent, k: int, digits: int, names_out: list[str]) -> Callable[[pa.Table], pa.Table]:
+    """Scores one shard's postings for the queries of a block."""
+
+    def score(table: pa.Table) -> pa.Table:
+        words, names, query, term, weight = sent.value
+        own = pc.index_in(table.column("term"), words)
+        table = table.append_column("_t", own).filter(pc.is_valid(own)).sort_by([("_t", "ascending"), ("doc_id", "ascending")])
+        docs = table.column("doc_id").to_numpy()
+        known, of = np.unique(docs, return_inverse=True)
+        impact, starts = table.column("impact").to_numpy(), np.searchsorted(table.column("_t").to_numpy(), np.arange(len(words) + 1))
+        held = starts[term + 1] > starts[term]
+        query, term, weight = query[held], term[held], weight[held]
+        firsts = np.flatnonzero(np.append(True, query[1:] != query[:-1])) if len(query) else []
+        found = []
+        for a, z in zip(firsts, [*firsts[1:], len(query)], strict=True):
+            total = np.zeros(len(known))
+            for t, w in zip(term[a:z], weight[a:z], strict=True):
+                part = slice(starts[t], starts[t + 1])
+                total[of[part]] += w * impact[part]
+            rounded = np.round(total, digits)
+            some = np.flatnonzero(total)
+            if len(some) > k:
+                some = some[rounded[some] >= np.partition(rounded[some], len(some) - k)[len(some) - k]]
+                some = some[np.lexsort((some, -rounded[some]))][:k]
+            found.append((np.full(len(some), query[a]), some, total[some]))
+        q, d, s = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        columns = [names.take(pa.array(q)), pa.array(known[d] if len(d) else known[:0]), pa.array(s, pa.float64())]
+        return pa.Table.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], names=names_out)
+
+    return score
+
+
+def sharded_scores(terms: DataFrame, index: Index, key: str, k: int, digits: int, blocks: int, types: T.StructType) -> DataFrame:
+    """The k best documents of each query in each shard of the documents, by (score rounded to ``digits``, doc_id).
+
+    Postings are grouped by shard, and the terms of a block of queries, of bounded size, are broadcast; a task adds up the
+    impacts of one shard in arrays, a query at a time, and sends k rows of each. So matches are never rows of a shuffle,
+    and a frequent term's postings are spread over all shards.
+    """
+    spark = terms.sparkSession
+    impacts = index.impacts if index.impacts is not None else term_impacts(index)
+    shards = max(-(-index.doclens.count() // SHARD), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    placed = impacts.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("_shard"))
+    schema = T.StructType([types[key], *(f for f in impacts.schema if f.name == "doc_id"), T.StructField("score", T.DoubleType())])
+    out = None
+    for b in range(blocks):
+        rows = terms.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b).select(key, "term", "weight").orderBy(key).toArrow()
+        words = pc.unique(rows.column("term"))
+        names = pc.unique(rows.column(key))
+        sent = spark.sparkContext.broadcast((words, names, pc.index_in(rows.column(key), names).to_numpy(), pc.index_in(rows.column("term"), words).to_numpy(), rows.column("weight").to_numpy()))
+
+        best = placed.applyInArrow(_score_shard(sent, k, digits, schema.names), schema)
+        out = best if out is None else out.unionByName(best)
+    return out
+
+
 def search(queries: DataFrame, index: Index, k: int | None = 10, terms: str = "set", keys: list[str] | None = None, text_col: str = "text", max_df: int | None = None, stopwords: list[str] | None = None) -> DataFrame:
-    """The k best documents of each query: keys, rank, doc_id, score. Queries without a known term have none."""
+    """The k best documents of each query: keys, rank, doc_id, score. Queries without a known term have none.
+
+    Equal texts are searched once. Terms of all queries are counted first: if they fill few blocks, they are sent to
+    the shards of the documents; if not, they are joined with the postings, less those that can't matter. With ``k``
+    None all matches are joined and ranked.
+    """
     keys = keys or ["query_id"]
-    return top_k(bm25_scores(query_terms(queries, keys, text_col, terms, stopwords), index, keys, max_df), keys, k)
+    asked = queries.select(*keys, F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("_q"))
+    texts = queries.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text")).distinct().select(F.unhex(F.md5(F.col("_text").cast("binary"))).alias("_q"), "_text")
+    wanted = query_terms(texts, ["_q"], "_text", terms, stopwords)
+    if max_df is not None:
+        wanted = wanted.join(index.vocabulary.where(F.col("df") <= max_df).select("term"), "term", "left_semi")
+    if k is None:
+        scored = bm25_scores(wanted, index, ["_q"])
+    elif (blocks := -(-wanted.count() // BLOCK)) > BLOCKS:
+        scored = pruned_scores(wanted, index, ["_q"], k)
+    else:
+        scored = sharded_scores(wanted, index, "_q", k, 4, max(1, blocks), wanted.schema)
+    return asked.join(top_k(scored, ["_q"], k), "_q").select(*keys, "rank", "doc_id", "score")
 
 
 def search_batches(queries: DataFrame, n: int, order: str = "query_id") -> DataFrame:

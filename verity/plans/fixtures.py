@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from verity.functions import text
 from verity.operators import latency
-from verity.operators.index import Index, build_index
+from verity.operators.index import Index, build_index, load_index, write_index
 from verity.operators.search import search
 from verity.plans.verify import KEYS, questions_of
 
@@ -22,16 +21,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the one that all machines share."""
+    """A new folder in the one that all machines share, spark.checkpoint.dir; only a local session may do without it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/verity-scratch"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/verity-{uuid.uuid4().hex}"
 
 
+#: Where the index of a collection is stored, by application and state of the collection's files.
+_STORED: dict[tuple, str] = {}
+
+
 def collection_index(spark: SparkSession, sf_dir: str) -> Index:
-    return build_index(table(spark, sf_dir, "documents"))
+    """The stored index of the documents: written at the first search, and again when their files change."""
+    docs = table(spark, sf_dir, "documents")
+    files = docs.select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("n"), F.col("_metadata.file_modification_time").alias("t")).distinct()
+    state = (spark.sparkContext.applicationId, sf_dir, *files.agg(F.count(F.lit(1)), F.sum(F.xxhash64("p", "n", "t").bitwiseAND((1 << 40) - 1))).first())
+    if state not in _STORED:
+        path = scratch(spark)
+        write_index(build_index(docs), path)
+        _STORED[state] = path
+    return load_index(spark, _STORED[state])
 
 
 def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,7 +64,7 @@ def idf_table(spark, d):
 
 @query
 def impacts(spark, d):
-    return fx.collection_index(spark, d).impacts.withColumn("impact", F.round("impact", 6))
+    return index.build_index(fx.table(spark, d, "documents")).impacts.withColumn("impact", F.round("impact", 6))
 
 
 @query
@@ -213,10 +213,6 @@ def combined_docs(spark, d):
     return fusion.combine_docs(fx.hits(spark, d), ["request_id", "claim_id"])
 
 
-def _blank_verdict(prompt):
-    return _verdict_text(F.substring(prompt, 1, 60))
-
-
 @query
 def appraisals(spark, d):
     best = fusion.fuse_reciprocal_rank(fx.hits(spark, d), ["request_id", "claim_id"])
@@ -459,10 +455,8 @@ def stream_claims(spark, d):
 @query
 def stream_bm25(spark, d):
     stages.use_state_store(spark)
-    path = fx.scratch(spark)
-    fx.collection_index(spark, d).impacts.write.parquet(path)
     words = text.extract_tokens(fx.questions(_conv_stream(spark, d)))
-    return _drained(spark, stages.stream_bm25(words, spark.read.parquet(path)).where("rank <= 10"))
+    return _drained(spark, stages.stream_bm25(words, fx.collection_index(spark, d).impacts).where("rank <= 10"))
 
 
 @query
