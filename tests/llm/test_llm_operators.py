@@ -106,6 +106,29 @@ def test_op2_keeps_distinct_and_coreferent(spark):
     assert surrogates.pseudonymise(table(spark, rows).where("false"), "k").count() == 0
 
 
+def test_op2_mentions_scripts_and_check_digits(spark):
+    rows = [
+        (1, "Mr. David Novak came. Mr. Novak sat; David Novak left, Dr. David Novak too, not David Novakova."),
+        (2, "Mr. Γιώργος Παπάς και Mr. Παπάς"),
+        (3, "+1 (743) 555-3801 or (743) 555-3801 or 743-555-3801"),
+        (4, "card 4539 1488 0343 6467 and 4539148803436468"),
+        (5, "x" * 60_000 + " Mrs Ada Stone " + "y" * 60_000),
+    ]
+    got = {r["doc_id"]: r["text"] for r in surrogates.pseudonymise(table(spark, rows), "k").collect()}
+    m = re.fullmatch(r"Mr\. (\w+ \w+) came\. Mr\. (\w+) sat; (\w+ \w+) left, Dr\. (\w+ \w+) too, not David Novakova\.", got[1])
+    assert m and m[1] == m[3] == m[4] and m[1].split()[1] == m[2] and "Novak " not in got[1]
+    assert re.fullmatch(r"Mr\. [Ά-ώ]+ ([Ά-ώ]+) και Mr\. \1", got[2]) and "Παπάς" not in got[2]
+    m = re.fullmatch(r"\+1 \((\d{3})\) (\d{3}-\d{4}) or \(\1\) \2 or (\d{3})-(\d{3}-\d{4})", got[3])
+    assert m and (m[1], m[2]) == (m[3], m[4]) and "555-3801" not in got[3]
+
+    def luhn(n):
+        return sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(n))) % 10 == 0
+
+    a, b = (re.sub(r"\D", "", x) for x in re.findall(r"\d[\d ]{14,}\d", got[4]))
+    assert luhn(a) and a[0] == "4" and len(b) == 16 and (a, b) != ("4539148803436467", "4539148803436468")
+    assert re.fullmatch(r"x+ Mrs \w+ \w+ y+", got[5]) and "Stone" not in got[5]
+
+
 def test_op2_draws_again_on_collision(spark):
     entities = spark.createDataFrame([("ip", f"8.8.{a}.{b}") for a in range(60) for b in range(100)], "kind string, entity string")
     made = [r["made"] for r in surrogates.assign(entities, "k").collect()]
@@ -516,6 +539,27 @@ def test_op10_rules(spark):
     assert urls.judge_urls(frame.where("false"), labels).count() == 0
 
 
+def test_op10_mines_planted_rules_and_no_noise(spark):
+    rng = random.Random(21)
+    parts = [f"part{k}" for k in range(12)]
+    url = lambda bad: f"http://h{rng.randrange(40)}.org/{rng.choice(parts)}/{'casino' if bad else rng.choice(parts)}/{rng.randrange(999)}"
+    pages, bad = [], {}
+    for k in range(1200):
+        planted = k % 5 == 0
+        pages.append((k, url(planted) + ("/" + "x" * 30_000 if k == 7 else "")))
+        bad[k] = rng.random() < (0.95 if planted else 0.1)
+    frame = spark.createDataFrame(pages, "page_id long, url string")
+    labels = spark.createDataFrame([(k, int(not b), 0) for k, b in bad.items() if k < 600], "doc_id long, quality int, toxic int")
+    got = {r["page_id"]: r["verdict"] for r in urls.judge_urls(frame, labels).collect()}
+    # pages that taught nothing: the planted rule is found, and nothing else is blocked by chance
+    held = range(600, 1200)
+    assert sum(got[k] == "block" for k in held if k % 5 == 0) == 120
+    assert sum(got[k] == "block" for k in held if k % 5) <= 5
+    # brute force over single tokens and pairs gives the same verdicts for given rules
+    noise = spark.createDataFrame([(k, int(rng.random() < 0.7), 0) for k in range(600)], "doc_id long, quality int, toxic int")
+    assert all(r["verdict"] == "allow" for r in urls.judge_urls(frame, noise).collect())
+
+
 def test_pipeline_stages_chain(spark):
     import corpus_pipeline
 

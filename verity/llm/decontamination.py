@@ -72,18 +72,23 @@ def _hops(at: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _passages(vectors: np.ndarray, buckets: np.ndarray, at: np.ndarray, hops: np.ndarray, settings: Settings) -> np.ndarray:
-    """Sums of the words' vectors by hop and the next hop of the row, a place in the hop at a time."""
+    """Sums of the words' vectors by hop and the next hop of the row, a place in the hop at a time.
+
+    The last of the ``vectors`` is zero, and stands for places without a word.
+    """
     counts = np.diff(hops)
     row = np.repeat(np.arange(len(counts)), counts)
     start = at[row] + (np.arange(hops[-1]) - hops[row]) * settings.hop
     size = np.minimum(at[row + 1] - start, settings.hop)
     sums = np.zeros((hops[-1], vectors.shape[1]), np.float32)
-    for k in range(settings.hop):
-        some = np.flatnonzero(size > k)
-        if len(some) == len(sums):
-            sums += vectors[buckets[start + k]]
-        else:
-            sums[some] += vectors[buckets[start[some] + k]]
+    padded = np.append(buckets, np.full(settings.hop, settings.buckets))
+    room = np.empty((2048, vectors.shape[1]), np.float32)
+    for low in range(0, len(sums), len(room)):  # runs that fit the cache
+        part = sums[low : low + len(room)]
+        for k in range(settings.hop):
+            place = np.where(size[low : low + len(room)] > k, padded[start[low : low + len(room)] + k], settings.buckets)
+            np.take(vectors, place, axis=0, out=room[: len(part)], mode="clip")
+            part += room[: len(part)]
     both = sums.copy()
     inner = np.ones(len(sums), bool)
     inner[hops[1:][counts > 0] - 1] = False
@@ -92,9 +97,25 @@ def _passages(vectors: np.ndarray, buckets: np.ndarray, at: np.ndarray, hops: np
     return both
 
 
-def _mark(words: np.ndarray) -> np.ndarray:
-    """One of 256 marks for each word."""
-    return ((words >> np.uint64(24)) & np.uint64(255)).astype(np.int64)
+def _marks(words: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """256 bits for each row, set by its words."""
+    bits = np.zeros((rows, 256), bool)
+    bits[row, (words >> np.uint64(24)) & np.uint64(255)] = True
+    return np.packbits(bits, axis=1).view(np.uint64)
+
+
+def _union(marks: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Marks of all rows from ``low`` to before ``high``: the union of two runs whose length is a power of two."""
+    power = np.log2(np.maximum(high - low, 1)).astype(np.int64)
+    out = np.zeros((len(low), marks.shape[1]), np.uint64)
+    level = marks
+    for k in range(int(power.max(initial=0)) + 1):
+        some = power == k
+        out[some] = level[low[some]] | level[high[some] - (1 << k)]
+        longer = level.copy()
+        longer[: -(1 << k) or None] |= level[1 << k :] if len(level) > 1 << k else 0
+        level = longer
+    return out
 
 
 def _runs(words: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -288,6 +309,7 @@ def _leaks(df: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item
     items = cut(benchmark.select(F.col(item_id).alias("_item"), F.col(item_text).alias("_text"), answer.alias("_answer")))
     weights = word_weights(docs, items, settings)
     basis = latent_basis(items, weights, settings) * weights[:, None]
+    basis = np.ascontiguousarray(np.vstack([basis, np.zeros((1, basis.shape[1]), np.float32)]))
     model = spark.sparkContext.broadcast((basis, weights))
     schema = T.StructType([docs.schema["_id"], items.schema["_item"], T.StructField("cosine", T.DoubleType()), T.StructField("overlap", T.DoubleType()), T.StructField("_key", T.BinaryType())])
     out = spark.createDataFrame([], schema)
@@ -311,8 +333,6 @@ class Block:
         hops, _ = _hops(at, settings)
         self.latent = _unit(_passages(basis, _bucket(words, settings), at, hops, settings))
         self.hops, self.owner = hops, np.searchsorted(hops, np.arange(hops[-1]), "right") - 1
-        self.marks = np.zeros((len(rows), 256), np.uint16)
-        np.add.at(self.marks, (np.repeat(np.arange(len(rows)), self.sizes), _mark(words)), 1)
         self.runs = {}
         for width in sorted({min(settings.exact, int(n)) for n in self.sizes}):
             of = np.flatnonzero(np.minimum(settings.exact, self.sizes) == width)
@@ -322,6 +342,15 @@ class Block:
             order = np.argsort(hashes, kind="stable")
             self.runs[width] = hashes[order], of[np.searchsorted(ends, starts[order], "right") - 1]
         self.weights, self.settings, self.known = weights, settings, {}
+        # What a place must have: marks of the section's words, and of its informative ones where it has no answer.
+        self.marks = _marks(words, np.repeat(np.arange(len(rows)), self.sizes), len(rows))
+        told = [np.fromiter(self.section(k)[2], np.uint64) for k in range(len(rows))]
+        self.known = {}
+        self.told = _marks(np.concatenate(told), np.repeat(np.arange(len(rows)), [len(x) for x in told]), len(rows))
+        bits, told_bits = (np.bitwise_count(m).sum(axis=1).astype(np.int64) for m in (self.marks, self.told))
+        n = np.array([len(x) for x in told])
+        self.least = bits - np.floor((1 - settings.overlap) * self.sizes + 1e-9)
+        self.least_told = np.where([len(x) == 0 for x in self.answers], np.ceil(settings.answer * n - 1e-9) - (n - told_bits), 0)
 
     def section(self, k: int) -> tuple[int, dict[int, int], set[int]]:
         """Size, places of each word as bits, and the informative words of a section."""
@@ -379,19 +408,19 @@ def _search(docs: DataFrame, rows: list, model, settings: Settings, schema: T.St
                 if not len(hop):
                     continue
                 doc = np.searchsorted(hops, hop, "right") - 1
-                # A word of the section that is missing around the place can't be in the common subsequence.
+                # Each mark that is missing around the place is a word at least that can't be in the common subsequence.
                 around = -(-block.sizes[section] // settings.hop)
                 low, high = np.maximum(hop - around, hops[doc]), np.minimum(hop + 2 + around, hops[doc + 1])
-                seen = np.zeros((hops[-1] + 1, 256), np.int32)
-                np.add.at(seen, (hop_of + 1, _mark(words)), 1)
-                np.cumsum(seen, axis=0, out=seen)
-                keep = []
-                for k in range(0, len(hop), 4096):
-                    s = slice(k, k + 4096)
-                    there = seen[high[s]] > seen[low[s]]
-                    keep.append((there * block.marks[section[s]]).sum(axis=1) >= settings.overlap * block.sizes[section[s]] - 1e-9)
+                used = block.weights[_bucket(words, settings)] > 0
+                marks = _marks(words[used], hop_of[used], int(hops[-1]))
+                keep = np.zeros(len(hop), bool)
+                for k in range(0, len(hop), 1 << 16):
+                    s = slice(k, k + (1 << 16))
+                    there, c = _union(marks, low[s], high[s]), section[s]
+                    has = lambda m, c=c, there=there: np.bitwise_count(there & m[c]).sum(axis=1)
+                    keep[s] = (has(block.marks) >= block.least[c]) & (has(block.told) >= block.least_told[c])
                 found: dict[tuple[int, int], list[float]] = {}
-                for k in np.flatnonzero(np.concatenate(keep)).tolist():
+                for k in np.flatnonzero(keep).tolist():
                     d, c, place = int(doc[k]), int(section[k]), int(hop[k])
                     hit = found.get((d, c))
                     if hit is None or hit[1] < 1:

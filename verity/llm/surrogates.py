@@ -16,8 +16,11 @@ GIVEN = {
     ("cyrillic", "f"): ["анна", "вера", "елена", "ирина", "мария", "нина", "ольга", "софия", "тамара", "юлия"],
     ("cyrillic", "m"): ["антон", "борис", "виктор", "глеб", "иван", "максим", "николай", "олег", "павел", "юрий"],
     ("cyrillic", "n"): ["саша", "женя", "валя", "слава", "паша", "миша", "шура", "тоня", "лёня", "вася"],
+    ("greek", "f"): ["άννα", "ελένη", "ειρήνη", "ζωή", "ιωάννα", "κατερίνα", "μαρία", "νίκη", "σοφία", "χριστίνα"],
+    ("greek", "m"): ["αλέξης", "άρης", "γιάννης", "δημήτρης", "ηλίας", "κώστας", "μάριος", "νίκος", "πέτρος", "σπύρος"],
+    ("greek", "n"): ["λίλη", "μίκυ", "νίνο", "ρένο", "τζο", "τόνι", "φώτη", "χάρι", "ντένι", "σάντι"],
 }
-SYLLABLES = {"latin": ["ba", "ce", "di", "fo", "gu", "ha", "ki", "lo", "me", "nu", "pa", "re", "si", "to", "va", "zu"], "cyrillic": ["ба", "ве", "ди", "го", "гу", "жа", "ки", "ло", "ме", "ну", "па", "ре", "си", "то", "ва", "зу"]}
+SYLLABLES = {"latin": ["ba", "ce", "di", "fo", "gu", "ha", "ki", "lo", "me", "nu", "pa", "re", "si", "to", "va", "zu"], "cyrillic": ["ба", "ве", "ди", "го", "гу", "жа", "ки", "ло", "ме", "ну", "па", "ре", "си", "то", "ва", "зу"], "greek": ["βα", "γε", "δι", "ζο", "θα", "κι", "λο", "με", "νυ", "ξα", "πα", "ρε", "σι", "το", "φα", "χω"]}
 #: Java patterns of the kinds, in the order in which they are tried at a place.
 PATTERNS = {
     "email": r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
@@ -31,6 +34,8 @@ PATTERNS = {
 }
 ANY = "|".join(PATTERNS.values())
 DIGIT_KINDS = ["phone", "ssn", "card", "intl"]
+#: Most rounds of drawing.
+ROUNDS = 40
 
 
 def kind_of(mention: Column) -> Column:
@@ -42,13 +47,29 @@ def kind_of(mention: Column) -> Column:
     return out
 
 
+def country_code(mention: Column) -> Column:
+    """The digits of a phone number's country code; empty where it has none."""
+    return F.regexp_extract(mention, r"^\+([0-9]{1,3})[ .-]?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}$", 1)
+
+
+def check_digit(body: Column) -> Column:
+    """The digit that makes a card number valid (from the right, every other digit counts twice)."""
+    def value(c: Column, i: Column) -> Column:
+        d = c.cast("int")
+        return F.when(i % 2 == 1, d).when(d > 4, 2 * d - 9).otherwise(2 * d)
+
+    total = F.aggregate(F.transform(F.split(F.reverse(body), ""), value), F.lit(0), lambda a, x: a + x)
+    return F.pmod(F.lit(10) - F.pmod(total, F.lit(10)), F.lit(10)).cast("string")
+
+
 def normal(kind: Column, mention: Column) -> Column:
     """What mentions of one entity have in common: digits alone, letters in lower case, a name without its title but with its gender."""
     titled = F.regexp_extract(mention, r"^([\p{L}-]+)\.? (.*)$", 1)
     gender = F.when(titled.isin(TITLES["f"]), "f").when(titled.isin(TITLES["m"]), "m").otherwise("n")
     name = F.concat(gender, F.lit(":"), F.lower(F.regexp_extract(mention, r"^[\p{L}-]+\.? (.*)$", 1)))
     digits = F.regexp_replace(mention, "[^0-9]", "")
-    return F.when(kind.isin(DIGIT_KINDS), digits).when(kind == "person", name).when(kind == "iban", F.replace(mention, F.lit(" "), F.lit(""))).otherwise(F.lower(mention))
+    national = F.substring(digits, F.length(country_code(mention)) + 1, F.length(digits))
+    return F.when(kind == "phone", national).when(kind.isin(DIGIT_KINDS), digits).when(kind == "person", name).when(kind == "iban", F.replace(mention, F.lit(" "), F.lit(""))).otherwise(F.lower(mention))
 
 
 def _draws(key: str, kind: Column, entity: Column, attempt: Column) -> Column:
@@ -87,12 +108,16 @@ def surrogate(kind: Column, entity: Column, draws: Column, attempt: Column) -> C
     spell = lambda text: F.array_join(F.transform(F.split(text, ""), letter), "")
     local, domain = F.substring_index(entity, "@", 1), F.regexp_replace(F.substring_index(entity, "@", -1), r"\.[^.]*$", "")
     email = F.concat(spell(local), F.lit("@"), spell(domain), F.lit(".example"))
-    ip = F.concat_ws(".", F.lit("10"), *(_number(draws, 4 * k, 256).cast("string") for k in range(3)))
+    # Private addresses first; those in the reserved upper range when many of them are taken.
+    ip = F.concat_ws(".", F.when(attempt < 4, "10").otherwise((_number(draws, 16, 16) + 240).cast("string")), *(_number(draws, 4 * k, 256).cast("string") for k in range(3)))
     number = spell(entity)
-    card, ssn = F.concat(F.substring(entity, 1, 1), F.substring(number, F.lit(2), F.length(entity))), F.concat(F.lit("9"), F.substring(number, F.lit(2), F.length(entity)))
+    body = F.concat(F.substring(entity, 1, 1), F.substring(number, F.lit(2), F.length(entity) - 2))
+    valid = F.substring(entity, -1, 1) == check_digit(F.substring(entity, F.lit(1), F.length(entity) - 1))
+    card, ssn = F.concat(body, F.when(valid, check_digit(body)).otherwise(F.substring(number, -1, 1))), F.concat(F.lit("9"), F.substring(number, F.lit(2), F.length(entity)))
     iban = F.concat(F.substring(entity, 1, 2), F.substring(number, F.lit(3), F.length(entity)))
-    script, gender = F.when(F.rlike(entity, F.lit(r"\p{IsCyrillic}")), "cyrillic").otherwise("latin"), F.substring(entity, 1, 1)
-    surname = F.when(script == "cyrillic", _syllables(draws, F.lit(3) + attempt, "cyrillic")).otherwise(_syllables(draws, F.lit(3) + attempt, "latin"))
+    last = F.substring_index(entity, " ", -1)
+    script, gender = F.when(F.rlike(last, F.lit(r"\p{IsCyrillic}")), "cyrillic").when(F.rlike(last, F.lit(r"\p{IsGreek}")), "greek").otherwise("latin"), F.substring(entity, 1, 1)
+    surname = F.when(script == "cyrillic", _syllables(draws, F.lit(3) + attempt, "cyrillic")).when(script == "greek", _syllables(draws, F.lit(3) + attempt, "greek")).otherwise(_syllables(draws, F.lit(3) + attempt, "latin"))
     given = None
     for (s, g), bank in GIVEN.items():
         one = F.concat(F.element_at(F.array(*map(F.lit, bank)), _number(draws, 0, len(bank)) + 1), _syllables(draws, attempt, s), F.lit(" "), F.substring_index(entity, " ", -1))
@@ -110,7 +135,8 @@ def formatted(kind: Column, mention: Column, made: Column) -> Column:
     """The surrogate in the format of the mention: its separators, its title, its case and number of names."""
     chars = F.split(mention, "")
     nth = lambda i: F.length(F.regexp_replace(F.substring(mention, F.lit(1), i + 1), "[^0-9]", ""))
-    digits = F.array_join(F.transform(chars, lambda c, i: F.when(F.rlike(c, F.lit("[0-9]")), F.substring(made, nth(i), F.lit(1))).otherwise(c)), "")
+    code = F.when(kind == "phone", F.length(country_code(mention))).otherwise(0)
+    digits = F.array_join(F.transform(chars, lambda c, i: F.when(F.rlike(c, F.lit("[0-9]")) & (nth(i) > code), F.substring(made, nth(i) - code, F.lit(1))).otherwise(c)), "")
     solid = lambda i: F.length(F.replace(F.substring(mention, F.lit(1), i + 1), F.lit(" "), F.lit("")))
     iban = F.array_join(F.transform(chars, lambda c, i: F.when(c == " ", c).otherwise(F.substring(made, solid(i), F.lit(1)))), "")
     title, name = F.regexp_extract(mention, r"^[\p{L}-]+\.? ", 0), F.initcap(F.substring_index(made, ":", -1))
@@ -151,7 +177,7 @@ def _distinct(entities: DataFrame, key: str) -> DataFrame:
     """
     taken = entities.select("kind", F.col("entity").alias("made"))
     current = entities.withColumn("attempt", F.lit(0))
-    while True:
+    for _ in range(ROUNDS):
         drawn = current.withColumn("made", surrogate(F.col("kind"), F.col("entity"), _draws(key, F.col("kind"), F.col("entity"), F.col("attempt")), F.col("attempt")))
         first = F.row_number().over(Window.partitionBy("kind", "made").orderBy("attempt", "entity")) == 1
         real = taken.withColumn("_real", F.lit(True))
@@ -159,11 +185,12 @@ def _distinct(entities: DataFrame, key: str) -> DataFrame:
         if checked.where("_again").isEmpty():
             return checked.select("kind", "entity", "made")
         current = checked.select("kind", "entity", (F.col("attempt") + F.col("_again").cast("int")).alias("attempt"))
+    raise ValueError(f"no distinct surrogates after {ROUNDS} rounds")
 
 
 def pseudonymise(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Replace the personal data of every whole text: e-mail and IP addresses, phone, card, social security and
-    account numbers, and names after a title.
+    account numbers, and names after a title, with later mentions of the same full name in the text without one.
 
     An entity has one surrogate in all documents and formats, distinct entities have distinct ones, and only the
     key and the entities of the corpus decide them. Texts without personal data are returned as they are and not
@@ -184,5 +211,11 @@ def pseudonymise(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     changed = some.join(maps, "_key", "left")
     between = F.split("_text", ANY, -1)
     filled = F.zip_with(between, F.transform("_found", lambda m: F.coalesce(F.element_at("_map", m), m)), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    changed = changed.select("_id", F.array_join(filled, "").alias("_text"), F.size("_found").cast("long").alias("n_entities"), F.coalesce("kinds", F.array().cast("array<string>")).alias("kinds"))
+    # A full name that a title told is a person's without the title too, anywhere in the text.
+    pairs = F.filter(F.map_entries("_map"), lambda e: F.rlike(e["key"], F.lit(f"^(?:{PATTERNS['person']})$")) & (F.size(F.split(e["key"], " ")) > 2))
+    bare = lambda m: F.regexp_extract(m, r"^[\p{L}-]+\.? (.*)$", 1)
+    again = lambda t, e: F.regexp_replace(t, F.concat(F.lit(r"(?<![\p{L}'’-])\Q"), bare(e["key"]), F.lit(r"\E(?![\p{L}'’-])")), bare(e["value"]))
+    whole = F.array_join(filled, "")
+    told = F.when(F.size(F.coalesce(pairs, F.array().cast("array<struct<key:string,value:string>>"))) > 0, F.aggregate(pairs, whole, again)).otherwise(whole)
+    changed = changed.select("_id", told.alias("_text"), F.size("_found").cast("long").alias("n_entities"), F.coalesce("kinds", F.array().cast("array<string>")).alias("kinds"))
     return plain.unionByName(changed).select(F.col("_id").alias(id_col), F.col("_text").alias(text_col), "n_entities", "kinds")

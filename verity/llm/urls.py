@@ -71,19 +71,24 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     return F.when(F.locate("://", url) > 0, F.array_distinct(known)).otherwise(F.array().cast("array<string>"))
 
 
-def mine_rules(tokens: DataFrame, labels: DataFrame, support: float, confidence: float, lift: float) -> DataFrame:
+def mine_rules(tokens: DataFrame, labels: DataFrame, support: float, confidence: float, lift: float, pages: int, sure: float) -> DataFrame:
     """Rules (antecedent, confidence) whose consequent is the block label, from labelled rows (``_id``, ``_tokens``).
 
     ``labels`` has ``_id`` and ``_bad``. Rules below the support, confidence or lift are pruned, and so is a rule
-    with more tokens than another of its tokens and no higher confidence.
+    with more tokens than another of its tokens and no higher confidence. A rule must hold for ``pages`` labelled pages
+    at least, however few there are, and its confidence must be ``sure`` standard errors above the share of unwanted
+    pages, so a few pages that happen to be unwanted make no rule.
     """
     known = tokens.join(labels, "_id")
     items = F.when(F.col("_bad"), F.concat(F.col("_tokens"), F.array(F.lit(BLOCK)))).otherwise(F.col("_tokens"))
     baskets = cut(known.select(items.alias("items")).where(F.size("items") > 0))
-    if baskets.isEmpty():
+    total = baskets.count()
+    if total < pages:
         return baskets.sparkSession.createDataFrame([], "antecedent array<string>, confidence double")
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
-    rules = model.associationRules.where((F.element_at("consequent", 1) == BLOCK) & (F.col("lift") >= lift))
+    model = FPGrowth(itemsCol="items", minSupport=max(support, pages / total), minConfidence=confidence).fit(baskets)
+    base, held = F.col("confidence") / F.col("lift"), F.col("support") * total / F.col("confidence")
+    error = F.sqrt(F.greatest(base * (1 - base), F.lit(1e-12)) / held)
+    rules = model.associationRules.where((F.element_at("consequent", 1) == BLOCK) & (F.col("lift") >= lift) & (F.col("confidence") - base >= sure * error))
     rules = cut(rules.select(F.array_sort("antecedent").alias("antecedent"), "confidence"))
     # A rule is redundant beside a shorter one: both are looked up by the shorter one's tokens.
     whole = rules.select(F.explode("antecedent").alias("_t"), F.col("antecedent").alias("_long"), F.col("confidence").alias("_high"))
@@ -119,13 +124,16 @@ def judge_urls(
     support: float = 0.005,
     confidence: float = 0.5,
     lift: float = 1.2,
+    least_pages: int = 10,
+    sure: float = 4.0,
 ) -> DataFrame:
     """Allow or block every URL: the longest given rule that fits, else the mined rules, else allow.
 
     ``labels`` tells by ``label_id`` which pages are unwanted (``bad``; by default quality 0 or toxic 1, null
     counts as good). A page without label, or with a null id, is judged but teaches nothing; equal labels of an id
     count once, and of differing ones the bad one. Null and malformed URLs have an empty host and path and are allowed by default. A row is given for each row; an empty
-    table gives none; without labels no rule is mined. Returns id_col, host, path, rule, verdict.
+    table gives none; without labels, or with fewer than ``least_pages`` labelled pages, no rule is mined. Equal
+    confidences stand side by side. Returns id_col, host, path, rule, verdict.
     """
     rules = RULES if rules is None else rules
     bad = F.coalesce((F.col("quality") == 0) | (F.col("toxic") == 1), F.lit(False)) if bad is None else bad
@@ -135,7 +143,7 @@ def judge_urls(
     urls = urls.select(F.col("_url").alias("_id"), url_tokens(F.col("_url"), F.col("host"), F.col("path")).alias("_tokens"))
     taught = labels.select(F.col(label_id).alias("_id"), bad.alias("_bad")).groupBy("_id").agg(F.max("_bad").alias("_bad"))
     seen = rows.select("_id", url_tokens(F.col("_url"), F.col("host"), F.col("path")).alias("_tokens")).dropDuplicates(["_id"])
-    mined = mine_rules(seen, taught, support, confidence, lift)
+    mined = mine_rules(seen, taught, support, confidence, lift, least_pages, sure)
     hit = match_rules(urls, mined).select(F.col("_id").alias("_url"), F.lit(True).alias("_hit"))
     out = rows.join(hit, "_url", "left").withColumns({"rule": longest_rule(rules, "text"), "_given": longest_rule(rules, "verdict")})
     verdict = F.coalesce("_given", F.when(F.col("_hit"), "block"), F.lit("allow"))
