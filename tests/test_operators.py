@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from verity.functions import inference
 from verity.operators import dense, fusion, latency, nesting, runs
+from verity.operators import search as searching
 from verity.operators.index import build_index, load_index, write_index
 from verity.operators.search import search
 from verity.plans.flow import Flow
@@ -53,9 +54,9 @@ def test_rerank_and_fallback(spark):
     q = spark.createDataFrame([("a", 0, [1.0, 0.0]), ("a", 1, [0.0, 1.0]), ("b", 0, [1.0, 0.0])], "query_id string, tok_pos int, vec array<float>")
     d = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 2.0]), (2, [3.0, 0.0])], "doc_id long, vec array<float>")
     cands = spark.createDataFrame([("a", 1)], "query_id string, doc_id long")
-    rows = {(r["query_id"], r["doc_id"]): (r["rank"], r["score"]) for r in dense.rerank(cands, q, d, ["query_id"]).collect()}
+    rows = {(r["query_id"], r["doc_id"]): (r["rank"], r["score"]) for r in dense.rerank(cands, q, d, ["query_id"], fallback=True).collect()}
     assert rows == {("a", 1): (1, 3.0), ("b", 2): (1, 3.0), ("b", 1): (2, 1.0)}
-    assert {r["query_id"] for r in dense.rerank(cands, q, d, ["query_id"], fallback=False).collect()} == {"a"}
+    assert {r["query_id"] for r in dense.rerank(cands, q, d, ["query_id"]).collect()} == {"a"}
 
 
 def test_fusion_and_default_verdict(spark):
@@ -158,3 +159,38 @@ def test_generator_and_stages(spark):
         inference.map_stage(rows, lambda batch: [], "k int", batched=True).collect()
     out = inference.generate(spark.createDataFrame([("p",)], "t string"), "t", "g", lambda ps, model, temperature, max_tokens: [f"{model}{p}{max_tokens}" for p in ps], load=lambda: "m")
     assert out.first()["g"] == "mp512"
+
+
+def test_search_gives_the_same_by_shards_and_by_pruned_joins(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(200)]
+    share = [1 / (k + 1) for k in range(200)]
+    text = lambda n: " ".join(rng.choices(words, share, k=n))
+    docs = [(k, text(rng.randint(1, 60))) for k in range(600)]
+    docs += [(1000 + k, docs[k][1]) for k in range(50)] + [(2000, ""), (2001, None)]
+    index = build_index(spark.createDataFrame(docs, "doc_id long, text string"))
+    queries = [(k, text(rng.randint(1, 8))) for k in range(60)]
+    queries += [(100, queries[0][1]), (101, "unknown"), (102, None), (103, "w0 w1 w0")]
+    asked = spark.createDataFrame(queries, "query_id long, text string")
+    every = searching.search(asked, index, None, "bag").where("rank <= 7")
+    want = {(r["query_id"], r["rank"]): (r["doc_id"], r["score"]) for r in every.collect()}
+    assert len(want) == 7 * 62
+    for limit in (16, 0):  # no block is allowed: terms and postings are joined
+        monkeypatch.setattr(searching, "BLOCKS", limit)
+        for block in (1 << 18, 40):
+            monkeypatch.setattr(searching, "BLOCK", block)
+            got = {(r["query_id"], r["rank"]): (r["doc_id"], r["score"]) for r in searching.search(asked, index, 7, "bag").collect()}
+            assert got == want
+
+
+def test_read_collection_raises_on_bad_ids(spark, tmp_path):
+    import pytest
+    from pyspark.errors import PySparkException
+
+    (tmp_path / "c.tsv").write_text("1\ttext\tmore\n7\ta\tx\n8\tb\n")
+    assert [tuple(r) for r in files.read_collection(spark, str(tmp_path / "c.tsv")).collect()] == [(7, "a"), (8, "b")]
+    (tmp_path / "d.tsv").write_text("id\ttext\n7\ta\nseven\tb\n")
+    with pytest.raises(PySparkException):
+        files.read_collection(spark, str(tmp_path / "d.tsv")).collect()

@@ -16,6 +16,15 @@ def _tokens(col: str) -> str:
     return f"list_filter(string_split_regex(lower(translate({col}, {_text(PUNCTUATION)}, '')), '\\s+'), lambda x: x <> '' AND NOT list_contains({STOPS}, x))"
 
 
+def _words(col: str) -> str:
+    return f"list_filter(string_split_regex({col}, '[ \\t\\n\\f\\r]+'), lambda x: x <> '')"
+
+
+def _cell(word: str, j: str) -> str:
+    """Eight times a number of the stand-in encoder's vector of a word."""
+    return f"(len({word}) * 31 + CASE WHEN {j} > len({word}) THEN 0 ELSE unicode(substr({word}, {j}, 1)) END * 7) % 17 - 8"
+
+
 def _pieces(col: str, separator: str) -> str:
     return f"list_filter(string_split({col}, {separator}), lambda x: x <> '')"
 
@@ -195,6 +204,10 @@ BODIES = {
     "bucket_load_hash": "SELECT bucket, items, round(items / avg(items) OVER (), 4) AS skew FROM (SELECT (user_id % 8)::INT AS bucket, count(*) AS items FROM events GROUP BY 1)",
     "bucket_load_rr": "SELECT bucket, items, round(items / avg(items) OVER (), 4) AS skew FROM (SELECT (k % 8)::INT AS bucket, count(*) AS items FROM (SELECT row_number() OVER (ORDER BY event_id) - 1 AS k FROM events) GROUP BY 1)",
     "stream_claims": "SELECT * FROM claims",
+    "stream_questions": "SELECT * FROM questions",
+    "stream_tokens": "SELECT request_id, claim_id, question_id, pos, word, last_token FROM words",
+    "udf_encode": f"""SELECT request_id, 32 AS n_rows, array_to_string(flatten(list_transform(range(1, 33), lambda i: list_transform(range(1, 9), lambda j:
+        CASE WHEN i > len(ws) THEN 0 ELSE {_cell("ws[i]", "j")} END))), ',') AS cells FROM (SELECT request_id, {_words("query")}[1:32] AS ws FROM requests)""",
     "stream_bm25": "SELECT request_id, claim_id, question_id, rank, doc_id, score FROM ranked WHERE rank <= 10",
     "stream_rendezvous": "SELECT request_id, claim_id, question_id, claim, question FROM claims JOIN questions USING (request_id, claim_id)",
     "stream_response": "SELECT * FROM nested",

@@ -11,7 +11,7 @@ from verity.functions import inference, text, vectors
 from verity.operators import dense, fusion, index, latency, nesting, runs, search
 from verity.plans import fixtures as fx
 from verity.plans.flow import Flow
-from verity.plans.verify import KEYS, verify
+from verity.plans.verify import KEYS, sentences, verify
 from verity.sources import files, runlogs
 from verity.streaming import stages
 
@@ -171,8 +171,8 @@ def _vectors(spark, d, m=20):
 @query
 def maxsim_topk(spark, d):
     q, docs = _vectors(spark, d)
-    pairs = q.select("query_id").distinct().crossJoin(F.broadcast(docs.select("doc_id").distinct()))
-    return search.top_k(dense.maxsim(pairs, q, docs, ["query_id"]), ["query_id"], 5)
+    # A stated set of queries, each against all documents.
+    return dense.rerank(q.select("query_id", F.lit(None).cast("long").alias("doc_id")).where("false"), q, docs, ["query_id"], 5, fallback=True)
 
 
 def _candidates(q):
@@ -182,13 +182,13 @@ def _candidates(q):
 @query
 def rerank_candidates(spark, d):
     q, docs = _vectors(spark, d)
-    return dense.rerank(_candidates(q), q, docs, ["query_id"], 5, fallback=False)
+    return dense.rerank(_candidates(q), q, docs, ["query_id"], 5)
 
 
 @query
 def rerank_fallback(spark, d):
     q, docs = _vectors(spark, d)
-    return dense.rerank(_candidates(q).where("query_id % 4 <> 0"), q, docs, ["query_id"], 5)
+    return dense.rerank(_candidates(q).where("query_id % 4 <> 0"), q, docs, ["query_id"], 5, fallback=True)
 
 
 @query
@@ -447,16 +447,38 @@ def _conv_stream(spark, d):
 def stream_claims(spark, d):
     stages.use_state_store(spark)
     rows = fx.answers(_conv_stream(spark, d)).withColumn("generation", text.clean_generation(F.col("generation"), "claims"))
-    half = F.substring("generation", F.lit(1), (F.length("generation") / 2).cast("int"))
-    both = F.array(F.struct(half.alias("text"), F.lit(False).alias("done")), F.struct(F.col("generation").alias("text"), F.lit(True).alias("done")))
-    return _drained(spark, stages.stream_split(rows.select("request_id", F.inline(both))))
+    return _drained(spark, stages.stream_split(_growing(rows, ["request_id"])))
 
 
 @query
 def stream_bm25(spark, d):
     stages.use_state_store(spark)
+    path = fx.scratch(spark)
     words = text.extract_tokens(fx.questions(_conv_stream(spark, d)))
-    return _drained(spark, stages.stream_bm25(words, fx.collection_index(spark, d).impacts).where("rank <= 10"))
+    stages.stream_bm25(words, fx.collection_index(spark, d), f"{path}/out", f"{path}/state").awaitTermination()
+    return spark.read.parquet(f"{path}/out").where("rank <= 10").select(*KEYS, "rank", "doc_id", "score")
+
+
+def _growing(rows, keys):
+    """Each text as a half and as a whole."""
+    half = F.substring("generation", F.lit(1), (F.length("generation") / 2).cast("int"))
+    both = F.array(F.struct(half.alias("text"), F.lit(False).alias("done")), F.struct(F.col("generation").alias("text"), F.lit(True).alias("done")))
+    return rows.select(*keys, F.inline(both))
+
+
+@query
+def stream_questions(spark, d):
+    stages.use_state_store(spark)
+    keys = ["request_id", "claim_id"]
+    asked = fx.claims(_conv_stream(spark, d)).select(*keys, text.clean_generation(sentences(F.col("claim")), "queries").alias("generation"))
+    return _drained(spark, stages.stream_split(_growing(asked, keys), keys, "question_id", "question", "last_question"))
+
+
+@query
+def stream_tokens(spark, d):
+    stages.use_state_store(spark)
+    asked = fx.questions(_conv_stream(spark, d)).select(*KEYS, F.col("question").alias("generation"))
+    return _drained(spark, stages.stream_split(_growing(asked, KEYS), KEYS, "pos", "word", "last_token", " \n"))
 
 
 @query
@@ -523,4 +545,5 @@ def udtf_split(spark, d):
 @query
 def udf_encode(spark, d):
     made = inference.encode(fx.requests(_conv(spark, d)), "query")
-    return made.select("request_id", F.size("vectors").alias("n_rows"), F.flatten("vectors").alias("vectors"))
+    cells = F.transform(F.flatten("vectors"), lambda x: (x * 8).cast("int").cast("string"))
+    return made.select("request_id", F.size("vectors").alias("n_rows"), F.array_join(cells, ",").alias("cells"))

@@ -12,11 +12,16 @@ def _tsv(spark: SparkSession, path: str, schema: str, header: bool, mode: str =
 
 
 def read_collection(spark: SparkSession, path: str, fmt: str = "tsv") -> DataFrame:
-    """(doc_id, text) from a TSV file with a header whose first two columns count, or from Parquet with those names."""
+    """(doc_id, text) from a TSV file with a header whose first two columns count, or from Parquet with those names.
+
+    Further columns are ignored; a row whose id is no number raises.
+    """
     if fmt == "parquet":
         return spark.read.parquet(path).select("doc_id", "text")
-    lines = spark.read.text(path).withColumn("_p", F.split("value", "\t", -1))
-    return lines.select(F.expr("try_cast(_p[0] AS BIGINT)").alias("doc_id"), F.get("_p", F.lit(1)).alias("text")).where("doc_id IS NOT NULL")
+    rows = spark.read.options(sep="\t", header=True, quote="").csv(path)
+    number, text = (F.col(f"`{c}`") for c in rows.columns[:2])
+    bad = F.raise_error(F.concat(F.lit("not a document id: "), F.coalesce(number, F.lit("")))).cast("bigint")
+    return rows.select(F.coalesce(number.try_cast("bigint"), bad).alias("doc_id"), text.alias("text"))
 
 
 def read_evidence(spark: SparkSession, path: str) -> DataFrame:

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from verity.operators.index import Index
+from verity.operators.search import search
+
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 HIT = "struct<rank:int,doc_id:bigint,score:double>"
 
@@ -19,57 +24,71 @@ def use_state_store(spark: SparkSession) -> None:
 
 
 class Splitter(StatefulProcessor):
-    """Complete lines of growing snapshots, each once; the rest, or a blank child, when the text is done.
+    """Complete pieces of growing snapshots, each once; the rest, or a blank child, when the text is done.
 
     One child is held back until the next is known, so that the last one is marked. State: the length of what has
     been taken, the next id and the child held back.
     """
 
+    def __init__(self, names: list[str], separators: str):
+        self.names, self.separators = names, separators
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", "taken long, next int, held string, done boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         taken, number, held, done = self.state.get() if self.state.exists() else (0, 0, None, False)
         out = []
+
+        def child(value: str, last: bool) -> Row:
+            return Row(**dict(zip(self.names, (*key, number, value, last), strict=True)))
+
         for row in sorted(rows, key=lambda r: (len(r.text), r.done)):
             if done or len(row.text) < taken:
                 continue
             rest = row.text[taken:]
-            cut = len(rest) if row.done else rest.rfind("\n") + 1
-            for line in rest[:cut].split("\n"):
-                if line:
+            cut = len(rest) if row.done else max(rest.rfind(c) for c in self.separators) + 1
+            for piece in re.split(f"[{re.escape(self.separators)}]", rest[:cut]):
+                if piece:
                     if held is not None:
-                        out.append(Row(request_id=key[0], claim_id=number, claim=held, last_claim=False))
+                        out.append(child(held, False))
                         number += 1
-                    held = line
+                    held = piece
             taken, done = taken + cut, row.done
             if done:
-                out.append(Row(request_id=key[0], claim_id=number, claim=held or "", last_claim=True))
+                out.append(child(held or "", True))
         self.state.update((taken, number, held, done))
         return iter(out)
 
     def close(self) -> None: ...
 
 
-def stream_split(snapshots: DataFrame) -> DataFrame:
-    """snapshots(request_id, text, done) to claims; a text must be cleaned on the left already, as it grows."""
-    return snapshots.groupBy("request_id").transformWithState(Splitter(), "request_id long, claim_id int, claim string, last_claim boolean", "Append", "None")
+def stream_split(snapshots: DataFrame, keys: list[str] | None = None, id_col: str = "claim_id", value_col: str = "claim", last_col: str = "last_claim", separators: str = "\n") -> DataFrame:
+    """snapshots(keys, text, done) to children; a text must be cleaned on the left already, as it grows.
+
+    By default answers to claims; claims to questions and questions to words (``separators`` " \\n") with other names.
+    """
+    keys = keys or ["request_id"]
+    schema = T.StructType([*(snapshots.schema[k] for k in keys), T.StructField(id_col, T.IntegerType()), T.StructField(value_col, T.StringType()), T.StructField(last_col, T.BooleanType())])
+    return snapshots.groupBy(*keys).transformWithState(Splitter(schema.names, separators), schema, "Append", "None")
 
 
 class Collector(StatefulProcessor):
     """Keeps the parts of a key until all have arrived, emits once, and drops them; later parts are ``late``.
 
     ``ready`` maps {tag: {part id: payload}} to the payload to emit, or to None while something is missing. With
-    ``timeout_ms`` an unready key is emitted as ``incomplete`` then.
+    ``timeout_ms`` an unready key is emitted as ``incomplete`` then, and the mark of a key that was sent is forgotten
+    ``keep_ms`` after (by default ten times as long), so the state is bounded by what came of late.
     """
 
-    def __init__(self, ready: Callable[[dict], str | None], timeout_ms: int | None = None):
+    def __init__(self, ready: Callable[[dict], str | None], timeout_ms: int | None = None, keep_ms: int | None = None):
         self.ready, self.timeout_ms = ready, timeout_ms
+        self.keep_ms = keep_ms or (10 * timeout_ms if timeout_ms else None)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.parts = handle.getMapState("parts", "tag string, part string", "payload string")
-        self.sent = handle.getValueState("sent", "status string")
+        self.sent = handle.getValueState("sent", "status string", self.keep_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         late, fresh = [], not self.parts.exists()
@@ -112,35 +131,36 @@ def _tagged(df: DataFrame, key: list[str], tag: str, part: list[str]) -> DataFra
     return df.select(F.concat_ws("/", *key).alias("key"), F.lit(tag).alias("tag"), F.concat_ws("/", *part).alias("part") if part else F.lit("").alias("part"), payload.alias("payload"))
 
 
-def _hits_ready(found: dict) -> str | None:
-    """All words of a question have come: sum the scores and rank them."""
+KEYS = ["request_id", "claim_id", "question_id"]
+
+
+def _words_ready(found: dict) -> str | None:
+    """All words of a question have come: the question."""
     words = [json.loads(p) for p in found.get("token", {}).values()]
     last = [w["pos"] for w in words if w["last_token"]]
     if not last or len(words) <= last[0]:
         return None
-    scores: dict[int, float] = {}
-    for w in words:
-        for x in w.get("impacts", []):
-            scores[x["doc_id"]] = scores.get(x["doc_id"], 0.0) + x["impact"]
-    ranked = sorted(((-round(v, 4), d) for d, v in scores.items()))[:200]
-    return json.dumps([{"rank": k + 1, "doc_id": d, "score": -s} for k, (s, d) in enumerate(ranked)])
+    return " ".join(w.get("word", "") for w in sorted(words, key=lambda w: w["pos"]))
 
 
-def stream_bm25(tokens: DataFrame, impacts: DataFrame) -> DataFrame:
-    """tokens(keys, pos, word, last_token) to the 200 best documents of each question, when its last word has come.
+def stream_bm25(tokens: DataFrame, index: Index, path: str, checkpoint: str, k: int = 200, **trigger):
+    """tokens(keys, pos, word, last_token) to the k best documents of each question, written once its last word has come.
 
-    ``impacts`` is a static table; each word is joined with the weights of its terms before the state.
+    The state holds a question's words only. The questions that a batch completes are searched as any others are, and
+    written to ``path``/batch=n in place of what is there, so a batch that is tried again leaves the same. Returns the
+    started query.
     """
-    from verity.functions.text import tokenize
-
-    keys = ["request_id", "claim_id", "question_id"]
-    terms = tokens.select(*keys, "pos", "last_token", F.explode_outer(tokenize(F.col("word"))).alias("term"))
-    listed = impacts.groupBy("term").agg(F.collect_list(F.struct("doc_id", "impact")).alias("impacts"))
-    joined = terms.join(listed, "term", "left").select(*keys, "pos", "last_token", "impacts")
-    out = collect_parts(_tagged(joined, keys, "token", ["pos"]), _hits_ready)
+    out = collect_parts(_tagged(tokens.select(*KEYS, "pos", "word", "last_token"), KEYS, "token", ["pos"]), _words_ready)
     ids = F.split("key", "/")
-    rows = out.where("status = 'complete'").select(*(ids[k].cast("long" if not k else "int").alias(c) for k, c in enumerate(keys)), F.explode_outer(F.from_json("payload", f"array<{HIT}>")).alias("h"))
-    return rows.where("h IS NOT NULL").select(*keys, "h.*")
+    complete = out.where("status = 'complete'").select(*(ids[i].cast("long" if not i else "int").alias(c) for i, c in enumerate(KEYS)), F.col("payload").alias("question"))
+
+    def step(batch: DataFrame, number: int) -> None:
+        # Kept, so that the state is read once though the questions are used more than once.
+        asked = batch.persist()
+        search(asked, index, k, "bag", KEYS, "question").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        asked.unpersist()
+
+    return complete.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def stream_rendezvous(left: DataFrame, right: DataFrame, keys: list[str], time_col: str | None = None, within: str = "1 hour") -> DataFrame:
@@ -210,13 +230,16 @@ def stream_appraise(claims: DataFrame, questions: DataFrame, hits: DataFrame, ti
 
 
 def stream_latency(answered: DataFrame, path: str, checkpoint: str, **trigger):
-    """Keep answered requests in a table and, after each batch, append the statistics of all so far to ``path``/stats."""
+    """Keep answered requests in a table and, after each batch, write the statistics of all so far to ``path``/stats.
+
+    Both are written by batch number in place of what is there, so a batch that is tried again counts once.
+    """
     from verity.operators.latency import summary_stats
 
     def step(batch: DataFrame, number: int) -> None:
-        batch.write.mode("append").parquet(f"{path}/rows")
-        stats = summary_stats(batch.sparkSession.read.parquet(f"{path}/rows"), "latency")
-        stats.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{path}/stats")
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        known = batch.sparkSession.read.parquet(f"{path}/rows").where(F.col("batch") <= number)
+        summary_stats(known, "latency").write.mode("overwrite").parquet(f"{path}/stats/batch={number}")
 
     return answered.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
