@@ -399,7 +399,7 @@ def test_op7_equals_all_pairs(spark, corpus):
     docs = [*corpus, *family, family[0]]
     want = brute_classes(docs)
     # blocks of 16 meet two by two; buckets of over 4 texts have edges to the first text only
-    for settings in (neardup.Settings(), neardup.Settings(block_texts=16), neardup.Settings(bucket=4, flags=8)):
+    for settings in (neardup.Settings(), neardup.Settings(block_texts=16, bucket=4, flags=8)):
         rows = neardup.join_similar(table(spark, docs), settings=settings).collect()
         got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["class_id"] is None, r["class_id"] or 0, r["n_links"]) for r in rows)
         assert got == want

@@ -1,6 +1,6 @@
 """Streams give what their batch twins give, in whatever order the parts arrive."""
 
-import itertools
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -54,3 +54,44 @@ def test_latency_stream(spark, tmp_path):
     rows = spark.readStream.schema("request_id long, latency double").parquet(str(source))
     stages.stream_latency(rows, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out/stats")).first()["avg"] == 1.0
+
+
+def test_unfinished_requests_time_out(spark, tmp_path):
+    stages.use_state_store(spark)
+    streams = {}
+    for name, (schema, _) in PARTS.items():
+        (tmp_path / name).mkdir()
+        streams[name] = spark.readStream.schema(schema).parquet(str(tmp_path / name))
+    out = stages.stream_response(*(streams[n] for n in ("answers", "claims", "questions", "hits")), timeout_ms=1)
+    for number in (1, 2):  # the second request only makes time pass
+        spark.createDataFrame([(number, "g")], PARTS["answers"][0]).coalesce(1).write.mode("append").parquet(str(tmp_path / "answers"))
+        assert stages.run_stream(out, str(tmp_path / "out"), str(tmp_path / "state"))
+        time.sleep(0.2)
+    got = [(r["key"], r["status"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert ("1", "incomplete") in got and "complete" not in {s for _, s in got}
+
+
+def test_rendezvous_within_an_hour(spark, tmp_path):
+    stages.use_state_store(spark)
+    left = [(1, "2024-01-01 10:00:00", "a"), (2, "2024-01-01 10:00:00", "b")]
+    right = [(1, "2024-01-01 10:30:00", "x"), (2, "2024-01-01 12:30:00", "y")]
+    streams = []
+    for name, rows in (("left", left), ("right", right)):
+        spark.createDataFrame(rows, f"k long, at string, {name} string").withColumn("at", F.col("at").cast("timestamp")).write.parquet(str(tmp_path / name))
+        streams.append(spark.readStream.schema(f"k long, at timestamp, {name} string").parquet(str(tmp_path / name)))
+    stages.run_stream(stages.stream_rendezvous(*streams, ["k"], "at", "1 hour"), str(tmp_path / "out"), str(tmp_path / "state"))
+    assert [(r["k"], r["left"], r["right"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(1, "a", "x")]
+
+
+def test_latency_batches_count_once(spark, tmp_path):
+    schema = "request_id long, latency double"
+    source = tmp_path / "in"
+    for value in (1.0, 3.0):
+        spark.createDataFrame([(1, value)], schema).coalesce(1).write.mode("append").parquet(str(source))
+        stages.stream_latency(spark.readStream.schema(schema).parquet(str(source)), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    # a batch that is tried again leaves what it left before
+    (tmp_path / "state/commits/1").unlink()
+    (tmp_path / "state/commits/.1.crc").unlink(missing_ok=True)
+    stages.stream_latency(spark.readStream.schema(schema).parquet(str(source)), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    stats = {r["batch"]: (r["avg"], r["count"]) for r in spark.read.parquet(str(tmp_path / "out/stats")).collect()}
+    assert stats == {0: (1.0, 1), 1: (2.0, 2)}

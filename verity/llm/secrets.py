@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verity.llm.common import cut
+from verity.llm.common import cut, fresh, maybe_in
 
 #: Marks around matches; they are taken out of the text first, and no pattern matches them or what replaces them.
 OPEN, CLOSE, OTHER = "\x01", "\x02", "\x03"
@@ -128,23 +128,25 @@ def spans_text(findings: Column) -> Column:
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, rules: list[SecretRule] | None = None) -> DataFrame:
     """The rows of ``df``, all columns, with each secret replaced by its kind in brackets.
 
-    Spans that overlap are one, named by the first. Texts without secrets are as they were; those with some also get
-    their new length in ``length_col``.
+    Spans that overlap are one, named by the first. Texts without secrets are as they were, null ones too, and are not
+    shuffled, but for few; those with some also get their new length in ``length_col``. Rows are told apart by id and text,
+    so null, equal and repeated ids are each given their own; an empty table gives none.
     """
     found, _ = scan_documents(df, id_col, text_col, rules)
-    found = cut(found.where(F.size("findings") > 0).select(F.col(id_col).alias("__id"), F.col("blob").alias("__blob"), "findings").distinct().withColumnRenamed("findings", "__findings"))
+    of, its, own, hits = fresh(df, "_of", "_its_blob", "_own", "_hits")
+    found = cut(found.where(F.size("findings") > 0).select(F.col(id_col).alias(of), F.col("blob").alias(its), F.col("findings").alias(hits)).distinct())
+    looked = maybe_in(found.select(F.xxhash64(of, its).alias("h")))(F.xxhash64(F.col(id_col), blob_of(F.col(text_col))))
+    rows = df.where(looked).withColumn(own, blob_of(F.col(text_col))).join(found, F.col(id_col).eqNullSafe(F.col(of)) & (F.col(own) == F.col(its)), "left")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.withColumn("__own", blob_of(F.col(text_col))).join(found, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__blob")), "left")
 
     def step(state: Column, x: Column) -> Column:
-        fresh = x["start"] >= state["at"]
         named = F.concat(state["out"], F.substring(text, state["at"] + 1, x["start"] - state["at"]), F.lit("["), x["kind"], F.lit("]"))
-        return F.struct(F.greatest(state["at"], x["end"]).alias("at"), F.when(fresh, named).otherwise(state["out"]).alias("out"))
+        return F.struct(F.greatest(state["at"], x["end"]).alias("at"), F.when(x["start"] >= state["at"], named).otherwise(state["out"]).alias("out"))
 
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("__findings", first, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    hit = F.col("__findings").isNotNull()
+    clean = F.aggregate(hits, first, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    hit = F.col(hits).isNotNull()
     out = {text_col: F.when(hit, clean).otherwise(F.col(text_col))}
     if length_col:
         out[length_col] = F.when(hit, F.length(clean).cast("long")).otherwise(F.col(length_col))
-    return rows.select(*(out[c].alias(c) if c in out else F.col(c) for c in df.columns))
+    return df.where(~looked).unionByName(rows.withColumns(out).drop(of, its, own, hits))

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from verity.functions.text import tokenize
 from verity.operators.index import Index, term_bounds, term_impacts
+from verity.sources.files import assign_request_ids
 
 
 def query_terms(queries: DataFrame, keys: list[str], text_col: str, terms: str = "set", stopwords: list[str] | None = None) -> DataFrame:
@@ -164,8 +165,13 @@ def search(queries: DataFrame, index: Index, k: int | None = 10, terms: str = "s
 
 
 def search_batches(queries: DataFrame, n: int, order: str = "query_id") -> DataFrame:
-    """Contiguous batches whose sizes differ by one at most, larger ones first.
+    """Contiguous batches in the order of a column, whose sizes differ by one at most, larger ones first.
 
-    The query set is small beside the collection; the ntile over it runs in one task by its nature.
+    Rows are numbered by ranges of the column, so no task sees them all.
     """
-    return queries.withColumn("batch", F.ntile(n).over(Window.orderBy(order)) - 1)
+    rows = queries.select(order, F.struct("*").alias("_row"))
+    at, size, larger = F.col("request_id"), F.floor(F.col("_n") / n), F.col("_n") % n
+    edge = larger * (size + 1)
+    batch = F.when(at < edge, F.floor(at / (size + 1))).otherwise(larger + F.floor((at - edge) / F.greatest(size, F.lit(1))))
+    total = rows.agg(F.count(F.lit(1)).alias("_n"))
+    return assign_request_ids(rows, order).crossJoin(F.broadcast(total)).select("_row.*", batch.cast("int").alias("batch"))

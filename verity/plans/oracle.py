@@ -88,6 +88,37 @@ PARTS = {
 }
 
 
+def _whole_plan() -> dict[str, str]:
+    """Parts of the plan with generated answers, asked queries and re-ranking, under names that start with p_."""
+    import re
+
+    def renamed(name: str) -> str:
+        own = "answers claims questions token_lists qterms scored ranked hits asked".split()
+        return re.sub(r"\b(" + "|".join(own) + r")\b", r"p_\1", PARTS[name])
+
+    lines = f"rtrim(ltrim(claim || {LF} || substr(claim, 1, len(claim) // 2)), ' ' || {LF})"
+    matrix = lambda ws: f"list_transform(range(1, 9), lambda i: list_transform(range(1, 9), lambda j: CASE WHEN i > len({ws}) THEN 0 ELSE {_cell(f'{ws}[i]', 'j')} END))"
+    return {
+        "p_answers": f"SELECT request_id, trim(query, ' ' || {LF} || chr(9)) AS generation FROM requests",
+        "p_claim_lists": f"SELECT request_id, {_or_blank(_pieces('ltrim(generation)', LF))} AS l FROM p_answers",
+        "p_claims": PARTS["claims"].replace("claim_lists", "p_claim_lists"),
+        "p_question_lists": f"SELECT request_id, claim_id, CASE WHEN trim(claim) = '' THEN [''] ELSE {_or_blank(_pieces(lines, LF))} END AS l FROM p_claims",
+        "p_questions": PARTS["questions"].replace("question_lists", "p_question_lists"),
+        "p_qterms": renamed("qterms"),
+        "p_scored": renamed("scored"),
+        "p_ranked": renamed("ranked"),
+        "p_q": f"SELECT request_id, claim_id, question_id, {matrix('ws')} AS q FROM (SELECT *, {_words('question')}[1:8] AS ws FROM p_questions)",
+        "p_d": f"SELECT doc_id, {matrix('ws')} AS d FROM (SELECT doc_id, {_words('text')}[1:8] AS ws FROM documents)",
+        "p_near": """SELECT request_id, claim_id, question_id, doc_id, round(list_sum(list_transform(q, lambda a: list_max(list_transform(d, lambda b: list_inner_product(a::DOUBLE[], b::DOUBLE[]))))) / 64, 4) AS score
+            FROM p_ranked JOIN p_q USING (request_id, claim_id, question_id) JOIN p_d USING (doc_id) WHERE rank <= 20""",
+        "p_hits": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id, claim_id, question_id ORDER BY score DESC, doc_id)::INT AS rank FROM p_near) WHERE rank <= 3",
+        "p_asked": renamed("asked").replace("AS p_questions", "AS questions"),
+    }
+
+
+PARTS |= _whole_plan()
+
+
 def _sql(body: str) -> str:
     """The statement with the parts that it needs, in order."""
     import re
@@ -177,6 +208,7 @@ BODIES = {
     "nested_response": "SELECT * FROM nested",
     "verified_responses": """SELECT request_id, trim(query, ' ' || chr(10) || chr(9)) AS generation, len(cl)::INT AS n_claims, list_sum(list_transform(cl, lambda c: greatest(1, len(list_filter(list_transform(string_split(c, '.'), lambda x: trim(x)), lambda x: x <> '')))))::INT AS n_questions
         FROM (SELECT *, """ + _or_blank(_pieces("trim(query, ' ' || chr(10) || chr(9))", LF)) + " AS cl FROM requests)",
+    "verified_plan": PARTS["nested"].replace("answers", "p_answers").replace("JOIN claims", "JOIN p_claims").replace("JOIN asked", "JOIN p_asked"),
     "report_text": REPORT,
     "request_latency": "SELECT request_id, sent_time, recv_time, round(latency, 4) AS latency FROM took",
     "unfinished": "SELECT request_id, sent_time, round(1706745600.0::DOUBLE - sent_time, 4) AS waited FROM sent ANTI JOIN recv USING (request_id)",

@@ -283,6 +283,29 @@ def verified_responses(spark, d):
     return nested.select("request_id", "generation", F.size("claims").alias("n_claims"), F.aggregate("claims", F.lit(0), lambda n, c: n + F.size(c["questions"])).alias("n_questions"))
 
 
+def _first_words(rows, col, keys, n):
+    """Vectors of the first words of a text: keys, tok_pos, vec."""
+    made = inference.encode(rows.select(*keys, F.coalesce(F.col(col), F.lit("")).alias("t")), "t")
+    return made.select(*keys, F.posexplode(F.slice("vectors", 1, n)).alias("tok_pos", "vec"))
+
+
+def _two_lines(claim):
+    """Stand-in for a model that writes queries: the claim, and its first half."""
+    clean = F.replace(claim, F.lit("\n"), F.lit(" "))
+    return F.concat_ws("\n", clean, F.substring(clean, F.lit(1), (F.length(clean) / 2).cast("int")))
+
+
+@query
+def verified_plan(spark, d):
+    """All steps: generated answers, claims, asked queries, BM25, encoding, re-ranking, nesting."""
+    docs = _first_words(fx.table(spark, d, "documents"), "text", ["doc_id"], 8)
+    nested = verify(
+        fx.requests(_conv(spark, d)), fx.collection_index(spark, d), inference.echo, lambda q: _first_words(q, "question", KEYS, 8), docs, k=20, k_rerank=3, ask=_two_lines
+    )
+    slim = F.transform("claims", lambda c: F.struct(c["claim"].alias("claim"), F.transform(c["questions"], lambda q: F.struct(q["question"].alias("question"), F.transform(q["doc"], lambda x: x["doc_id"]).alias("doc"))).alias("questions")))
+    return nested.select("request_id", "generation", F.to_json(slim).alias("claims"))
+
+
 @query
 def report_text(spark, d):
     conv = _conv(spark, d)
