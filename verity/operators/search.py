@@ -98,9 +98,9 @@ def _score_shard(sent, k: int, digits: int, names_out: list[str]) -> Callable[[p
         impact, starts = table.column("impact").to_numpy(), np.searchsorted(table.column("_t").to_numpy(), np.arange(len(words) + 1))
         held = starts[term + 1] > starts[term]
         query, term, weight = query[held], term[held], weight[held]
-        firsts = np.flatnonzero(np.append(True, query[1:] != query[:-1])) if len(query) else []
+        firsts = np.append(np.flatnonzero(np.append(True, query[1:] != query[:-1]))[: len(query)], len(query))
         found = []
-        for a, z in zip(firsts, [*firsts[1:], len(query)], strict=True):
+        for a, z in zip(firsts[:-1], firsts[1:], strict=True):
             total = np.zeros(len(known))
             for t, w in zip(term[a:z], weight[a:z], strict=True):
                 part = slice(starts[t], starts[t + 1])
@@ -111,7 +111,7 @@ def _score_shard(sent, k: int, digits: int, names_out: list[str]) -> Callable[[p
                 some = some[rounded[some] >= np.partition(rounded[some], len(some) - k)[len(some) - k]]
                 some = some[np.lexsort((some, -rounded[some]))][:k]
             found.append((np.full(len(some), query[a]), some, total[some]))
-        q, d, s = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        q, d, s = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         columns = [names.take(pa.array(q)), pa.array(known[d] if len(d) else known[:0]), pa.array(s, pa.float64())]
         return pa.Table.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], names=names_out)
 
