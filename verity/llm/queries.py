@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verity.llm import boosting, decontamination, maxent, neardup, rules, secrets, sentencepieces, sharding, surrogates, urls
+from verity.llm import boosting, decontamination, maxent, neardup, packing, rules, secrets, sentencepieces, sharding, surrogates, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,19 @@ def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.pseudonymise(_table(spark, sf_dir, "documents"), "corpus")
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_surrogates, op3_latent_decontamination, op4_maxent_scores, op5_quality_rules, op6_boosted_quality, op7_jaccard_join, op8_hash_tree, op9_secret_ledger, op10_url_rules)}
+def byte_model() -> str:
+    """Where the installed package keeps the byte-level BPE file."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op11_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts and ids, repeats and empty tables as in ``token_pieces`` and ``pack``; no other column is read."""
+    made = packing.token_pieces(_table(spark, sf_dir, "documents"), byte_model())
+    return packing.pack(made.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_surrogates, op3_latent_decontamination, op4_maxent_scores, op5_quality_rules, op6_boosted_quality, op7_jaccard_join, op8_hash_tree, op9_secret_ledger, op10_url_rules, op11_bin_completion)}
 
 ORACLE_SQL: dict[str, str] = {}
