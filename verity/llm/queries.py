@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verity.llm import boosting, decontamination, maxent, neardup, packing, rules, secrets, sentencepieces, sharding, surrogates, urls
+from verity.llm import bitplanes, boosting, decontamination, maxent, neardup, packing, rules, secrets, sentencepieces, sharding, surrogates, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +87,33 @@ def op11_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(made.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_surrogates, op3_latent_decontamination, op4_maxent_scores, op5_quality_rules, op6_boosted_quality, op7_jaccard_join, op8_hash_tree, op9_secret_ledger, op10_url_rules, op11_bin_completion)}
+def op12_bitplane_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of other sizes, with nulls or non-finite components are left out; repeats and empty tables as in ``cluster``."""
+    return bitplanes.cluster(_table(spark, sf_dir, "embeddings"))
 
-ORACLE_SQL: dict[str, str] = {}
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_surrogates, op3_latent_decontamination, op4_maxent_scores, op5_quality_rules, op6_boosted_quality, op7_jaccard_join, op8_hash_tree, op9_secret_ledger, op10_url_rules, op11_bin_completion, op12_bitplane_clusters)}
+
+
+
+def _clusters_sql(rounds: int = 10) -> str:
+    """The rounds one after the other, on lists of integers."""
+    square = "CAST(list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT)"
+    parts = [
+        """rows AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+          WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS k, v AS c FROM rows ORDER BY k LIMIT 8)",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"a{i} AS MATERIALIZED (SELECT rid, any_value(vec_id) AS vec_id, any_value(v) AS v, min(({square}, k)) AS best FROM rows, c{i} GROUP BY rid)")
+        if i < rounds:
+            parts.append(f"s{i} AS (SELECT best[2] AS k, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM a{i})")
+            parts.append(f"t{i} AS (SELECT k, pos, sum(x) AS s, count(*) AS n FROM s{i} GROUP BY k, pos)")
+            parts.append(f"m{i} AS (SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY pos) AS c FROM t{i} GROUP BY k)")
+            parts.append(f"c{i + 1} AS MATERIALIZED (SELECT k, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (k))")
+    last = f"""SELECT vec_id, CAST(best[2] AS INTEGER) AS cluster, best[1] AS distance, CAST(sum(best[1]) OVER (PARTITION BY best[2]) AS BIGINT) AS cluster_inertia,
+      CAST(sum(best[1]) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} ON k = best[2]"""
+    return "WITH " + ",\n".join(parts) + "\n" + last
+
+
+ORACLE_SQL: dict[str, str] = {"op12_bitplane_clusters": _clusters_sql()}
