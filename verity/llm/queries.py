@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verity.llm import bitplanes, boosting, decontamination, maxent, neardup, packing, rules, secrets, sentencepieces, sharding, surrogates, urls
+from verity.llm import bitplanes, boosting, decontamination, maxent, neardup, packing, rules, secrets, sentencepieces, sharding, spelling, surrogates, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,7 +92,12 @@ def op12_bitplane_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.cluster(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_surrogates, op3_latent_decontamination, op4_maxent_scores, op5_quality_rules, op6_boosted_quality, op7_jaccard_join, op8_hash_tree, op9_secret_ledger, op10_url_rules, op11_bin_completion, op12_bitplane_clusters)}
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts and ids, repeats and empty tables as in ``group_variants``; no other column is read."""
+    return spelling.group_variants(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_surrogates, op3_latent_decontamination, op4_maxent_scores, op5_quality_rules, op6_boosted_quality, op7_jaccard_join, op8_hash_tree, op9_secret_ledger, op10_url_rules, op11_bin_completion, op12_bitplane_clusters, op13_spelling_variants)}
 
 
 
@@ -116,4 +121,24 @@ def _clusters_sql(rounds: int = 10) -> str:
     return "WITH " + ",\n".join(parts) + "\n" + last
 
 
-ORACLE_SQL: dict[str, str] = {"op12_bitplane_clusters": _clusters_sql()}
+def _spelling_sql() -> str:
+    """Checksums bit by bit, near words by deleting each code point, roots by following forms."""
+    byte = "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"""WITH RECURSIVE tokens AS (
+      SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+    runs AS MATERIALIZED (SELECT run, count(*) AS k, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS named FROM tokens WHERE length(run) >= 6 GROUP BY doc_id, run),
+    hashed AS (SELECT run, k, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, octet_length(encode(named)) ), lambda i: CAST(('0x' || substr(hex(encode(named)), 2 * i + 1, 2)) AS BIGINT))),
+      lambda c, b: {byte}), 4294967295::BIGINT) AS h FROM runs),
+    made AS (SELECT k, CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM hashed),
+    words AS MATERIALIZED (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM made GROUP BY word HAVING sum(k) >= 5 AND length(word) >= 6),
+    cuts AS MATERIALIZED (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+    near AS MATERIALIZED (
+      SELECT a.word, b.word AS other FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+      UNION SELECT a.word, b.word FROM cuts a JOIN words b ON a.rest = b.word UNION SELECT b.word, a.word FROM cuts a JOIN words b ON a.rest = b.word),
+    best AS (SELECT near.word, count(*) AS n_near, min((-w.n, near.other)) AS b FROM near JOIN words w ON w.word = near.other GROUP BY near.word),
+    forms AS MATERIALIZED (SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -b[1] >= 5 * n THEN b[2] END AS form, CASE WHEN -b[1] >= 5 * n THEN -b[1] END AS form_n FROM words LEFT JOIN best USING (word)),
+    chain AS (SELECT word, word AS at FROM forms UNION ALL SELECT chain.word, forms.form FROM chain JOIN forms ON forms.word = chain.at WHERE forms.form IS NOT NULL)
+    SELECT forms.*, chain.at AS root FROM forms JOIN chain USING (word) JOIN forms f ON f.word = chain.at WHERE f.form IS NULL"""
+
+
+ORACLE_SQL: dict[str, str] = {"op13_spelling_variants": _spelling_sql(), "op12_bitplane_clusters": _clusters_sql()}
