@@ -198,12 +198,50 @@ def test_op3_answers_and_sections(spark):
     rng = random.Random(14)
     pool = ["".join(rng.choice("klmnopqrst") for _ in range(6)) for _ in range(500)]
     question, long = words(rng, 30, pool), words(rng, 1500, pool)
-    docs = [(1, f"{words(rng, 40, pool)} {question} It is Blue Whale. {words(rng, 40, pool)}"), (2, f"{question} {words(rng, 60, pool)}"), (3, " ".join(long.split()[500:1100]))]
+    docs = [(1, f"{words(rng, 40, pool)} {question} It is Blue Whale. {words(rng, 40, pool)}"), (2, f"{question} {words(rng, 60, pool)}"), (3, " ".join(long.split()[400:1400])), (4, " ".join(long.split()[500:1100]))]
     items = spark.createDataFrame([(7, question, "blue whale"), (8, long, None), (9, None, "x"), (10, "", "")], "item_id long, text string, answer string")
     found = lambda **k: {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(table(spark, docs), items, **k).collect()}
     assert found(answer_col="answer") == {(1, 7), (3, 8)} and found() == {(1, 7), (2, 7), (3, 8)}
 
 
+@pytest.mark.parametrize("size", [511, 512, 513, 1025, 2048])
+def test_op3_shares_are_of_the_whole_item(spark, size):
+    """Short last sections, quarters and two thirds of items on both sides of a section's size."""
+    rng = random.Random(size)
+    pool = ["".join(rng.choice("klmnopqrst") for _ in range(6)) for _ in range(3000)]
+    item = [*words(rng, size - 1, pool).split(), "the"]
+    docs = [(k, f"{words(rng, 60, pool[:50])} the {words(rng, 60, pool[:50])} the") for k in range(40)]
+    docs += [(100, " ".join(item[: size // 4])), (101, " ".join(item[: size // 2])), (102, " ".join(item)), (103, " ".join(item[size // 4 :])), (104, " ".join(item[: size * 17 // 20]))]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(item))], "item_id long, text string")
+    rows = {(r["doc_id"], r["item_id"]): r["overlap"] for r in decontamination.find_leaks(table(spark, docs), bench).collect()}
+    assert rows.keys() == {(d, i) for d in (102, 103, 104) for i in (1, 2)}
+    assert rows[102, 1] == 1.0 and abs(rows[103, 2] - 0.75) < 0.01 and abs(rows[104, 1] - 0.85) < 0.01
+    kept = {r["doc_id"] for r in decontamination.drop_leaks(table(spark, docs), bench).collect()}
+    assert kept == {*range(40), 100, 101}
+
+
+def test_op3_long_items_with_replaced_words(spark):
+    rng = random.Random(16)
+    pool = ["".join(rng.choice("klmnopqrst") for _ in range(rng.randint(3, 8))) for _ in range(2000)]
+    items = [words(rng, 2000, pool).split() for _ in range(4)]
+    docs = []
+    for k in range(32):
+        share = 0.02 * (k % 24)
+        docs.append((k, " ".join([*words(rng, 100, pool).split(), *(w if rng.random() > share else rng.choice(pool) for w in items[k % 4]), *words(rng, 100, pool).split()])))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(table(spark, docs), bench).collect()}
+    want = set()
+    for d, text in docs:  # brute force: the whole item against the whole text
+        own = text.split()
+        for i, w in enumerate(items):
+            masks = {}
+            for p, x in enumerate(w):
+                masks[x] = masks.get(x, 0) | 1 << p
+            if decontamination.lcs(masks, len(w), own) >= 0.6 * len(w):
+                want.add((d, i))
+    assert len(want) > 25 and got <= want and len(got) >= 0.9 * len(want)
+
+
 def test_op3_recall_against_brute_force(spark):
     """All places of all texts by the same checks, without any search: the latent search finds nine in ten and more."""
     rng = random.Random(15)

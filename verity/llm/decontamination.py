@@ -24,7 +24,9 @@ class Settings:
     A place whose latent cosine with a passage of an item is at least ``cosine``, or which has ``exact`` words of
     the item in a row, is a candidate. It is a leak if the longest common subsequence holds ``overlap`` of the item's
     words, and its answer is there too: the benchmark's own answer or, where it has none, the ``answer`` share of the
-    item's informative words (the rarer half). Items of over ``section`` words are searched in sections of that size.
+    item's informative words (the rarer half). Items of over ``section`` words are searched in equal sections of that size at
+    most: where a section has its share, the whole item is held against the words around, so shares and answers are always those of
+    the whole item.
     """
 
     buckets: int = 1 << 16
@@ -270,7 +272,7 @@ def find_leaks(
     blocks of a fixed number of passages; a task reads its texts once for each block, and nothing is shuffled but the pairs
     found. Copies of items whose words are too common to stand out there are candidates by their runs of words. All
     candidates go through the common subsequence and the answer check. Returns id_col, item_id, cosine, overlap (share of
-    the item's, or its best section's, words in the common subsequence), one row for each pair, both at their best.
+    the item's words in the common subsequence), one row for each pair, both at their best.
 
     Null and empty texts or items match nothing. Repeated rows and equal ids give a pair once, at its best. Null
     item ids are items like others. With ``answer_col`` an item's answer must be there in one piece; null and empty
@@ -282,23 +284,26 @@ def find_leaks(
 
 
 def _sections(items: DataFrame, settings: Settings) -> DataFrame:
-    """(_item, _place, _passages, _words, _answer): the sections of the items, as hashes of their words."""
+    """(_item, _whole, _place, _passages, _words, _answer): sections of the items, as hashes of their words; _whole tells items apart."""
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, at = _words(batch.column("_text"))
             answers, answers_at = _words(batch.column("_answer"))
-            rows = [(k, w) for k in range(batch.num_rows) for w in range(int(at[k]), int(at[k + 1]), settings.section)]
-            own = pa.array([k for k, _ in rows], pa.int64())
-            texts = [words[w : min(w + settings.section, int(at[k + 1]))] for k, w in rows]
+            sizes = np.diff(at)
+            cuts = [(k, int(at[k]) + np.arange(n + 1) * int(sizes[k]) // n) for k, n in enumerate((-(-sizes // settings.section)).tolist()) if n]
+            rows = [(k, int(a), int(z)) for k, edges in cuts for a, z in zip(edges, edges[1:], strict=False)]
+            own = pa.array([k for k, _, _ in rows], pa.int64())
+            answer = [answers[answers_at[k] : answers_at[k + 1]].tobytes() for k in range(batch.num_rows)]
+            whole = [hashlib.md5(words[at[k] : at[k + 1]].tobytes() + b"/" + answer[k]).digest() for k in range(batch.num_rows)]
             columns = [
-                batch.column("_item").take(own), pa.array([w for _, w in rows], pa.int64()), pa.array([-(-len(t) // settings.hop) for t in texts], pa.int64()),
-                pa.array([t.tobytes() for t in texts], pa.binary()), pa.array([answers[answers_at[k] : answers_at[k + 1]].tobytes() for k, _ in rows], pa.binary()),
+                batch.column("_item").take(own), pa.array([whole[k] for k, _, _ in rows], pa.binary()), pa.array([a - int(at[k]) for k, a, _ in rows], pa.int64()), pa.array([-(-(z - a) // settings.hop) for _, a, z in rows], pa.int64()),
+                pa.array([words[a:z].tobytes() for _, a, z in rows], pa.binary()), pa.array([answer[k] for k, _, _ in rows], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["_item", "_place", "_passages", "_words", "_answer"])
+            yield pa.RecordBatch.from_arrays(columns, names=["_item", "_whole", "_place", "_passages", "_words", "_answer"])
 
-    schema = T.StructType([items.schema["_item"], *(T.StructField(n, T.LongType()) for n in ("_place", "_passages")), *(T.StructField(n, T.BinaryType()) for n in ("_words", "_answer"))])
-    return items.mapInArrow(cut_up, schema)
+    kinds = (("_whole", T.BinaryType()), ("_place", T.LongType()), ("_passages", T.LongType()), ("_words", T.BinaryType()), ("_answer", T.BinaryType()))
+    return items.mapInArrow(cut_up, T.StructType([items.schema["_item"], *(T.StructField(n, t) for n, t in kinds)]))
 
 
 def _leaks(df: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_id: str, item_text: str, settings: Settings, answer_col: str | None = None) -> DataFrame:
@@ -316,7 +321,7 @@ def _leaks(df: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item
     sections = cut(_sections(items, settings))
     blocks = -(-(sections.agg(F.sum("_passages")).first()[0] or 0) // settings.block)
     for k in range(blocks):
-        block = sections.where(F.pmod(F.xxhash64("_words", "_place"), F.lit(blocks)) == k).collect()
+        block = sections.where(F.pmod(F.xxhash64("_whole"), F.lit(blocks)) == k).collect()  # all sections of an item
         out = out.unionByName(_search(docs, block, model, settings, schema)) if block else out
     return out
 
@@ -329,6 +334,14 @@ class Block:
         self.words = [np.frombuffer(r["_words"], np.uint64) for r in rows]
         self.answers = [np.frombuffer(r["_answer"], np.uint64) for r in rows]
         self.sizes = np.array([len(w) for w in self.words])
+        # Items of more than one section are known as a whole too, under a number behind those of the sections.
+        parts: dict[bytes, dict[int, int]] = {}
+        for k, r in enumerate(rows):
+            parts.setdefault(bytes(r["_whole"]), {})[r["_place"]] = k
+        self.whole = list(range(len(rows)))
+        longer = {name: len(rows) + j for j, name in enumerate(n for n, x in parts.items() if len(x) > 1)}
+        for k, r in enumerate(rows):
+            self.whole[k] = longer.get(bytes(r["_whole"]), k)
         words, at = np.concatenate(self.words), np.concatenate([[0], np.cumsum(self.sizes)])
         hops, _ = _hops(at, settings)
         self.latent = _unit(_passages(basis, _bucket(words, settings), at, hops, settings))
@@ -344,13 +357,18 @@ class Block:
         self.weights, self.settings, self.known = weights, settings, {}
         # What a place must have: marks of the section's words, and of its informative ones where it has no answer.
         self.marks = _marks(words, np.repeat(np.arange(len(rows)), self.sizes), len(rows))
+        for name in longer:
+            own = [k for _, k in sorted(parts[name].items())]
+            self.words.append(np.concatenate([self.words[k] for k in own]))
+            self.answers.append(self.answers[own[0]])
         told = [np.fromiter(self.section(k)[2], np.uint64) for k in range(len(rows))]
         self.known = {}
         self.told = _marks(np.concatenate(told), np.repeat(np.arange(len(rows)), [len(x) for x in told]), len(rows))
         bits, told_bits = (np.bitwise_count(m).sum(axis=1).astype(np.int64) for m in (self.marks, self.told))
         n = np.array([len(x) for x in told])
         self.least = bits - np.floor((1 - settings.overlap) * self.sizes + 1e-9)
-        self.least_told = np.where([len(x) == 0 for x in self.answers], np.ceil(settings.answer * n - 1e-9) - (n - told_bits), 0)
+        alone = [len(self.answers[k]) == 0 and self.whole[k] == k for k in range(len(rows))]
+        self.least_told = np.where(alone, np.ceil(settings.answer * n - 1e-9) - (n - told_bits), 0)
 
     def section(self, k: int) -> tuple[int, dict[int, int], set[int]]:
         """Size, places of each word as bits, and the informative words of a section."""
@@ -427,8 +445,14 @@ def _search(docs: DataFrame, rows: list, model, settings: Settings, schema: T.St
                         size, masks, _ = block.section(c)
                         middle = int(at[d]) + (place - int(hops[d])) * settings.hop
                         region = words[max(int(at[d]), middle - size) : min(int(at[d + 1]), middle + 2 * settings.hop + size)].tolist()
-                        if not block.answered(c, region) or (share := lcs(masks, size, region) / size) < settings.overlap - 1e-9:
+                        item = block.whole[c]
+                        if item == c and not block.answered(c, region) or (share := lcs(masks, size, region) / size) < settings.overlap - 1e-9:
                             continue
+                        if item != c:  # a section of a longer item: some section has the share that the item has, or more
+                            size, masks, _ = block.section(item)
+                            region = words[max(int(at[d]), middle - size) : min(int(at[d + 1]), middle + 2 * settings.hop + size)].tolist()
+                            if not block.answered(item, region) or (share := lcs(masks, size, region) / size) < settings.overlap - 1e-9:
+                                continue
                         hit = found.setdefault((d, c), [-1.0, 0.0])
                         hit[1] = max(hit[1], share)
                     if cosine[k] < 0:
