@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verity.llm import boosting, decontamination, neardup, secrets, sentencepieces
-from verity.llm.common import cut
+from verity.llm.common import cut, discard
 from verity.llm.queries import piece_model
 
 
@@ -50,8 +50,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order, each written to the shared folder and read again."""
+    """All stages in order, each written to the shared folder and read again; what the next stage has read is deleted.
+
+    Null and empty texts, null and repeated ids are documents like others in every stage; columns beyond those of
+    ``documents`` pass through all but the last; an empty table gives none.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    spent = None
     for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))
+        if spent is not None:
+            discard(spent)
+        spent = docs
     return STAGES[-1][1](spark, docs, sf_dir)
