@@ -194,3 +194,78 @@ def test_read_collection_raises_on_bad_ids(spark, tmp_path):
     (tmp_path / "d.tsv").write_text("id\ttext\n7\ta\nseven\tb\n")
     with pytest.raises(PySparkException):
         files.read_collection(spark, str(tmp_path / "d.tsv")).collect()
+
+
+def test_numbering_keeps_every_row_and_column(spark, tmp_path):
+    n = 400_000
+    rows = spark.range(n, numPartitions=8).select((F.xxhash64("id") % 50_000).alias("query_id"), F.concat(F.lit("text "), "id").alias("text"), F.col("id").alias("at"), F.lit("x").alias("row"))
+    rows = rows.withColumn("query_id", F.when(F.col("at") % 3 != 0, F.col("query_id")))  # a third has no id, which is one value
+    rows.write.parquet(str(tmp_path / "in"))
+    given = spark.read.parquet(str(tmp_path / "in"))
+    for adaptive in ("true", "false"):
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        try:
+            numbered = files.assign_request_ids(given, "query_id")
+            numbered.write.parquet(str(tmp_path / f"ids-{adaptive}"))
+            got = spark.read.parquet(str(tmp_path / f"ids-{adaptive}"))
+            assert got.columns == ["query_id", "text", "at", "row", "request_id"]
+            facts = got.agg(F.count("*"), F.countDistinct("request_id"), F.min("request_id"), F.max("request_id"), F.countDistinct("text")).first()
+            assert tuple(facts) == (n, n, 0, n - 1, n)
+            # in order: the greatest number of an id comes before the least of the next
+            edges = got.groupBy("query_id").agg(F.min("request_id").alias("a"), F.max("request_id").alias("z"), F.count("*").alias("n"))
+            assert edges.where("z - a + 1 <> n").count() == 0
+            by_id = [r["a"] for r in edges.orderBy(F.asc_nulls_first("query_id")).collect()]
+            assert by_id == sorted(by_id) and by_id[0] == 0
+            searching.search_batches(given, 7).write.parquet(str(tmp_path / f"batches-{adaptive}"))
+            batches = spark.read.parquet(str(tmp_path / f"batches-{adaptive}"))
+            sizes = {r["batch"]: (r["n"], r["k"]) for r in batches.groupBy("batch").agg(F.count("*").alias("n"), F.countDistinct("text").alias("k")).collect()}
+            assert sizes == {b: (n // 7 + (b < n % 7),) * 2 for b in range(7)}
+            most = batches.groupBy("batch").agg(F.min("query_id").alias("a"), F.max("query_id").alias("z")).where("a IS NOT NULL").orderBy("batch").collect()
+            assert all(x["z"] <= y["a"] for x, y in zip(most, most[1:], strict=False))
+            in_order = files.assign_request_ids(given)
+            assert in_order.agg(F.countDistinct("request_id"), F.max("request_id")).first()[:] == (n, n - 1)
+        finally:
+            spark.conf.unset("spark.sql.adaptive.enabled")
+    assert files.assign_request_ids(given.where("false"), "query_id").count() == 0
+    assert searching.search_batches(given.limit(2), 5).groupBy("batch").count().count() == 2
+
+
+def test_a_search_of_a_stored_index_reads_its_terms_and_shuffles_no_postings(spark, tmp_path):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *(F.concat(F.lit("w"), F.pmod(F.xxhash64("id", F.lit(j)), F.lit(300))) for j in range(30))).alias("text"))
+    write_index(build_index(docs), str(tmp_path / "ix"))
+    for t in spark.catalog.listTables():
+        if t.name.startswith("verity_blocks_"):
+            spark.sql(f"DROP TABLE {t.name}")  # as in a later session
+    index = load_index(spark, str(tmp_path / "ix"))
+    queries = spark.createDataFrame([("a", "w7 w12")], "query_id string, text string")
+    found = search(queries, index, 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("FlatMapGroupsInArrow") :]
+    scan = below[: below.index("SelectedBucketsCount")]
+    assert "In(term, [w12,w7])" in scan or "In(term, [w7,w12])" in scan
+    assert "Exchange" not in scan
+    want = search(queries, build_index(docs), 5, joined=True)
+    assert found.orderBy("rank").collect() == want.orderBy("rank").collect() and found.count() == 5
+
+
+def test_block_skipping_finds_the_same(spark, tmp_path, monkeypatch):
+    """Frequent words, ties and weights: by blocks of a stored index, by joins, and by all matches."""
+    import random
+
+    from verity.operators import index as indexing
+
+    monkeypatch.setattr(indexing, "SHARD", 500)
+    rng = random.Random(8)
+    vocabulary = [f"v{k}" for k in range(120)]
+    share = [1 / (k + 1) for k in range(120)]
+    docs = [(k, " ".join(rng.choices(vocabulary, share, k=rng.randint(1, 40)))) for k in range(2500)]
+    docs += [(5000 + k, docs[k % 7][1]) for k in range(300)]  # many equal texts: ties at the k-th place
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    write_index(build_index(rows), str(tmp_path / "ix"))
+    index = load_index(spark, str(tmp_path / "ix"))
+    assert index.blocks.count() > 120 * 5
+    asked = spark.createDataFrame([(k, " ".join(rng.choices(vocabulary, share, k=rng.randint(1, 6)))) for k in range(80)], "query_id long, text string")
+    key = lambda df: {(r["query_id"], r["rank"]): (r["doc_id"], r["score"]) for r in df.collect()}
+    every = key(search(asked, index, None, "bag").where("rank <= 5"))
+    assert key(search(asked, index, 5, "bag")) == every == key(search(asked, index, 5, "bag", joined=True))
+    assert [tuple(r) for r in index.impacts.orderBy("term", "doc_id").collect()] == [tuple(r) for r in build_index(rows).impacts.orderBy("term", "doc_id").collect()]

@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verity.functions.text import tokenize
+from verity.operators.numbering import number_rows
 
 K1, B = 1.5, 0.75
 TABLES = ("postings", "doclens", "vocabulary", "stats")
+#: Documents of a shard, about; postings of a block at most; files that shards are dealt to at most.
+SHARD, BLOCK, FILES = 4096, 128, 4096
 
 
 @dataclass(frozen=True)
 class Index:
-    """postings(term, doc_id, tf), doclens(doc_id, len), vocabulary(term, term_id, df), stats(pid_offset, n, avgdl) in one row, and maybe impacts(term, doc_id, impact) and bounds(term, df, most)."""
+    """postings(term, doc_id, tf), doclens(doc_id, len), vocabulary(term, df), stats(pid_offset, n, avgdl) in one row.
+
+    Maybe also impacts(term, doc_id, impact), bounds(term, df, most) and blocks(shard, term, most, docs, impacts): postings of one term
+    in one shard of the documents, up to ``BLOCK`` of them in the order of documents, with their greatest impact. The vocabulary of
+    a stored index has term_id too.
+    """
 
     postings: DataFrame
     doclens: DataFrame
@@ -25,6 +34,7 @@ class Index:
     k1: float = K1
     b: float = B
     bounds: DataFrame | None = None
+    blocks: DataFrame | None = None
 
 
 def token_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stopwords: list[str] | None = None) -> DataFrame:
@@ -42,19 +52,13 @@ def doc_lengths(tokens: DataFrame) -> DataFrame:
     return tokens.select("doc_id", F.size("tokens").alias("len"))
 
 
-def number_rows(df: DataFrame, order: str, bucket: Column, out: str) -> DataFrame:
-    """Number rows 0.. in the order of a column. ``bucket`` must not fall as the column rises; only buckets' counts are summed in one task."""
-    df = df.withColumn("_bucket", bucket)
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = df.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
-    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(order))
-    return df.withColumn("_rank", rank).join(starts, "_bucket").withColumn(out, (F.col("_from") + F.col("_rank") - 1).cast("long")).drop("_bucket", "_rank", "_from")
+def document_frequencies(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def vocabulary(postings: DataFrame) -> DataFrame:
-    """Document frequency of each term, and ids in the order of the terms."""
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return number_rows(df, "term", F.substring("term", 1, 3), "term_id").select("term", "term_id", "df")
+    """Document frequency of each term, and ids in the order of the terms. Runs when called."""
+    return number_rows(document_frequencies(postings), "term", "term_id").select("term", "term_id", "df")
 
 
 def corpus_stats(doclens: DataFrame) -> DataFrame:
@@ -81,36 +85,73 @@ def term_bounds(impacts: DataFrame) -> DataFrame:
     return impacts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("impact").alias("most"))
 
 
+def shard_count(doclens: DataFrame) -> int:
+    """Shards of ``SHARD`` documents, and as many as tasks work at once at least."""
+    return max(-(-doclens.count() // SHARD), int(doclens.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def posting_blocks(impacts: DataFrame, shards: int, block: int = BLOCK) -> DataFrame:
+    """Postings of each shard in blocks of one term; only the postings of one term in one shard are together."""
+    shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard")
+    lists = impacts.groupBy(shard, "term").agg(F.sort_array(F.collect_list(F.struct("doc_id", "impact"))).alias("list"))
+    first = F.explode(F.sequence(F.lit(1), F.size("list"), F.lit(block)))
+    part = lists.select("shard", "term", "list", first.alias("first")).select("shard", "term", F.slice("list", F.col("first"), block).alias("part"))
+    return part.select("shard", "term", F.array_max("part.impact").alias("most"), F.col("part.doc_id").alias("docs"), F.col("part.impact").alias("impacts"))
+
+
+def postings_of(blocks: DataFrame) -> DataFrame:
+    """impacts(term, doc_id, impact) of blocks."""
+    return blocks.select("term", F.inline(F.arrays_zip("docs", "impacts"))).toDF("term", "doc_id", "impact")
+
+
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stopwords: list[str] | None = None, impacts: bool = True, k1: float = K1, b: float = B) -> Index:
     """All tables of the index, as plans. With ``impacts`` a search looks weights up and adds."""
     tokens = token_table(docs, id_col, text_col, stopwords)
     postings, lengths = term_frequencies(tokens), doc_lengths(tokens)
-    index = Index(postings, lengths, vocabulary(postings), corpus_stats(lengths), None, k1, b)
-    return Index(*(getattr(index, t) for t in TABLES), term_impacts(index), k1, b) if impacts else index
+    index = Index(postings, lengths, document_frequencies(postings), corpus_stats(lengths), None, k1, b)
+    return replace(index, impacts=term_impacts(index)) if impacts else index
+
+
+def _named(path: str) -> str:
+    return f"verity_blocks_{hashlib.md5(path.encode()).hexdigest()}"
 
 
 def write_index(index: Index, path: str) -> Index:
     """Parquet tables, each made from those written before it, so the texts are read once for the postings and once for the lengths.
 
-    Postings and impacts are clustered by term, so a term's row groups can be skipped to. Returns the stored index.
+    Postings are clustered by term. Blocks are a table of the catalog, bucketed by shard into ``FILES`` files at most and sorted by term
+    in each: a search groups them by shard where they lie, and reads the row groups of its terms only. Returns the stored index.
     """
     spark = index.postings.sparkSession
 
-    def stored(table: DataFrame, name: str, clustered: bool = False) -> DataFrame:
-        if clustered:
-            table = table.repartitionByRange("term").sortWithinPartitions("term", "doc_id")
+    def stored(table: DataFrame, name: str) -> DataFrame:
         table.write.mode("overwrite").parquet(f"{path}/{name}")
         return spark.read.parquet(f"{path}/{name}")
 
-    postings, lengths = stored(index.postings, "postings", True), stored(index.doclens, "doclens")
+    postings = stored(index.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id"), "postings")
+    lengths = stored(index.doclens, "doclens")
     made = Index(postings, lengths, stored(vocabulary(postings), "vocabulary"), stored(corpus_stats(lengths), "stats"), None, index.k1, index.b)
     if index.impacts is None:
         return made
-    impacts = stored(term_impacts(made), "impacts", True)
-    return replace(made, impacts=impacts, bounds=stored(term_bounds(impacts), "bounds"))
+    shards = shard_count(lengths)
+    files = min(shards, FILES)
+    blocks = posting_blocks(term_impacts(made), shards).repartition(files, "shard").sortWithinPartitions("term", "shard")
+    spark.sql(f"DROP TABLE IF EXISTS {_named(path)}")
+    rows = blocks.write.mode("overwrite").format("parquet").bucketBy(files, "shard").sortBy("term")
+    rows.option("path", f"{path}/blocks").option("parquet.block.size", 8 << 20).saveAsTable(_named(path))
+    stored(spark.range(1).select(F.lit(files).alias("files")), "layout")
+    kept = spark.table(_named(path))
+    return replace(made, impacts=postings_of(kept), blocks=kept, bounds=stored(term_bounds(postings_of(kept)), "bounds"))
 
 
 def load_index(spark: SparkSession, path: str, impacts: bool = True, k1: float = K1, b: float = B) -> Index:
-    tables = [spark.read.parquet(f"{path}/{t}") for t in TABLES]
-    more = [spark.read.parquet(f"{path}/{t}") if impacts else None for t in ("impacts", "bounds")]
-    return Index(*tables, more[0], k1, b, more[1])
+    """A stored index; its blocks are made known to the session's catalog if they aren't."""
+    made = Index(*(spark.read.parquet(f"{path}/{t}") for t in TABLES), None, k1, b)
+    if not impacts:
+        return made
+    if not spark.catalog.tableExists(_named(path)):
+        files, columns = spark.read.parquet(f"{path}/layout").first()["files"], spark.read.parquet(f"{path}/blocks").schema
+        shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in columns)
+        spark.sql(f"CREATE TABLE {_named(path)} ({shape}) USING parquet CLUSTERED BY (shard) INTO {files} BUCKETS LOCATION '{path}/blocks'")
+    blocks = spark.table(_named(path))
+    return replace(made, impacts=postings_of(blocks), blocks=blocks, bounds=spark.read.parquet(f"{path}/bounds"))

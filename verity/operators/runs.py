@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verity.operators.ordered import carry_forward
+
 RUN = "run_file"
 
 
@@ -28,6 +30,7 @@ def last_increase(log: DataFrame, col: str = "num_requests_sent", by: list[str]
 
 
 def entry_at_or_after(log: DataFrame, t: Column | float, by: list[str] | None = None) -> DataFrame:
+    """One entry of each run, for one time (a number, or a column of the log)."""
     return _pick(log, F.col("time") >= (t if isinstance(t, Column) else F.lit(t)), by or [RUN])
 
 
@@ -35,6 +38,23 @@ def entry_at_or_before(log: DataFrame, t: Column | float, by: list[str] | None =
     return _pick(log, F.col("time") <= (t if isinstance(t, Column) else F.lit(t)), by or [RUN], last=True)
 
 
+def entries_at(log: DataFrame, times: DataFrame, by: list[str] | None = None, after: bool = False) -> DataFrame:
+    """The log entry at or before (or ``after``) each of any number of times: times(by, at, ..) and the log's other columns.
+
+    Entries and times are put in one order and the last entry is carried to the times that follow, in one sort for all. Times
+    without an entry keep nulls. Equal times get each an entry; a run has one entry at a time.
+    """
+    by = by or [RUN]
+    rest = [c for c in log.columns if c not in by]
+    sign = -1 if after else 1
+    entry = F.struct(*rest)
+    asked = times.select(*by, F.struct("*").alias("_asked"), F.lit(None).cast(log.select(entry.alias("e")).schema["e"].dataType).alias("_entry"), (sign * F.col("at")).alias("_at"))
+    told = log.select(*by, F.lit(None).cast(times.select(F.struct("*").alias("a")).schema["a"].dataType).alias("_asked"), entry.alias("_entry"), (sign * F.col("time")).alias("_at"))
+    order = [F.col("_at").alias("a"), F.col("_asked").isNotNull().alias("b")]
+    found = carry_forward(told.unionByName(asked), by, order, F.col("_entry"), "_found").where("_asked IS NOT NULL")
+    return found.select("_asked.*", "_found.*")
+
+
 def run_stats(log: DataFrame, start_offset: float = 0, end_offset: float = 0, test_length: float | None = None, start_nonzero: bool = True, end_increase: bool = True) -> DataFrame:
     """Start, end, latencies, achieved rate and throughput of each run; all runs at once.
 
@@ -46,14 +66,15 @@ def run_stats(log: DataFrame, start_offset: float = 0, end_offset: float = 0, te
         raise ValueError("test_length goes with neither end_increase nor end_offset")
     always = F.lit(True)
     start = first_active(log) if start_nonzero else _pick(log, always, [RUN])
+    moved = lambda rows, by, name: rows.select(RUN, (F.col("time") + by).alias("at"), F.lit(name).alias("_of"))
+    found = lambda rows, name: rows.where((F.col("_of") == name) & F.col("time").isNotNull()).drop("at", "_of")
+    end = None if test_length is not None else last_increase(log) if end_increase else _pick(log, always, [RUN], last=True)
     if start_offset:
-        start = entry_at_or_after(log.join(start.select(RUN, (F.col("time") + start_offset).alias("_t")), RUN), F.col("_t")).drop("_t")
+        start = found(entries_at(log, moved(start, start_offset, "start"), after=True), "start")
     if test_length is not None:
-        end = entry_at_or_after(log.join(start.select(RUN, (F.col("time") + test_length).alias("_t")), RUN), F.col("_t")).drop("_t")
-    else:
-        end = last_increase(log) if end_increase else _pick(log, always, [RUN], last=True)
-    if end_offset:
-        end = entry_at_or_before(log.join(end.select(RUN, (F.col("time") + end_offset).alias("_t")), RUN), F.col("_t")).drop("_t")
+        end = found(entries_at(log, moved(start, test_length, "end"), after=True), "end")
+    elif end_offset:
+        end = found(entries_at(log, moved(end, end_offset, "end")), "end")
     both = start.select(RUN, *(F.col(c).alias(f"_{c}") for c in ("time", "num_requests_sent", "num_responses_recv"))).join(end, RUN)
     took = F.col("time") - F.col("_time")
     rate = lambda c: F.when(took != 0, (F.col(c) - F.col(f"_{c}")) / took)

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verity.functions.text import tokenize
-from verity.operators.index import Index, term_bounds, term_impacts
-from verity.sources.files import assign_request_ids
+from verity.operators.index import Index, posting_blocks, shard_count, term_bounds, term_impacts
+from verity.operators.numbering import number_rows
 
 
 def query_terms(queries: DataFrame, keys: list[str], text_col: str, terms: str = "set", stopwords: list[str] | None = None) -> DataFrame:
@@ -82,72 +82,100 @@ def pruned_scores(terms: DataFrame, index: Index, keys: list[str], k: int, seed:
 
 #: Most rows of query terms that are broadcast at once, and most such blocks before terms and postings are joined instead.
 BLOCK, BLOCKS = 1 << 18, 16
-#: Documents of a shard, about: their scores fit a core's cache.
-SHARD = 4096
+#: Words of a block of queries that are pushed to the scan one by one; more are pushed as a range, and looked up there.
+PUSHED = 1000
 
 
-def _score_shard(sent, k: int, digits: int, names_out: list[str]) -> Callable[[pa.Table], pa.Table]:
-    """Scores one shard's postings for the queries of a block."""
+def _best_of_shard(sent, k: int, unit: float, names_out: list[str]) -> Callable[[pa.Table], pa.Table]:
+    """Finds the best documents of one shard for each query of a block, document by document.
 
-    def score(table: pa.Table) -> pa.Table:
+    A block of postings can give a document its greatest impact at most. So the sum of the greatest impacts of the blocks whose range holds a
+    document bounds its score. Documents of the highest bounds are scored first; the k-th best of them is a floor, and then
+    only documents whose bounds reach it are scored: blocks without such a document are skipped.
+    """
+
+    def best(table: pa.Table) -> pa.Table:
         words, names, query, term, weight = sent.value
         own = pc.index_in(table.column("term"), words)
-        table = table.append_column("_t", own).filter(pc.is_valid(own)).sort_by([("_t", "ascending"), ("doc_id", "ascending")])
-        docs = table.column("doc_id").to_numpy()
-        known, of = np.unique(docs, return_inverse=True)
-        impact, starts = table.column("impact").to_numpy(), np.searchsorted(table.column("_t").to_numpy(), np.arange(len(words) + 1))
+        table = table.append_column("_t", own).append_column("_first", pc.list_element(table.column("docs"), 0)).filter(pc.is_valid(own))
+        table = table.sort_by([("_t", "ascending"), ("_first", "ascending")])
+        lists = table.column("docs").combine_chunks()
+        edges = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        known, of = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+        impact, most = table.column("impacts").combine_chunks().flatten().to_numpy(), table.column("most").to_numpy()
+        starts = np.searchsorted(table.column("_t").to_numpy(), np.arange(len(words) + 1))
+        low, high = of[edges[:-1]], of[edges[1:] - 1]
         held = starts[term + 1] > starts[term]
         query, term, weight = query[held], term[held], weight[held]
         firsts = np.append(np.flatnonzero(np.append(True, query[1:] != query[:-1]))[: len(query)], len(query))
-        found = []
+        n, found = len(known), []
+
+        def spread(blocks: np.ndarray) -> np.ndarray:
+            """Numbers of the postings of some blocks."""
+            many = edges[blocks + 1] - edges[blocks]
+            return np.repeat(edges[blocks], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+
         for a, z in zip(firsts[:-1], firsts[1:], strict=True):
-            total = np.zeros(len(known))
-            for t, w in zip(term[a:z], weight[a:z], strict=True):
-                part = slice(starts[t], starts[t + 1])
-                total[of[part]] += w * impact[part]
-            rounded = np.round(total, digits)
-            some = np.flatnonzero(total)
+            many = starts[term[a:z] + 1] - starts[term[a:z]]
+            blocks = np.repeat(starts[term[a:z]], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            w = np.repeat(weight[a:z], many)
+            bound = np.cumsum(np.bincount(low[blocks], w * most[blocks], n + 1) - np.bincount(high[blocks] + 1, w * most[blocks], n + 1))[:n]
+            left, total, floor, wanted = np.ones(len(blocks), bool), np.zeros(n), -1.0, bound > 0
+            for reach in (np.partition(bound, n - 4 * k)[n - 4 * k] if n > 4 * k else 0.0, None):
+                if reach is not None:
+                    wanted = bound >= max(reach, unit)
+                else:
+                    wanted = bound >= max(floor - unit, unit)
+                before = np.concatenate([[0], np.cumsum(wanted)])
+                now = left & (before[high[blocks] + 1] > before[low[blocks]])
+                places = spread(blocks[now])
+                total += np.bincount(of[places], np.repeat(w[now], edges[blocks[now] + 1] - edges[blocks[now]]) * impact[places], n)
+                left &= ~now
+                if wanted.sum() >= k:
+                    floor = np.partition(total[wanted], wanted.sum() - k)[wanted.sum() - k]
+            some = np.flatnonzero(wanted & (total > 0))
             if len(some) > k:
-                some = some[rounded[some] >= np.partition(rounded[some], len(some) - k)[len(some) - k]]
-                some = some[np.lexsort((some, -rounded[some]))][:k]
+                some = some[total[some] >= np.partition(total[some], len(some) - k)[len(some) - k] - unit]
             found.append((np.full(len(some), query[a]), some, total[some]))
         q, d, s = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        columns = [names.take(pa.array(q)), pa.array(known[d] if len(d) else known[:0]), pa.array(s, pa.float64())]
+        columns = [names.take(pa.array(q)), pa.array(known[d] if len(d) else known[:0], lists.type.value_type), pa.array(s, pa.float64())]
         return pa.Table.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], names=names_out)
 
-    return score
+    return best
 
 
 def sharded_scores(terms: DataFrame, index: Index, key: str, k: int, digits: int, blocks: int, types: T.StructType) -> DataFrame:
-    """The k best documents of each query in each shard of the documents, by (score rounded to ``digits``, doc_id).
+    """The k best documents of each query in each shard, and those that round to the k-th best score.
 
-    Postings are grouped by shard, and the terms of a block of queries, of bounded size, are broadcast; a task adds up the
-    impacts of one shard in arrays, a query at a time, and sends k rows of each. So matches are never rows of a shuffle,
-    and a frequent term's postings are spread over all shards.
+    The terms of a block of queries, of bounded size, are broadcast. Of a stored index only blocks with those terms are read, and a
+    shard is worked on where it lies: nothing of the index is shuffled, and k rows or few more of each query and shard go on.
     """
     spark = terms.sparkSession
-    impacts = index.impacts if index.impacts is not None else term_impacts(index)
-    shards = max(-(-index.doclens.count() // SHARD), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    placed = impacts.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("_shard"))
-    schema = T.StructType([types[key], *(f for f in impacts.schema if f.name == "doc_id"), T.StructField("score", T.DoubleType())])
+    stored = index.blocks
+    if stored is None:
+        impacts = index.impacts if index.impacts is not None else term_impacts(index)
+        stored = posting_blocks(impacts, shard_count(index.doclens))
+    kind = T.StructField("doc_id", stored.schema["docs"].dataType.elementType)
+    schema = T.StructType([types[key], kind, T.StructField("score", T.DoubleType())])
     out = None
     for b in range(blocks):
         rows = terms.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b).select(key, "term", "weight").orderBy(key).toArrow()
         words = pc.unique(rows.column("term"))
         names = pc.unique(rows.column(key))
         sent = spark.sparkContext.broadcast((words, names, pc.index_in(rows.column(key), names).to_numpy(), pc.index_in(rows.column("term"), words).to_numpy(), rows.column("weight").to_numpy()))
-
-        best = placed.applyInArrow(_score_shard(sent, k, digits, schema.names), schema)
+        listed = words.to_pylist()
+        held = F.col("term").isin(listed) if len(listed) <= PUSHED else F.col("term").between(min(listed), max(listed))
+        best = stored.where(held).groupBy("shard").applyInArrow(_best_of_shard(sent, k, 2 * 10.0**-digits, schema.names), schema)
         out = best if out is None else out.unionByName(best)
     return out
 
 
-def search(queries: DataFrame, index: Index, k: int | None = 10, terms: str = "set", keys: list[str] | None = None, text_col: str = "text", max_df: int | None = None, stopwords: list[str] | None = None) -> DataFrame:
+def search(queries: DataFrame, index: Index, k: int | None = 10, terms: str = "set", keys: list[str] | None = None, text_col: str = "text", max_df: int | None = None, stopwords: list[str] | None = None, joined: bool | None = None) -> DataFrame:
     """The k best documents of each query: keys, rank, doc_id, score. Queries without a known term have none.
 
-    Equal texts are searched once. Terms of all queries are counted first: if they fill few blocks, they are sent to
-    the shards of the documents; if not, they are joined with the postings, less those that can't matter. With ``k``
-    None all matches are joined and ranked.
+    Equal texts are searched once. Terms of all queries are counted first, when this is called: if they fill few blocks,
+    they are sent to the shards of the documents, by way of the driver, a block of bounded size at a time; if not, they are joined with the
+    postings, less those that can't matter (``joined`` forces one or the other). Both give the same. With ``k`` None all matches are joined and ranked.
     """
     keys = keys or ["query_id"]
     asked = queries.select(*keys, F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("_q"))
@@ -157,21 +185,22 @@ def search(queries: DataFrame, index: Index, k: int | None = 10, terms: str = "s
         wanted = wanted.join(index.vocabulary.where(F.col("df") <= max_df).select("term"), "term", "left_semi")
     if k is None:
         scored = bm25_scores(wanted, index, ["_q"])
-    elif (blocks := -(-wanted.count() // BLOCK)) > BLOCKS:
-        scored = pruned_scores(wanted, index, ["_q"], k)
     else:
-        scored = sharded_scores(wanted, index, "_q", k, 4, max(1, blocks), wanted.schema)
+        blocks = 0 if joined else -(-wanted.count() // BLOCK)
+        if joined or joined is None and blocks > BLOCKS:
+            scored = pruned_scores(wanted, index, ["_q"], k)
+        else:
+            scored = sharded_scores(wanted, index, "_q", k, 4, max(1, blocks), wanted.schema)
     return asked.join(top_k(scored, ["_q"], k), "_q").select(*keys, "rank", "doc_id", "score")
 
 
 def search_batches(queries: DataFrame, n: int, order: str = "query_id") -> DataFrame:
-    """Contiguous batches in the order of a column, whose sizes differ by one at most, larger ones first.
+    """Contiguous batches in the order of a column, as ``batch``, whose sizes differ by one at most, larger ones first.
 
-    Rows are numbered by ranges of the column, so no task sees them all.
+    Rows are numbered by ranges of the column, so no task sees them all. Runs when called.
     """
-    rows = queries.select(order, F.struct("*").alias("_row"))
-    at, size, larger = F.col("request_id"), F.floor(F.col("_n") / n), F.col("_n") % n
+    numbered = number_rows(queries.drop("batch").select(F.struct("*").alias("row")), F.col("row")[order], "at", "n")
+    at, size, larger = F.col("at"), F.floor(F.col("n") / n), F.col("n") % n
     edge = larger * (size + 1)
     batch = F.when(at < edge, F.floor(at / (size + 1))).otherwise(larger + F.floor((at - edge) / F.greatest(size, F.lit(1))))
-    total = rows.agg(F.count(F.lit(1)).alias("_n"))
-    return assign_request_ids(rows, order).crossJoin(F.broadcast(total)).select("_row.*", batch.cast("int").alias("batch"))
+    return numbered.select("row.*", batch.cast("int").alias("batch"))

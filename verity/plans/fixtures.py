@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +10,7 @@ from verity.operators import latency
 from verity.operators.index import Index, build_index, load_index, write_index
 from verity.operators.search import search
 from verity.plans.verify import KEYS, questions_of
+from verity.sources.scratch import scratch
 
 DAY = 86_400.0
 
@@ -20,17 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder in the one that all machines share, spark.checkpoint.dir; only a local session may do without it."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/verity-scratch"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/verity-{uuid.uuid4().hex}"
-
-
 #: Where the index of a collection is stored, by application and state of the collection's files.
 _STORED: dict[tuple, str] = {}
 

@@ -176,7 +176,9 @@ BODIES = {
     "bm25_bag_topk": _topk("bag"),
     "bm25_oov_terms": "SELECT DISTINCT query_id, term FROM bench ANTI JOIN vocab USING (term)",
     "bm25_known_terms": "SELECT query_id, count(DISTINCT term) AS n_terms FROM bench SEMI JOIN vocab USING (term) GROUP BY query_id",
-    "search_batches": "SELECT item_id AS query_id, (ntile(9) OVER (ORDER BY item_id) - 1)::INT AS batch FROM benchmark",
+    "bm25_pruned_topk": _topk("set"),
+    "numbered_documents": "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS request_id, doc_id, lang, source, md5(text) AS text_md5 FROM documents",
+    "search_batches": "SELECT item_id AS query_id, text, (ntile(9) OVER (ORDER BY item_id) - 1)::INT AS batch FROM benchmark",
     "claims": "SELECT * FROM claims",
     "questions": "SELECT * FROM questions",
     "tokens": "SELECT request_id, claim_id, question_id, pos, word, last_token FROM words",
@@ -229,6 +231,9 @@ BODIES = {
     "run_summary": "SELECT split_part(run_file, '_', 4)::DOUBLE AS rate, round(achieved_rate, 6) AS achieved_rate, round(latency_avg, 6) AS avg_latency, round(latency_median, 6) AS median_latency, round(latency_p99, 6) AS p99_latency, round(throughput_avg, 6) AS throughput_avg FROM stats",
     "rates": """SELECT run_file, round((b.num_requests_sent - a.num_requests_sent) / (b.time - a.time), 6) AS achieved_rate, round((b.num_responses_recv - a.num_responses_recv) / (b.time - a.time), 6) AS throughput_avg
         FROM (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY run_file ORDER BY time) = 1) a JOIN (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY run_file ORDER BY time DESC) = 1) b USING (run_file)""",
+    "asof_many": "SELECT request_id, l.time AS entry_time, l.num_requests_sent FROM sent s ASOF LEFT JOIN log l ON s.run_file = l.run_file AND s.sent_time >= l.time",
+    "asof_many_after": "SELECT request_id, l.time AS entry_time, l.num_responses_recv FROM sent s ASOF LEFT JOIN log l ON s.run_file = l.run_file AND s.sent_time <= l.time",
+    "bucket_of_key": "SELECT user_id, 1::BIGINT AS buckets, true AS in_range, count(*) AS items FROM events GROUP BY user_id",
     "trailing_throughput": """SELECT event_id, round(CASE WHEN t > o.t THEN (event_id - o.n) / ((t - o.t)::DOUBLE) END * 1e6, 6) AS throughput FROM (SELECT event_id, t, coalesce(
         last_value({'t': t, 'n': event_id}) OVER (PARTITION BY event_type ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 86400000000 PRECEDING),
         first_value({'t': t, 'n': event_id}) OVER (PARTITION BY event_type ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS o FROM (SELECT event_type, event_id, epoch_us(ts) AS t FROM events))""",

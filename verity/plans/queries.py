@@ -77,6 +77,12 @@ def bm25_bag_topk(spark, d):
     return search.search(fx.search_queries(spark, d), fx.collection_index(spark, d), 10, "bag")
 
 
+@query
+def bm25_pruned_topk(spark, d):
+    """The way that query sets too large for the driver take."""
+    return search.search(fx.search_queries(spark, d), fx.collection_index(spark, d), 10, joined=True)
+
+
 @query
 def bm25_oov_terms(spark, d):
     terms = search.query_terms(fx.search_queries(spark, d), ["query_id"], "text")
@@ -91,7 +97,12 @@ def bm25_known_terms(spark, d):
 
 @query
 def search_batches(spark, d):
-    return search.search_batches(fx.search_queries(spark, d), 9).select("query_id", "batch")
+    return search.search_batches(fx.search_queries(spark, d), 9).select("query_id", "text", "batch")
+
+
+@query
+def numbered_documents(spark, d):
+    return files.assign_request_ids(fx.table(spark, d, "documents"), "doc_id").select("request_id", "doc_id", "lang", "source", F.md5("text").alias("text_md5"))
 
 
 @query
@@ -407,6 +418,19 @@ def asof_entry(spark, d):
     return _entry(runs.entry_at_or_after(log, t)).withColumn("side", F.lit("after")).unionByName(_entry(runs.entry_at_or_before(log, t)).withColumn("side", F.lit("before")))
 
 
+@query
+def asof_many(spark, d):
+    """The log entry before each request, all in one order."""
+    times = fx.sent(fx.table(spark, d, "events")).select("run_file", F.col("sent_time").alias("at"), "request_id")
+    return runs.entries_at(fx.run_log(spark, d), times).select("request_id", F.col("time").alias("entry_time"), "num_requests_sent")
+
+
+@query
+def asof_many_after(spark, d):
+    times = fx.sent(fx.table(spark, d, "events")).select("run_file", F.col("sent_time").alias("at"), "request_id")
+    return runs.entries_at(fx.run_log(spark, d), times, after=True).select("request_id", F.col("time").alias("entry_time"), "num_responses_recv")
+
+
 RUN_COLS = ["time_length", "latency_avg", "latency_median", "latency_p99", "achieved_rate", "throughput_avg"]
 
 
@@ -448,6 +472,13 @@ def bucket_load_hash(spark, d):
     return _rounded(latency.bucket_load(latency.key_bucket(fx.table(spark, d, "events"), 8, ["user_id"], hashed=False)), "skew")
 
 
+@query
+def bucket_of_key(spark, d):
+    """Hashed routing: all rows of a key are in one bucket of the right range."""
+    dealt = latency.key_bucket(fx.table(spark, d, "events"), 8, ["user_id"])
+    return dealt.groupBy("user_id").agg(F.countDistinct("bucket").alias("buckets"), F.min(F.col("bucket").between(0, 7)).alias("in_range"), F.count(F.lit(1)).alias("items"))
+
+
 @query
 def bucket_load_rr(spark, d):
     numbered = files.assign_request_ids(fx.table(spark, d, "events").select("event_id"), "event_id")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from verity.operators.numbering import number_rows
+
 
 def _tsv(spark: SparkSession, path: str, schema: str, header: bool, mode: str = "PERMISSIVE") -> DataFrame:
     return spark.read.options(sep="\t", header=header, quote="", mode=mode, enforceSchema=True).schema(schema).csv(path)
@@ -35,19 +37,8 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def assign_request_ids(df: DataFrame, order: Column | str | None = None) -> DataFrame:
-    """Ids 0, 1, .. in file order, or in the order of a column.
-
-    Rows are numbered within their partition, and the partitions' counts are summed: no window holds all rows.
-    The input must give the same partitions each time it is read, as files do.
-    """
-    if order is not None:
-        df = df.repartitionByRange(order).sortWithinPartitions(order)
-    df = df.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33))
-    counts = df.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
-    inside = F.col("_at").bitwiseAND((1 << 33) - 1)
-    return df.join(F.broadcast(starts), "_part").withColumn("request_id", F.col("_from") + inside).drop("_at", "_part", "_from")
+    """Ids 0, 1, .. in file order, or in the order of a column, as ``request_id``; see ``number_rows``."""
+    return number_rows(df, order, "request_id")
 
 
 def write_responses(df: DataFrame, path: str, fmt: str = "json") -> None:
