@@ -269,3 +269,52 @@ def test_block_skipping_finds_the_same(spark, tmp_path, monkeypatch):
     every = key(search(asked, index, None, "bag").where("rank <= 5"))
     assert key(search(asked, index, 5, "bag")) == every == key(search(asked, index, 5, "bag", joined=True))
     assert [tuple(r) for r in index.impacts.orderBy("term", "doc_id").collect()] == [tuple(r) for r in build_index(rows).impacts.orderBy("term", "doc_id").collect()]
+
+
+def test_maxsim_in_tiles(spark, monkeypatch):
+    """One document with most vectors, repeated, null and empty vectors, and the scan of all documents, against numpy."""
+    import numpy as np
+
+    monkeypatch.setattr(dense, "TILE", 8)
+    monkeypatch.setattr(dense, "SENT", 40)
+    rng = np.random.default_rng(1)
+    q = [(f"q{k}", j, (rng.integers(-8, 9, 6) / 8).tolist()) for k in range(5) for j in range([1, 3, 12, 30, 2][k])]
+    d = [(k % 40 if k % 2 else 7, (rng.integers(-8, 9, 6) / 8).tolist()) for k in range(400)] + [(7, [1.0] * 6)] * 100
+    odd = [(50, None), (51, []), (52, [None, *[1.0] * 5]), (7, None)]
+    q_rows = spark.createDataFrame([*q, ("q9", 0, None), ("q0", 99, [])], "query_id string, tok_pos int, vec array<float>").repartition(3)
+    d_rows = spark.createDataFrame([*d, *odd], "doc_id long, vec array<float>").repartition(4)
+
+    def plain(query, doc):
+        a = np.array([v for i, _, v in q if i == query])
+        b = np.array([v for i, v in d if i == doc])
+        return float((a @ b.T).max(axis=1).sum())
+
+    ids = sorted({i for i, _ in d})
+    pairs = spark.createDataFrame([(f"q{k}", i) for k in (0, 1, 2, 3, 4, 9) for i in (*ids[:9], 50, 51, 52, 999)], "query_id string, doc_id long")
+    got = {(r["query_id"], r["doc_id"]): r["score"] for r in dense.maxsim(pairs, q_rows, d_rows, ["query_id"]).collect()}
+    assert got == pytest.approx({(f"q{k}", i): plain(f"q{k}", i) for k in range(5) for i in ids[:9]})
+    none = pairs.where("false")
+    best = {(r["query_id"], r["rank"]): (r["doc_id"], r["score"]) for r in dense.rerank(none, q_rows, d_rows, ["query_id"], 4, fallback=True).collect()}
+    want = {}
+    for k in range(5):
+        order = sorted(((-math.copysign(math.floor(abs(plain(f"q{k}", i)) * 10_000 + 0.5) / 10_000, plain(f"q{k}", i)), i) for i in ids))[:4]  # halves away from 0
+        want |= {(f"q{k}", r + 1): (i, -s) for r, (s, i) in enumerate(order)}
+    assert best == want
+    plan = dense.rerank(none, q_rows, d_rows, ["query_id"], 4, fallback=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cross" not in plan
+
+
+def test_a_large_label_is_split(spark):
+    """100,000 vectors of one label: no row holds more than some hundreds of them."""
+    rows = spark.range(100_000).select(F.lit(1).cast("long").alias("doc_id"), F.array(*((F.pmod(F.xxhash64("id", F.lit(j)), F.lit(1000)) / 1000).cast("float") for j in range(8))).alias("vec"))
+    tiles = dense._document_tiles(rows).select(F.size("d").alias("n"))
+    most, total = tiles.agg(F.max("n"), F.sum("n")).first()
+    assert most < 2 * dense.TILE and total == 100_000
+
+
+def test_verify_may_fall_back_to_all_documents(spark, docs):
+    requests = spark.createDataFrame([(0, "unknown words")], "request_id long, query string")
+    vectors = lambda rows, col, keys: inference.encode(rows.select(*keys, F.col(col).alias("t")), "t").select(*keys, F.posexplode("vectors").alias("tok_pos", "vec"))
+    keys = ["request_id", "claim_id", "question_id"]
+    run = lambda fallback: verify(requests, build_index(docs), q_tokens=lambda q: vectors(q, "question", keys), d_tokens=vectors(docs, "text", ["doc_id"]), k_rerank=2, fallback=fallback).first()
+    assert len(run(True)["claims"][0]["questions"][0]["doc"]) == 2 and not run(False)["claims"][0]["questions"][0]["doc"]

@@ -1,8 +1,12 @@
 """Streams give what their batch twins give, in whatever order the parts arrive."""
 
+import json
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from verity.sources import generator
 from verity.streaming import stages
 
 PARTS = {
@@ -20,7 +24,7 @@ def test_response_in_any_order(spark, tmp_path, order):
     for name, (schema, _) in PARTS.items():
         (tmp_path / name).mkdir()
         streams[name] = spark.readStream.schema(schema).parquet(str(tmp_path / name))
-    out = stages.stream_response(*(streams[n] for n in ("answers", "claims", "questions", "hits")))
+    out = stages.stream_response(*(streams[n] for n in ("answers", "claims", "questions", "hits")), timeout_ms=None)
     for name in order:
         schema, rows = PARTS[name]
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
@@ -39,7 +43,7 @@ def test_split_over_batches(spark, tmp_path):
     source.mkdir()
     schema = "request_id long, text string, done boolean"
     out = stages.stream_split(spark.readStream.schema(schema).parquet(str(source)))
-    for rows in ([(1, "a\nb", False), (2, "", False)], [(1, "a\nbc\n", False)], [(1, "a\nbc\n", True), (2, "", True)]):
+    for rows in ([(1, "a\nb", False), (2, "", False)], [(1, "a\nbc\n", False)], [(1, "a\nbc\n", True), (2, None, True)]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
         stages.run_stream(out, str(tmp_path / "out"), str(tmp_path / "state"))
     got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect())
@@ -92,3 +96,91 @@ def test_latency_batches_count_once(spark, tmp_path):
     stages.stream_latency(spark.readStream.schema(schema).parquet(str(source)), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     stats = {r["batch"]: (r["avg"], r["count"]) for r in spark.read.parquet(str(tmp_path / "out/stats")).collect()}
     assert stats == {0: (1.0, 1), 1: (2.0, 2)}
+
+
+def test_running_quantiles_stay_near(spark, tmp_path):
+    rng = random.Random(3)
+    schema = "request_id long, latency double"
+    source, seen = tmp_path / "in", []
+    for n in (700, 1, 400):
+        values = [rng.choice([rng.lognormvariate(0, 2), -rng.random(), 0.0]) for _ in range(n)]
+        seen += values
+        spark.createDataFrame([*enumerate(values), (9, None)], schema).coalesce(1).write.mode("append").parquet(str(source))
+        stages.stream_latency(spark.readStream.schema(schema).parquet(str(source)), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+        last = spark.read.parquet(str(tmp_path / "out/stats")).orderBy(F.desc("batch")).first()
+        assert last["count"] == len(seen) and last["avg"] == pytest.approx(sum(seen) / len(seen))
+        for name, share in (("median", 0.5), ("p99", 0.99)):
+            value = sorted(seen)[int(share * (len(seen) - 1))]
+            assert last[name] == pytest.approx(value, rel=0.0051, abs=1e-12)
+    assert spark.read.parquet(str(tmp_path / "out/state")).count() < 3 * 1100
+
+
+class Held:
+    """A state that counts how often its parts are read."""
+
+    def __init__(self):
+        self.values, self.reads = {}, 0
+
+    def exists(self):
+        return bool(self.values)
+
+    def containsKey(self, key):
+        return key in self.values
+
+    def updateValue(self, key, value):
+        self.values[key] = value
+
+    def get(self):
+        return self.values[()]
+
+    def update(self, value):
+        self.values[()] = value
+
+    def clear(self):
+        self.values = {}
+
+    def iterator(self):
+        self.reads += 1
+        return iter(list(self.values.items()))
+
+
+def test_parts_are_read_once(spark):
+    """Thousands of parts in many batches, some twice, some stray: read when all are there, not at each arrival."""
+    one = stages.Collector(stages.RESPONSE)
+    one.parts, one.counted, one.sent = Held(), Held(), Held()
+    one.handle = type("Handle", (), {"registerTimer": lambda self, at: None})()
+    clock = type("Clock", (), {"getCurrentProcessingTimeInMs": lambda self: 0})()
+    parts = [("answer", "", {"generation": "g"})]
+    for c in range(20):
+        parts.append(("claim", f"{c}", {"claim_id": c, "claim": f"c{c}", "last_claim": c == 19}))
+        for q in range(30):
+            parts.append(("question", f"{c}/{q}", {"claim_id": c, "question_id": q, "question": "x", "last_question": q == 29}))
+            parts.append(("hits", f"{c}/{q}", {"claim_id": c, "question_id": q, "doc": []}))
+    random.Random(1).shuffle(parts)
+    part = lambda p: type("Part", (), {"tag": p[0], "part": p[1], "payload": json.dumps(p[2])})()
+    out = []
+    for k in range(0, len(parts), 3):
+        out += one.handleInputRows(("r",), [part(p) for p in (*parts[k : k + 3], parts[k])], clock)
+    assert [r.status for r in out] == ["complete"] and one.parts.reads == 1 and not one.parts.exists()
+    claims = json.loads(out[0].payload)["claims"]
+    assert len(claims) == 20 and all(len(c["questions"]) == 30 for c in claims)
+    assert [r.status for r in one.handleInputRows(("r",), [part(parts[0])], clock)] == ["late"]
+
+
+def test_generated_stream_goes_on_after_a_restart(spark, tmp_path):
+    there = tmp_path / "blocks"
+
+    def blocks(k):
+        return [(k, 10 * k + j) for j in range(3)]
+
+    def available():
+        return int(there.read_text())
+
+    generator.register_generator(spark, "blocks_of_three", blocks, "k int, v int", 2, available)
+    assert spark.read.format("blocks_of_three").load().count() == 6
+    for n in (2, 2, 5):
+        there.write_text(str(n))
+        rows = spark.readStream.format("blocks_of_three").load()
+        assert stages.run_stream(rows, str(tmp_path / "out"), str(tmp_path / "state"), timeout_s=60)
+        got = sorted(r["v"] for r in spark.read.schema("k int, v int").parquet(str(tmp_path / "out")).collect())
+        assert got == [10 * k + j for k in range(n) for j in range(3)]

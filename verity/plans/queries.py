@@ -295,7 +295,7 @@ def verified_responses(spark, d):
 
 
 def _first_words(rows, col, keys, n):
-    """Vectors of the first words of a text: keys, tok_pos, vec."""
+    """Vectors of a text's words in the encoder's window of ``n``: keys, tok_pos, vec."""
     made = inference.encode(rows.select(*keys, F.coalesce(F.col(col), F.lit("")).alias("t")), "t")
     return made.select(*keys, F.posexplode(F.slice("vectors", 1, n)).alias("tok_pos", "vec"))
 
@@ -309,9 +309,9 @@ def _two_lines(claim):
 @query
 def verified_plan(spark, d):
     """All steps: generated answers, claims, asked queries, BM25, encoding, re-ranking, nesting."""
-    docs = _first_words(fx.table(spark, d, "documents"), "text", ["doc_id"], 8)
+    docs = _first_words(fx.table(spark, d, "documents"), "text", ["doc_id"], 32)
     nested = verify(
-        fx.requests(_conv(spark, d)), fx.collection_index(spark, d), inference.echo, lambda q: _first_words(q, "question", KEYS, 8), docs, k=20, k_rerank=3, ask=_two_lines
+        fx.requests(_conv(spark, d)), fx.collection_index(spark, d), inference.echo, lambda q: _first_words(q, "question", KEYS, 32), docs, k=20, k_rerank=3, ask=_two_lines
     )
     slim = F.transform("claims", lambda c: F.struct(c["claim"].alias("claim"), F.transform(c["questions"], lambda q: F.struct(q["question"].alias("question"), F.transform(q["doc"], lambda x: x["doc_id"]).alias("doc"))).alias("questions")))
     return nested.select("request_id", "generation", F.to_json(slim).alias("claims"))
@@ -555,7 +555,7 @@ def _hit_stream(spark, d):
 def stream_response(spark, d):
     stages.use_state_store(spark)
     conv = _conv_stream(spark, d)
-    out = stages.stream_response(fx.answers(conv), fx.claims(conv), fx.questions(conv), _hit_stream(spark, d))
+    out = stages.stream_response(fx.answers(conv), fx.claims(conv), fx.questions(conv), _hit_stream(spark, d), None)
     shape = "generation string, claims array<struct<claim:string,questions:array<struct<question:string,doc:array<struct<doc_id:bigint>>>>>>"
     r = F.from_json("payload", shape)
     rows = _drained(spark, out).where("status = 'complete'").select(F.col("key").cast("long").alias("request_id"), r.alias("r"))
@@ -567,11 +567,25 @@ def stream_response(spark, d):
 def stream_appraise(spark, d):
     stages.use_state_store(spark)
     conv = _conv_stream(spark, d)
-    out = _drained(spark, stages.stream_appraise(fx.claims(conv), fx.questions(conv), _hit_stream(spark, d))).where("status = 'complete'")
+    out = _drained(spark, stages.stream_appraise(fx.claims(conv), fx.questions(conv), _hit_stream(spark, d), None)).where("status = 'complete'")
     ids, r = F.split("key", "/"), F.from_json("payload", "claim string, evidence array<bigint>")
     return out.select(ids[0].cast("long").alias("request_id"), ids[1].cast("int").alias("claim_id"), r["claim"].alias("claim"), F.array_join(r["evidence"].cast("array<string>"), ",").alias("evidence"))
 
 
+@query
+def stream_latency(spark, d):
+    """Running statistics over three batches; quantiles are held against the exact ones."""
+    rows = latency.request_latency(*_traffic(spark, d))
+    path = fx.scratch(spark)
+    rows.withColumn("part", F.pmod("request_id", F.lit(3))).repartition(3, "part").drop("part").write.parquet(f"{path}/in")
+    stream = files.stream_requests(spark, f"{path}/in", rows.schema, maxFilesPerTrigger=1)
+    stages.stream_latency(stream, f"{path}/out", f"{path}/state").awaitTermination()
+    last = spark.read.parquet(f"{path}/out/stats").orderBy(F.desc("batch")).limit(1)
+    exact = latency.summary_stats(rows, "latency").select(F.col("median").alias("m"), F.col("p99").alias("h"))
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 0.02 * F.abs(b)
+    return last.crossJoin(exact).select(F.round("avg", 4).alias("avg"), "count", near("median", "m").alias("median_near"), near("p99", "h").alias("p99_near"))
+
+
 @query
 def udf_generate(spark, d):
     return inference.generate(fx.requests(_conv(spark, d)), "query", "generation")

@@ -29,11 +29,12 @@ def questions_of(claims: DataFrame, ask: Callable[[Column], Column] = sentences)
     return text.extract_questions(merge_branches(asked, blank.select("request_id", "claim_id", F.lit("").alias("generation"))))
 
 
-def verify(requests: DataFrame, index: Index, fn: Callable | None = None, q_tokens: Callable[[DataFrame], DataFrame] | None = None, d_tokens: DataFrame | None = None, k: int = 200, k_rerank: int = 5, ask: Callable[[Column], Column] = sentences) -> DataFrame:
+def verify(requests: DataFrame, index: Index, fn: Callable | None = None, q_tokens: Callable[[DataFrame], DataFrame] | None = None, d_tokens: DataFrame | None = None, k: int = 200, k_rerank: int = 5, ask: Callable[[Column], Column] = sentences, fallback: bool = False) -> DataFrame:
     """requests(request_id, query) to (request_id, generation, claims), each claim with its questions and their documents.
 
     ``fn`` generates text from prompts (by default it gives them back), and ``ask`` a claim's queries, one a line. With ``q_tokens`` (questions to
-    (keys, tok_pos, vec)) and ``d_tokens`` the k BM25 hits are ranked again.
+    (keys, tok_pos, vec)) and ``d_tokens`` the k BM25 hits are ranked again, and with
+    ``fallback`` questions without hits are ranked against all documents.
     """
     answers = generate(requests, "query", "generation", fn) if fn else requests.withColumn("generation", F.col("query"))
     answers = answers.select("request_id", text.clean_generation(F.col("generation"), "answer").alias("generation"))
@@ -41,5 +42,5 @@ def verify(requests: DataFrame, index: Index, fn: Callable | None = None, q_toke
     questions = questions_of(claims, ask)
     hits = search(questions, index, k if q_tokens else k_rerank, "bag", KEYS, "question")
     if q_tokens:
-        hits = rerank(hits, q_tokens(questions), d_tokens, KEYS, k_rerank, fallback=False)
+        hits = rerank(hits, q_tokens(questions), d_tokens, KEYS, k_rerank, fallback)
     return nest_response(answers, claims, questions, hits)
