@@ -27,6 +27,20 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Rows of whole texts that go to a Python task at once; Spark's own default is for narrow rows.
+ROWS = 512
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand whole texts to Python ``ROWS`` at a time, unless the session has a setting of its own.
+
+    Workers live on between stages with the memory of their largest batch, so this bounds what they hold together.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) == 10_000:
+        spark.conf.set(name, ROWS)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a table written to the shared folder, which outlives any executor."""
     spark = df.sparkSession

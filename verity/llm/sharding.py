@@ -25,10 +25,10 @@ def even_tree(shards: int, per_rack: int = 4, racks: int = 3) -> list[Leaf]:
     return [Leaf(k // (per_rack * racks), k // per_rack, k) for k in range(shards)]
 
 
-def _draw(key: Column, leaf: Leaf) -> Column:
-    """Exponential draw with rate ``weight``: -ln(u) / weight, u uniform in (0, 1) from 53 bits of the hash."""
-    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(f"{leaf.region}/{leaf.rack}/{leaf.shard}")), 11)
-    return -F.log((bits.cast("double") + 0.5) / float(1 << 53)) / leaf.weight
+def _draw(key: Column, name: str, weight: float) -> Column:
+    """Exponential draw of a node of the tree with rate ``weight``: -ln(u) / weight, u uniform in (0, 1) from 53 bits of the hash."""
+    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(name)), 11)
+    return -F.log((bits.cast("double") + 0.5) / float(1 << 53)) / weight
 
 
 def _least(draws: dict[int, Column]) -> Column:
@@ -45,12 +45,13 @@ def _case(on: Column, branches: dict[int, Column]) -> Column:
 
 
 def place(df: DataFrame, key: str, tree: list[Leaf], out: str) -> DataFrame:
-    """Add the shard ``out``: descend region, rack and shard, each by the least weighted hash draw.
+    """Add the shard ``out``: descend region, rack and shard, each by the least of its nodes' weighted hash draws.
 
-    The draw of a region or rack is the least of those of its shards. The least of exponential draws is an
-    exponential draw at the sum of their rates, so each level is a weighted draw by subtree weight, and a changed
-    weight alters the draws of that shard and its ancestors only: a heavier or new shard takes rows into itself, a
-    lighter one gives up its own, and nothing moves between other subtrees.
+    A node draws with the weight of all shards below it, under its own name, and only the children of the chosen node draw, so a row costs
+    depth times fan-out hashes. If a weight changes, only the draws of that shard, its rack and its region do: rows move
+    into the region (out of it, if it gets lighter); those that stay in the region move between the rack and its siblings only, and those that
+    stay in the rack between the shard and its siblings. Nothing moves between other subtrees. A new shard in a region of its own
+    takes rows only into itself.
 
     Null keys all have the same draws, so they share a shard. Equal keys share a shard.
     """
@@ -58,16 +59,18 @@ def place(df: DataFrame, key: str, tree: list[Leaf], out: str) -> DataFrame:
         raise ValueError("the tree has no shards")
     if len({leaf.shard for leaf in tree}) < len(tree) or any(not leaf.weight > 0 for leaf in tree):
         raise ValueError("shards must be distinct and weights positive")
-    racks: dict[int, dict[int, list[int]]] = {}
-    for i, leaf in enumerate(tree):
-        racks.setdefault(leaf.region, {}).setdefault(leaf.rack, []).append(i)
-    d = F.col("_draws")
-    least = lambda ids: F.least(*(d[i] for i in ids)) if len(ids) > 1 else d[ids[0]]
-    df = df.withColumn("_draws", F.array(*(_draw(F.col(key), leaf) for leaf in tree)))
-    df = df.withColumn("_region", _least({r: least([i for ids in x.values() for i in ids]) for r, x in racks.items()}))
-    df = df.withColumn("_rack", _case(F.col("_region"), {r: _least({k: least(ids) for k, ids in x.items()}) for r, x in racks.items()}))
-    inner = {k: _least({tree[i].shard: d[i] for i in ids}) for x in racks.values() for k, ids in x.items()}
-    return df.withColumn(out, _case(F.col("_rack"), inner)).drop("_draws", "_region", "_rack")
+    regions: dict[int, dict[int, dict[int, float]]] = {}
+    for leaf in tree:
+        regions.setdefault(leaf.region, {}).setdefault(leaf.rack, {})[leaf.shard] = leaf.weight
+    total = lambda x: sum(map(total, x.values())) if isinstance(x, dict) else x
+
+    def choose(nodes: dict[int, dict | float], path: str) -> Column:
+        return _least({k: _draw(F.col(key), f"{path}{k}", total(x)) for k, x in nodes.items()})
+
+    df = df.withColumn("_region", choose(regions, ""))
+    df = df.withColumn("_rack", _case(F.col("_region"), {r: choose(racks, f"{r}/") for r, racks in regions.items()}))
+    inner = {r: _case(F.col("_rack"), {k: choose(shards, f"{r}/{k}/") for k, shards in racks.items()}) for r, racks in regions.items()}
+    return df.withColumn(out, _case(F.col("_region"), inner)).drop("_region", "_rack")
 
 
 def number_within(df: DataFrame, group: str, out: str) -> DataFrame:
@@ -90,7 +93,7 @@ def shard_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Returns id_col, size (UTF-8 bytes plus 8; null text: 8), text_crc32 (null text: 0, as for the empty text), law,
     shard, slot (from 0 without gaps within the shard) and grown_shard (with one shard more, which takes rows only
-    into itself). Repeated rows keep a slot each; rows with a null id share a shard; an empty table gives none;
+    into itself, as a multiple of 12 shards fills its regions and one more opens another). Repeated rows keep a slot each; rows with a null id share a shard; an empty table gives none;
     other columns are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")

@@ -9,6 +9,8 @@ from verity.llm.common import cut
 
 #: Titles that tell the gender of the name after them, and names to draw from, by script and gender.
 TITLES = {"f": ["Mrs", "Ms", "Miss", "Frau", "Mme", "Mlle", "Sra", "Señora", "Madame", "г-жа"], "m": ["Mr", "Herr", "Sr", "Señor", "Monsieur", "г-н"], "n": ["Dr", "Prof"]}
+#: Titles as they are, and in capitals; in small letters they may be other words.
+SPELLED = {gender: [*titles, *(t.upper() for t in titles)] for gender, titles in TITLES.items()}
 GIVEN = {
     ("latin", "f"): ["anna", "clara", "elena", "ines", "julia", "laura", "maria", "nora", "sofia", "vera"],
     ("latin", "m"): ["adam", "bruno", "david", "erik", "felix", "hugo", "leon", "martin", "oscar", "simon"],
@@ -26,11 +28,12 @@ PATTERNS = {
     "email": r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?[0-9])",
+    "ip6": r"(?<![\p{L}\p{N}:.])(?=[0-9A-Fa-f:]*[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])",
     "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
     "intl": r"\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])",
-    "person": r"(?<!\p{L})(?:" + "|".join(t for ts in TITLES.values() for t in ts) + r")\.? \p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+)?",
+    "person": r"(?<!\p{L})(?:" + "|".join(t for ts in SPELLED.values() for t in ts) + r")\.? \p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+)?",
 }
 ANY = "|".join(PATTERNS.values())
 DIGIT_KINDS = ["phone", "ssn", "card", "intl"]
@@ -65,7 +68,7 @@ def check_digit(body: Column) -> Column:
 def normal(kind: Column, mention: Column) -> Column:
     """What mentions of one entity have in common: digits alone, letters in lower case, a name without its title but with its gender."""
     titled = F.regexp_extract(mention, r"^([\p{L}-]+)\.? (.*)$", 1)
-    gender = F.when(titled.isin(TITLES["f"]), "f").when(titled.isin(TITLES["m"]), "m").otherwise("n")
+    gender = F.when(titled.isin(SPELLED["f"]), "f").when(titled.isin(SPELLED["m"]), "m").otherwise("n")
     name = F.concat(gender, F.lit(":"), F.lower(F.regexp_extract(mention, r"^[\p{L}-]+\.? (.*)$", 1)))
     digits = F.regexp_replace(mention, "[^0-9]", "")
     national = F.substring(digits, F.length(country_code(mention)) + 1, F.length(digits))
@@ -87,7 +90,7 @@ def _number(draws: Column, at: Column | int, below: int) -> Column:
 def surrogate(kind: Column, entity: Column, draws: Column, attempt: Column) -> Column:
     """The normal form of a replacement of the same type: digits for digits, letters for letters of the same script.
 
-    E-mail domains end in the reserved ``example``; IP addresses are private ones; social security numbers start
+    E-mail domains end in the reserved ``example``; IP addresses are private ones (of version 6 unique local ones); social security numbers start
     with the unissued 9; cards keep the first digit, IBANs the country; names keep gender and script. Names are made in
     parts: a surname, and a given name for ``gender:given surname``, with that surname behind it.
     """
@@ -110,6 +113,9 @@ def surrogate(kind: Column, entity: Column, draws: Column, attempt: Column) -> C
     email = F.concat(spell(local), F.lit("@"), spell(domain), F.lit(".example"))
     # Private addresses first; those in the reserved upper range when many of them are taken.
     ip = F.concat_ws(".", F.when(attempt < 4, "10").otherwise((_number(draws, 16, 16) + 240).cast("string")), *(_number(draws, 4 * k, 256).cast("string") for k in range(3)))
+    group = lambda i: F.lpad(F.lower(F.hex(_number(draws, F.pmod(i * 5, F.lit(250)), 1 << 16).cast("long"))), 4, "0")
+    groups = F.transform(F.split(entity, ":"), lambda g, i: F.when(g == "", g).when(i == 0, F.concat(F.lit("fd"), F.substring(group(i), 3, 2))).otherwise(group(i)))
+    ip6 = F.array_join(groups, ":")
     number = spell(entity)
     body = F.concat(F.substring(entity, 1, 1), F.substring(number, F.lit(2), F.length(entity) - 2))
     valid = F.substring(entity, -1, 1) == check_digit(F.substring(entity, F.lit(1), F.length(entity) - 1))
@@ -122,7 +128,7 @@ def surrogate(kind: Column, entity: Column, draws: Column, attempt: Column) -> C
     for (s, g), bank in GIVEN.items():
         one = F.concat(F.element_at(F.array(*map(F.lit, bank)), _number(draws, 0, len(bank)) + 1), _syllables(draws, attempt, s), F.lit(" "), F.substring_index(entity, " ", -1))
         given = F.when((script == s) & (gender == g), one) if given is None else given.when((script == s) & (gender == g), one)
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "ssn", ssn).when(kind == "iban", iban).when(kind == "surname", surname).when(kind == "given", given).otherwise(number)
+    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "ip6", ip6).when(kind == "card", card).when(kind == "ssn", ssn).when(kind == "iban", iban).when(kind == "surname", surname).when(kind == "given", given).otherwise(number)
 
 
 def _syllables(draws: Column, n: Column, script: str) -> Column:
@@ -142,8 +148,9 @@ def formatted(kind: Column, mention: Column, made: Column) -> Column:
     title, name = F.regexp_extract(mention, r"^[\p{L}-]+\.? ", 0), F.initcap(F.substring_index(made, ":", -1))
     name = F.when(F.size(F.split(mention, " ")) > 2, name).otherwise(F.substring_index(name, " ", -1))
     upper = mention == F.upper(mention)
+    name = F.when(upper, F.upper(name)).otherwise(name)
     email = F.when(upper, F.upper(made)).otherwise(made)
-    return F.when(kind.isin(DIGIT_KINDS), digits).when(kind == "iban", iban).when(kind == "person", F.concat(title, name)).when(kind == "email", email).otherwise(made)
+    return F.when(kind.isin(DIGIT_KINDS), digits).when(kind == "iban", iban).when(kind == "person", F.concat(title, name)).when(kind.isin("email", "ip6"), email).otherwise(made)
 
 
 def assign(entities: DataFrame, key: str) -> DataFrame:
@@ -190,7 +197,8 @@ def _distinct(entities: DataFrame, key: str) -> DataFrame:
 
 def pseudonymise(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Replace the personal data of every whole text: e-mail and IP addresses, phone, card, social security and
-    account numbers, and names after a title, with later mentions of the same full name in the text without one.
+    account numbers, and names after a title, with other mentions of the same full name, and of the surname alone as it is spelled
+    there, in the text without one.
 
     An entity has one surrogate in all documents and formats, distinct entities have distinct ones, and only the
     key and the entities of the corpus decide them. Texts without personal data are returned as they are and not
@@ -211,11 +219,14 @@ def pseudonymise(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     changed = some.join(maps, "_key", "left")
     between = F.split("_text", ANY, -1)
     filled = F.zip_with(between, F.transform("_found", lambda m: F.coalesce(F.element_at("_map", m), m)), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    # A full name that a title told is a person's without the title too, anywhere in the text.
-    pairs = F.filter(F.map_entries("_map"), lambda e: F.rlike(e["key"], F.lit(f"^(?:{PATTERNS['person']})$")) & (F.size(F.split(e["key"], " ")) > 2))
+    # A name that a title told is a person's without the title too, anywhere in the text: full names first, then surnames.
+    people = F.coalesce(F.filter(F.map_entries("_map"), lambda e: F.rlike(e["key"], F.lit(f"^(?:{PATTERNS['person']})$"))), F.array().cast("array<struct<key:string,value:string>>"))
     bare = lambda m: F.regexp_extract(m, r"^[\p{L}-]+\.? (.*)$", 1)
-    again = lambda t, e: F.regexp_replace(t, F.concat(F.lit(r"(?<![\p{L}'’-])\Q"), bare(e["key"]), F.lit(r"\E(?![\p{L}'’-])")), bare(e["value"]))
+    swap = lambda t, a, b: F.regexp_replace(t, F.concat(F.lit(r"(?<![\p{L}'’-])\Q"), a, F.lit(r"\E(?![\p{L}-])(?!['’](?!s(?!\p{L})))")), b)
+    full = F.filter(people, lambda e: F.size(F.split(e["key"], " ")) > 2)
+    surnames = F.array_distinct(F.transform(people, lambda e: F.struct(F.substring_index(e["key"], " ", -1).alias("a"), F.substring_index(e["value"], " ", -1).alias("b"))))
     whole = F.array_join(filled, "")
-    told = F.when(F.size(F.coalesce(pairs, F.array().cast("array<struct<key:string,value:string>>"))) > 0, F.aggregate(pairs, whole, again)).otherwise(whole)
+    told = F.aggregate(full, whole, lambda t, e: swap(t, bare(e["key"]), bare(e["value"])))
+    told = F.when(F.size(people) > 0, F.aggregate(surnames, told, lambda t, e: swap(t, e["a"], e["b"]))).otherwise(whole)
     changed = changed.select("_id", told.alias("_text"), F.size("_found").cast("long").alias("n_entities"), F.coalesce("kinds", F.array().cast("array<string>")).alias("kinds"))
     return plain.unionByName(changed).select(F.col("_id").alias(id_col), F.col("_text").alias(text_col), "n_entities", "kinds")

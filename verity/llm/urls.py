@@ -131,7 +131,7 @@ def judge_urls(
 
     ``labels`` tells by ``label_id`` which pages are unwanted (``bad``; by default quality 0 or toxic 1, null
     counts as good). A page without label, or with a null id, is judged but teaches nothing; equal labels of an id
-    count once, and of differing ones the bad one. Null and malformed URLs have an empty host and path and are allowed by default. A row is given for each row; an empty
+    count once, and of differing ones the bad one; of several pages of an id the one with the smallest URL teaches. Null and malformed URLs have an empty host and path and are allowed by default. A row is given for each row; an empty
     table gives none; without labels, or with fewer than ``least_pages`` labelled pages, no rule is mined. Equal
     confidences stand side by side. Returns id_col, host, path, rule, verdict.
     """
@@ -142,7 +142,9 @@ def judge_urls(
     urls = rows.select("_url", "host", "path").distinct()
     urls = urls.select(F.col("_url").alias("_id"), url_tokens(F.col("_url"), F.col("host"), F.col("path")).alias("_tokens"))
     taught = labels.select(F.col(label_id).alias("_id"), bad.alias("_bad")).groupBy("_id").agg(F.max("_bad").alias("_bad"))
-    seen = rows.select("_id", url_tokens(F.col("_url"), F.col("host"), F.col("path")).alias("_tokens")).dropDuplicates(["_id"])
+    # An id teaches once, by the smallest of its URLs.
+    first = url_parts(rows.where("_id IS NOT NULL").groupBy("_id").agg(F.min("_url").alias("_url")), "_url")
+    seen = first.select("_id", url_tokens(F.col("_url"), F.col("host"), F.col("path")).alias("_tokens"))
     mined = mine_rules(seen, taught, support, confidence, lift, least_pages, sure)
     hit = match_rules(urls, mined).select(F.col("_id").alias("_url"), F.lit(True).alias("_hit"))
     out = rows.join(hit, "_url", "left").withColumns({"rule": longest_rule(rules, "text"), "_given": longest_rule(rules, "verdict")})
