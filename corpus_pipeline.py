@@ -6,33 +6,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verity.llm import boosting, decontamination, neardup, secrets, sentencepieces
-from verity.llm.common import cut, discard
+from verity.llm.common import cut, discard, small_batches
 from verity.llm.queries import piece_model
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what the boosted trees reject."""
+    small_batches(spark)
     model = boosting.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return boosting.keep_good(docs, model)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one of each class of equal or similar documents."""
+    small_batches(spark)
     return neardup.keep_one(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item."""
+    small_batches(spark)
     return decontamination.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take secrets out of the texts; every document stays."""
+    small_batches(spark)
     return secrets.redact(docs, length_col="n_chars" if "n_chars" in docs.columns else None)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode, with begin and end ids, and decode again."""
+    small_batches(spark)
     coded = sentencepieces.encode_decode(docs, piece_model())
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
