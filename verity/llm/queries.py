@@ -22,6 +22,7 @@ def piece_model() -> str:
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts give begin and end alone; repeated rows and null ids are documents of their own; an empty table gives none. No other column of the table is read."""
     coded = sentencepieces.encode_decode(_table(spark, sf_dir, "documents"), piece_model())
     return coded.select(
         "doc_id",
@@ -33,15 +34,18 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts have no words and fail; repeated rows are judged alike; without trusted documents all ratios are 0; an empty table gives none. No other column of the table is read."""
     trusted = _table(spark, sf_dir, "labels").where("quality = 1")
     return rules.judge_quality(_table(spark, sf_dir, "documents"), trusted)
 
 
 def op8_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts count as empty, null ids share a shard, repeated rows have a slot each; an empty table gives none. No other column of the table is read."""
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
 def op9_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts have no spans; repeated rows are found in alike; an empty table gives none. No other column of the table is read."""
     found, _ = secrets.scan_documents(_table(spark, sf_dir, "documents"))
     kinds = [r.kind for r in secrets.BASE_RULES]
     base = F.filter("findings", lambda x: x["kind"].isin(kinds))
@@ -53,26 +57,32 @@ def op9_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and malformed URLs have an empty host and path; repeated rows are judged alike; an empty table gives none. No other column of the table is read."""
     return urls.judge_urls(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
 
 
 def op6_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts are scored by their statistics; documents without label teach nothing; an empty table gives none. No other column of the table is read."""
     return boosting.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null counts as empty; texts without words are linked to equal ones only, and texts of fewer than five words are one window; repeated rows are of one class; an empty table gives none. No other column of the table is read."""
     return neardup.join_similar(_table(spark, sf_dir, "documents"))
 
 
 def op3_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts or items match nothing; repeated rows and equal ids give a pair once; empty tables give none. No other column of the table is read."""
     return decontamination.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op4_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts hold the end token alone; repeated rows count and are scored alike; an empty table gives none. No other column of the table is read."""
     return maxent.score_documents(_table(spark, sf_dir, "documents"))
 
 
 def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts stay null; repeated rows are changed alike; an empty table gives none. No other column of the table is read."""
     return surrogates.pseudonymise(_table(spark, sf_dir, "documents"), "corpus")
 
 
