@@ -268,6 +268,8 @@ def test_block_skipping_finds_the_same(spark, tmp_path, monkeypatch):
     key = lambda df: {(r["query_id"], r["rank"]): (r["doc_id"], r["score"]) for r in df.collect()}
     every = key(search(asked, index, None, "bag").where("rank <= 5"))
     assert key(search(asked, index, 5, "bag")) == every == key(search(asked, index, 5, "bag", joined=True))
+    monkeypatch.setattr(searching, "FEW", 0)  # bounds for all
+    assert key(search(asked, index, 5, "bag")) == every
     assert [tuple(r) for r in index.impacts.orderBy("term", "doc_id").collect()] == [tuple(r) for r in build_index(rows).impacts.orderBy("term", "doc_id").collect()]
 
 

@@ -84,6 +84,8 @@ def pruned_scores(terms: DataFrame, index: Index, keys: list[str], k: int, seed:
 BLOCK, BLOCKS = 1 << 18, 16
 #: Words of a block of queries that are pushed to the scan one by one; more are pushed as a range, and looked up there.
 PUSHED = 1000
+#: Postings of a query in a shard that are added up without bounds: so few take less time than bounds would.
+FEW = 1 << 13
 
 
 def _best_of_shard(sent, k: int, unit: float, names_out: list[str]) -> Callable[[pa.Table], pa.Table]:
@@ -91,8 +93,10 @@ def _best_of_shard(sent, k: int, unit: float, names_out: list[str]) -> Callable[
 
     A block of postings can give a document its greatest impact at most. So the sum of the greatest impacts of the blocks whose range holds a
     document bounds its score. Documents of the highest bounds are scored first; the k-th best of them is a floor, and then
-    only documents whose bounds reach it are scored: blocks without such a document are skipped.
+    only documents whose bounds reach it are scored: blocks without such a document are skipped. Queries with ``FEW`` postings
+    in the shard are scored from all of them, which gives the same.
     """
+    few = FEW
 
     def best(table: pa.Table) -> pa.Table:
         words, names, query, term, weight = sent.value
@@ -115,7 +119,18 @@ def _best_of_shard(sent, k: int, unit: float, names_out: list[str]) -> Callable[
             many = edges[blocks + 1] - edges[blocks]
             return np.repeat(edges[blocks], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
 
+        places_of = edges[starts]
         for a, z in zip(firsts[:-1], firsts[1:], strict=True):
+            if (places_of[term[a:z] + 1] - places_of[term[a:z]]).sum() <= few:
+                total = np.zeros(n)
+                for t, w in zip(term[a:z], weight[a:z], strict=True):
+                    part = slice(places_of[t], places_of[t + 1])  # a term's postings are of different documents
+                    total[of[part]] += w * impact[part]
+                some = np.flatnonzero(total)
+                if len(some) > k:
+                    some = some[total[some] >= np.partition(total[some], len(some) - k)[len(some) - k] - unit]
+                found.append((np.full(len(some), query[a]), some, total[some]))
+                continue
             many = starts[term[a:z] + 1] - starts[term[a:z]]
             blocks = np.repeat(starts[term[a:z]], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
             w = np.repeat(weight[a:z], many)
