@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import replace
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verity.llm import bitplanes, boosting, decontamination, maxent, neardup, packing, rules, secrets, sentencepieces, sharding, spelling, surrogates, urls
@@ -44,16 +46,20 @@ def op8_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
-def op9_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Null and empty texts have no spans; repeated rows are found in alike; an empty table gives none. No other column of the table is read."""
-    found, _ = secrets.scan_documents(_table(spark, sf_dir, "documents"))
+def _base_columns() -> list[Column]:
     kinds = [r.kind for r in secrets.BASE_RULES]
     base = F.filter("findings", lambda x: x["kind"].isin(kinds))
 
-    def count(kind: str):
+    def count(kind: str) -> Column:
         return F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return found.select("doc_id", *map(count, kinds), F.sha2(secrets.spans_text(base), 256).alias("base_sha256"), secrets.spans_text(F.col("findings")).alias("spans"))
+    return [*map(count, kinds), F.sha2(secrets.spans_text(base), 256).alias("base_sha256")]
+
+
+def op9_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts have no spans; repeated rows are found in alike; an empty table gives none. No other column of the table is read."""
+    found, _ = secrets.scan_documents(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *_base_columns(), secrets.spans_text(F.col("findings")).alias("spans"))
 
 
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,8 +115,35 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_surrogates, op3_latent_decontamination, op4_maxent_scores, op5_quality_rules, op6_boosted_quality, op7_jaccard_join, op8_hash_tree, op9_secret_ledger, op10_url_rules, op11_bin_completion, op12_bitplane_clusters, op13_spelling_variants)}
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counted rules of ``op5_quality_rules`` alone, for its SQL; odd rows as there."""
+    return op5_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base kinds of ``op9_secret_ledger`` alone, for its SQL; odd rows as there."""
+    return op9_secret_ledger(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def secret_rescan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``secret_base`` by way of a ledger: other rules and documents of even ids first, then what that leaves unseen.
+
+    Odd rows as in ``op9_secret_ledger``; ids that are null are scanned in the second run only.
+    """
+    docs = _table(spark, sf_dir, "documents")
+    old = [replace(r, version=0) if r.kind == "hex" else r for r in secrets.BASE_RULES]
+    _, ledger = secrets.scan_documents(docs.where("doc_id % 2 = 0"), rules=old)
+    found, _ = secrets.scan_documents(docs, rules=secrets.BASE_RULES, ledger=ledger)
+    return found.select("doc_id", *_base_columns())
+
+
+def url_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given rules of ``op10_url_rules`` alone, for its SQL; odd rows as there."""
+    judged = op10_url_rules(spark, sf_dir)
+    return judged.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("given"))
+
 
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_surrogates, op3_latent_decontamination, op4_maxent_scores, op5_quality_rules, op6_boosted_quality, op7_jaccard_join, op8_hash_tree, op9_secret_ledger, op10_url_rules, op11_bin_completion, op12_bitplane_clusters, op13_spelling_variants, quality_base, secret_base, secret_rescan, url_base)}
 
 
 def _clusters_sql(rounds: int = 10) -> str:
@@ -153,4 +186,45 @@ def _spelling_sql() -> str:
     SELECT forms.*, chain.at AS root FROM forms JOIN chain USING (word) JOIN forms f ON f.word = chain.at WHERE f.form IS NULL"""
 
 
-ORACLE_SQL: dict[str, str] = {"op13_spelling_variants": _spelling_sql(), "op12_bitplane_clusters": _clusters_sql()}
+_QUALITY_SQL = r"""WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+words AS MATERIALIZED (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (SELECT rid, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM docs)),
+counted AS (SELECT rid, count(*) AS n_words, sum(length(word)) AS word_chars FROM words GROUP BY rid),
+windows AS (SELECT rid, i, word AS a, lead(word, 1) OVER p AS b, lead(word, 2) OVER p AS c FROM words WINDOW p AS (PARTITION BY rid ORDER BY i)),
+twice AS (SELECT rid, i FROM windows WHERE c IS NOT NULL QUALIFY count(*) OVER (PARTITION BY rid, a, b, c) > 1),
+repeats AS (SELECT rid, count(DISTINCT i + k) AS n_repeat_words FROM twice, (VALUES (0), (1), (2)) v(k) GROUP BY rid),
+lines AS (SELECT rid, count(*) - count(DISTINCT l) AS n_dup_lines FROM (SELECT rid, unnest(string_split(t, chr(10))) AS l FROM docs) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY rid),
+found AS (SELECT doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars, CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+  CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
+  FROM docs LEFT JOIN counted USING (rid) LEFT JOIN lines USING (rid) LEFT JOIN repeats USING (rid))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM found"""
+
+_SECRET_SQL = r"""WITH kinds(kind, rank, least) AS (VALUES ('assign', 0, 6), ('access', 1, 20), ('hex', 2, 24)),
+docs AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+parts AS (
+  SELECT rid, 'assign' AS kind, regexp_extract_all(t, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') AS m,
+    regexp_extract_all(t, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) AS v,
+    string_split_regex(t, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') AS gaps FROM docs
+  UNION ALL SELECT rid, 'access', regexp_extract_all(t, 'AKIA[A-Z0-9]+') AS m, m, string_split_regex(t, 'AKIA[A-Z0-9]+') FROM docs
+  UNION ALL SELECT rid, 'hex', regexp_extract_all(t, '[0-9a-f]+') AS m, m, string_split_regex(t, '[0-9a-f]+') FROM docs),
+spread AS (SELECT rid, kind, unnest(m) AS m, unnest(v) AS v, unnest(gaps[1:len(m)]) AS gap, generate_subscripts(m, 1) AS k FROM parts),
+spans AS (SELECT rid, kind, v, sum(length(gap) + length(m)) OVER (PARTITION BY rid, kind ORDER BY k) AS stop, length(m) AS n FROM spread),
+kept AS (SELECT spans.*, rank FROM spans JOIN kinds USING (kind) WHERE length(v) >= least),
+listed AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(kind || ':' || (stop - n) || ':' || stop, ',' ORDER BY stop - n, rank) AS said FROM kept GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(said, '')) AS base_sha256 FROM docs LEFT JOIN listed USING (rid)"""
+
+_URL_SQL = r"""WITH rules(verdict, host, path) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+rests AS (SELECT row_number() OVER () AS rid, page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parted AS MATERIALIZED (SELECT rid, page_id, translate(regexp_extract(rest, '\A[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '\A[^/?#]*([^?#]*)', 1) AS path FROM rests),
+best AS (SELECT rid, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(r.verdict, length(r.host || r.path)) AS given
+  FROM parted p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY rid)
+SELECT page_id, host, path, rule, given FROM parted LEFT JOIN best USING (rid)"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "quality_base": _QUALITY_SQL,
+    "secret_base": _SECRET_SQL,
+    "secret_rescan": _SECRET_SQL,
+    "url_base": _URL_SQL,
+    "op13_spelling_variants": _spelling_sql(), "op12_bitplane_clusters": _clusters_sql(),
+}
