@@ -27,18 +27,20 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-#: Rows of whole texts that go to a Python task at once; Spark's own default is for narrow rows.
-ROWS = 512
+#: Rows, and bytes, of whole texts that go to a Python task at once; Spark's own defaults are for narrow rows.
+ROWS, BYTES = 512, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hand whole texts to Python ``ROWS`` at a time, unless the session has a setting of its own.
+    """Hand whole texts to Python ``ROWS`` or ``BYTES`` at a time, unless the session has settings of its own.
 
-    Workers live on between stages with the memory of their largest batch, so this bounds what they hold together.
+    Workers, and the pools of the executor that fill the batches, keep the memory of their largest batch between stages,
+    so this bounds what they hold together. A text of more bytes is a batch of its own.
     """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) == 10_000:
-        spark.conf.set(name, ROWS)
+    for name, value in (("maxRecordsPerBatch", ROWS), ("maxBytesPerBatch", BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if name not in spark.conf.getAll:
+            spark.conf.set(name, value)
 
 
 def cut(df: DataFrame) -> DataFrame:
