@@ -30,6 +30,15 @@ VERDICT = {
     "correction": r"""["']correction["']\s*:\s*['"]?(.+?)['"]?,""",
     "factuality": r"""["']factuality["']\s*:\s*(True|False|'True'|'False')""",
 }
+#: The lines of prompts and of a report, which callers read.
+HEADS = {"text": "[text]:", "claim": "[claim]:", "response": "[response]:"}
+APPRAISAL = {"text": "The following is the given text [text]:", "evidences": "The following is the provided evidences [evidences]:"}
+REPORT = {
+    "claim": ('|====> Claim "', '" verified with the following queries:\n'),
+    "query": ('|========> SearchQuery "', '" supported by the following passages:\n'),
+    "passage": ("|============> Passage ", ": "),
+    "response": ("[ID: ", "]\nQ: ", "\nA: ", "\nClaims:\n"),
+}
 
 
 def tokenize(text: Column, stopwords: list[str] | None = None) -> Column:
@@ -99,11 +108,11 @@ def extract_tokens(questions: DataFrame) -> DataFrame:
 def build_prompt(kind: str, text: Column, evidence: Column | None = None) -> Column:
     """Prompt of a stage: claims from an answer, questions from a claim, or an appraisal with evidence texts."""
     if kind == "claims":
-        return F.concat_ws("\n", F.lit("[text]:"), text, F.lit("[response]:"))
+        return F.concat_ws("\n", F.lit(HEADS["text"]), text, F.lit(HEADS["response"]))
     if kind == "questions":
-        return F.concat_ws("\n", F.lit("[claim]:"), text, F.lit("[response]:"))
+        return F.concat_ws("\n", F.lit(HEADS["claim"]), text, F.lit(HEADS["response"]))
     if kind == "appraisal":
-        parts = [F.lit("The following is the given text [text]:"), text, F.lit("The following is the provided evidences [evidences]:")]
+        parts = [F.lit(APPRAISAL["text"]), text, F.lit(APPRAISAL["evidences"])]
         return F.concat_ws("\n", *parts, F.array_join(evidence, "\n"))
     raise ValueError(f"unknown kind {kind!r}")
 
@@ -123,7 +132,9 @@ def parse_verdict(text: Column) -> Column:
 
 def render_report(request_id: Column, question: Column, answer: Column, claims: Column) -> Column:
     """Indented text of a response; claims: array of (claim, questions: array of (question, passages: array of (doc_id, text)))."""
-    passage = lambda p: F.concat(F.lit("|============> Passage "), p["doc_id"].cast("string"), F.lit(": "), p["text"])
-    query = lambda q: F.concat(F.lit('|========> SearchQuery "'), q["question"], F.lit('" supported by the following passages:\n'), F.array_join(F.transform(q["passages"], passage), "\n"))
-    claim = lambda c: F.concat(F.lit('|====> Claim "'), c["claim"], F.lit('" verified with the following queries:\n'), F.array_join(F.transform(c["questions"], query), "\n"))
-    return F.concat(F.lit("[ID: "), request_id.cast("string"), F.lit("]\nQ: "), question, F.lit("\nA: "), answer, F.lit("\nClaims:\n"), F.array_join(F.transform(claims, claim), "\n"))
+    (c0, c1), (q0, q1), (p0, p1) = (map(F.lit, REPORT[k]) for k in ("claim", "query", "passage"))
+    head, asked, answered, listed = map(F.lit, REPORT["response"])
+    passage = lambda p: F.concat(p0, p["doc_id"].cast("string"), p1, p["text"])
+    query = lambda q: F.concat(q0, q["question"], q1, F.array_join(F.transform(q["passages"], passage), "\n"))
+    claim = lambda c: F.concat(c0, c["claim"], c1, F.array_join(F.transform(c["questions"], query), "\n"))
+    return F.concat(head, request_id.cast("string"), asked, question, answered, answer, listed, F.array_join(F.transform(claims, claim), "\n"))
