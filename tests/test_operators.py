@@ -320,3 +320,26 @@ def test_verify_may_fall_back_to_all_documents(spark, docs):
     keys = ["request_id", "claim_id", "question_id"]
     run = lambda fallback: verify(requests, build_index(docs), q_tokens=lambda q: vectors(q, "question", keys), d_tokens=vectors(docs, "text", ["doc_id"]), k_rerank=2, fallback=fallback).first()
     assert len(run(True)["claims"][0]["questions"][0]["doc"]) == 2 and not run(False)["claims"][0]["questions"][0]["doc"]
+
+
+def test_a_stored_index_shuffles_texts_once_and_no_postings(spark, tmp_path, monkeypatch):
+    """Blocks are made where the texts were dealt, and shards don't follow the shuffle partitions; odd ids give what an index that isn't stored gives."""
+    from verity.operators import index as indexing
+
+    monkeypatch.setattr(indexing, "SHARD", 100)
+    spark.conf.set("spark.sql.shuffle.partitions", "11")
+    docs = spark.range(450).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *(F.concat(F.lit("w"), F.pmod(F.xxhash64("id", F.lit(j)), F.lit(40))) for j in range(12))).alias("text"))
+    odd = docs.unionByName(spark.createDataFrame([(7, "w1 w1 other"), (7, "w1 w2 w3"), (None, "w1 w2 lone")], "doc_id long, text string"))
+    queries = spark.createDataFrame([(k, f"w{k % 40} w{3 * k % 40} w1 w2") for k in range(60)], "query_id long, text string")
+    for name, rows in (("plain", docs), ("odd", odd)):
+        made = write_index(build_index(rows), str(tmp_path / name))
+        assert {r["shard"] for r in made.blocks.select("shard").distinct().collect()} == set(range(5))
+        order = lambda df: [tuple(r) for r in df.orderBy(*df.columns).collect()]
+        assert order(made.vocabulary.select("term", "df")) == order(build_index(rows).vocabulary.select("term", "df"))
+        assert order(made.impacts) == order(build_index(rows).impacts)
+        every = order(searching.search(queries, made, None, "bag").where("rank <= 4"))
+        monkeypatch.setattr(searching, "BLOCK", 30)  # many blocks, some at a time
+        assert order(searching.search(queries, made, 4, "bag")) == every
+        monkeypatch.undo()
+        monkeypatch.setattr(indexing, "SHARD", 100)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
