@@ -343,3 +343,17 @@ def test_a_stored_index_shuffles_texts_once_and_no_postings(spark, tmp_path, mon
         monkeypatch.undo()
         monkeypatch.setattr(indexing, "SHARD", 100)
     spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_tiles_go_to_python_in_small_batches(spark, monkeypatch):
+    """Steps of a product give the same, and batches of tiles are bounded by bytes."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    vectors = [(k, [float((7 * k + j) % 11) for j in range(4)]) for k in range(40)]
+    q = spark.createDataFrame([(k % 2, k, v) for k, v in vectors], "query_id long, tok_pos long, vec array<double>")
+    d = spark.createDataFrame([(k % 3, v) for k, v in vectors], "doc_id long, vec array<double>")
+    pairs = q.select("query_id", F.lit(0).cast("long").alias("doc_id")).where("query_id = 1")
+    rows = lambda: sorted(tuple(r) for r in dense.rerank(pairs, q, d, ["query_id"], 3, fallback=True).collect())
+    whole = rows()
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) == dense.BYTES
+    monkeypatch.setattr(dense, "STEP", 3)
+    assert len(whole) == 4 and rows() == whole
