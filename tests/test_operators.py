@@ -357,3 +357,26 @@ def test_tiles_go_to_python_in_small_batches(spark, monkeypatch):
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) == dense.BYTES
     monkeypatch.setattr(dense, "STEP", 3)
     assert len(whole) == 4 and rows() == whole
+
+
+def test_a_search_in_blocks_writes_the_k_best_only(spark, tmp_path, monkeypatch):
+    """What is written of all blocks is k rows of a query, whatever the number of shards; ties and texts without known words included."""
+    import random
+
+    from verity.operators import index as indexing
+
+    monkeypatch.setattr(indexing, "SHARD", 250)
+    rng = random.Random(5)
+    vocabulary = [f"v{k}" for k in range(150)]
+    share = [1 / (k + 1) for k in range(150)]
+    docs = [(k, " ".join(rng.choices(vocabulary, share, k=rng.randint(1, 40)))) for k in range(900)]
+    docs += [(5000 + k, docs[k % 7][1]) for k in range(100)]
+    index = write_index(build_index(spark.createDataFrame(docs, "doc_id long, text string")), str(tmp_path / "ix"))
+    queries = [(k, " ".join(rng.choices(vocabulary, share, k=rng.randint(1, 9)))) for k in range(90)] + [(100, "none"), (101, None)]
+    asked = spark.createDataFrame(queries, "query_id long, text string")
+    monkeypatch.setattr(searching, "BLOCK", 150)
+    written, store = [], searching.stored
+    monkeypatch.setattr(searching, "stored", lambda df: written.append(store(df)) or written[-1])
+    got = [tuple(r) for r in search(asked, index, 3, "bag").orderBy("query_id", "rank").collect()]
+    assert 0 < sum(df.count() for df in written if "score" in df.columns) <= 3 * 90
+    assert got == [tuple(r) for r in search(asked, index, None, "bag").where("rank <= 3").orderBy("query_id", "rank").collect()]
