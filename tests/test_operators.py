@@ -380,3 +380,31 @@ def test_a_search_in_blocks_writes_the_k_best_only(spark, tmp_path, monkeypatch)
     got = [tuple(r) for r in search(asked, index, 3, "bag").orderBy("query_id", "rank").collect()]
     assert 0 < sum(df.count() for df in written if "score" in df.columns) <= 3 * 90
     assert got == [tuple(r) for r in search(asked, index, None, "bag").where("rank <= 3").orderBy("query_id", "rank").collect()]
+
+
+def test_each_shard_has_a_bucket_of_its_own(spark, tmp_path, monkeypatch):
+    """So no task searches several shards while others have none; only blocks with words of the queries go to Python."""
+    from verity.operators import index as indexing
+
+    monkeypatch.setattr(indexing, "SHARD", 100)
+    monkeypatch.setattr(indexing, "PART", 40)
+    docs = spark.range(450).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *(F.concat(F.lit("w"), F.pmod(F.xxhash64("id", F.lit(j)), F.lit(5 + 9 * j))) for j in range(12))).alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(None, "w1 w2 lone"), (1000, ""), (1001, None)], "doc_id long, text string"))
+    made = write_index(build_index(docs), str(tmp_path / "ix"))
+    placed = made.blocks.select("shard", F.regexp_extract(F.input_file_name(), r"_(\d+)\.c\d+", 1).alias("at")).distinct().collect()
+    assert len(placed) == len({r["at"] for r in placed}) == len({r["shard"] for r in placed}) == 5
+    order = lambda df: [tuple(r) for r in df.orderBy(*df.columns).collect()]
+    plain = build_index(docs)
+    assert order(made.vocabulary.select("term", "df")) == order(plain.vocabulary.select("term", "df"))
+    assert order(made.impacts) == order(plain.impacts) and order(made.postings) == order(plain.postings.where("doc_id IS NOT NULL"))
+    assert [tuple(r)[:2] for r in order(made.bounds)] == [tuple(r) for r in order(plain.vocabulary)]
+    queries = spark.createDataFrame([(k, f"w{k % 40} w{3 * k % 90} w1 w2") for k in range(60)], "query_id long, text string")
+    every = order(search(queries, plain, None, "bag").where("rank <= 1"))
+    monkeypatch.setattr(searching, "PUSHED", 0)
+    found = search(queries, made, 1, "bag")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("FlatMapGroupsInArrow") :]
+    assert "LeftSemi" in below[: below.index("SelectedBucketsCount")]
+    assert order(found) == every
+    empty = write_index(build_index(docs.where("text = '' OR text IS NULL")), str(tmp_path / "empty"))
+    assert empty.blocks.count() == empty.vocabulary.count() == 0 and search(queries, empty, 3).count() == 0
