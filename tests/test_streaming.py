@@ -184,3 +184,39 @@ def test_generated_stream_goes_on_after_a_restart(spark, tmp_path):
         assert stages.run_stream(rows, str(tmp_path / "out"), str(tmp_path / "state"), timeout_s=60)
         got = sorted(r["v"] for r in spark.read.schema("k int, v int").parquet(str(tmp_path / "out")).collect())
         assert got == [10 * k + j for k in range(n) for j in range(3)]
+
+
+def test_parts_of_one_batch_cost_no_calls_for_each():
+    """A key whose parts come together leaves only its mark; in two batches each part is stored once, the last payload counts, and later parts are late."""
+    calls = []
+
+    class State:
+        def __init__(self, name):
+            self.name, self.kept = name, {}
+
+        def __getattr__(self, call):
+            def made(*args):
+                calls.append((self.name, call))
+                of = {"exists": lambda: bool(self.kept), "get": lambda: self.kept.get(0), "update": lambda v: self.kept.update({0: v}), "clear": self.kept.clear, "containsKey": lambda k: k in self.kept, "updateValue": lambda k, v: self.kept.update({k: v}), "iterator": lambda: iter(list(self.kept.items()))}
+                return of[call](*args)
+
+            return made
+
+    class Handle:
+        getMapState = getValueState = lambda self, name, *_: State(name)
+
+    class Part:
+        def __init__(self, pos, word, last):
+            self.tag, self.part, self.payload = "token", str(pos), json.dumps({"pos": pos, "word": word, "last_token": last})
+
+    def run(*batches):
+        one = stages.Collector(stages.WORDS)
+        one.init(Handle())
+        calls.clear()
+        return [[(r.status, r.payload) for r in one.handleInputRows(("k",), iter(rows), None)] for rows in batches]
+
+    words = [Part(k, f"w{k}", k == 49) for k in range(50)]
+    want = " ".join(f"w{k}" for k in range(50))
+    assert run(words) == [[("complete", want)]] and len(calls) <= 4
+    assert run(words[:30] + [Part(29, "new", False)], words[25:], words[:1]) == [[], [("complete", want)], [("late", words[0].payload)]]
+    assert sum(c == ("parts", "updateValue") for c in calls) == 30

@@ -89,8 +89,8 @@ KEEP_MS = 24 * 3_600_000
 class Collector(StatefulProcessor):
     """Keeps the parts of a key until all have arrived, emits once, and drops them; later parts are ``late``.
 
-    A part that arrives is stored and counted; parts are read again only when the counters say that all are there, so each costs
-    the same however many came before. With ``timeout_ms`` an unready key is emitted as ``incomplete`` then, and the mark
+    A part that arrives is counted, and stored if more are to come; parts are read again only when the counters say that all are there, so each
+    costs the same however many came before, and a key whose parts come in one batch costs as many calls to the state whatever their number. With ``timeout_ms`` an unready key is emitted as ``incomplete`` then, and the mark
     of a key that was sent is forgotten ``keep_ms`` after (by default ten times as long), so the state is bounded by what
     came of late.
     """
@@ -108,25 +108,31 @@ class Collector(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         if self.sent.exists():
             return iter([Row(key=key[0], status="late", payload=row.payload) for row in rows])
-        fresh = not self.counted.exists()
-        counters = {} if fresh else json.loads(self.counted.get()[0])
+        counted = self.counted.exists()
+        counters = json.loads(self.counted.get()[0]) if counted else {}
+        came: dict[tuple[str, str], str] = {}
         for row in rows:
-            if not self.parts.containsKey((row.tag, row.part)):
+            part = (row.tag, row.part)
+            if part not in came and not (counted and self.parts.containsKey(part)):
                 for name, n in self.spec.counts(row.tag, json.loads(row.payload)).items():
                     counters[name] = counters.get(name, 0) + n
-            self.parts.updateValue((row.tag, row.part), (row.payload,))
+            came[part] = row.payload
         payload = None
         if self.spec.full(counters):
             found: dict[str, dict[str, str]] = {}
-            for (tag, part), (value,) in self.parts.iterator():
+            for (tag, part), (value,) in self.parts.iterator() if counted else ():
+                found.setdefault(tag, {})[part] = value
+            for (tag, part), value in came.items():
                 found.setdefault(tag, {})[part] = value
             payload = self.spec.build(found)
         if payload is None:
+            for part, value in came.items():
+                self.parts.updateValue(part, (value,))
             self.counted.update((json.dumps(counters),))
-            if fresh and self.timeout_ms:
+            if not counted and self.timeout_ms:
                 self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms)
             return iter(())
-        self._spend("complete")
+        self._spend("complete", counted)
         return iter([Row(key=key[0], status="complete", payload=payload)])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
@@ -136,9 +142,10 @@ class Collector(StatefulProcessor):
         self._spend("incomplete")
         return iter([Row(key=key[0], status="incomplete", payload=json.dumps(held, sort_keys=True))])
 
-    def _spend(self, status: str) -> None:
-        self.parts.clear()
-        self.counted.clear()
+    def _spend(self, status: str, stored: bool = True) -> None:
+        if stored:
+            self.parts.clear()
+            self.counted.clear()
         self.sent.update((status,))
 
     def close(self) -> None: ...
