@@ -1,6 +1,7 @@
 import json
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -408,3 +409,34 @@ def test_each_shard_has_a_bucket_of_its_own(spark, tmp_path, monkeypatch):
     assert order(found) == every
     empty = write_index(build_index(docs.where("text = '' OR text IS NULL")), str(tmp_path / "empty"))
     assert empty.blocks.count() == empty.vocabulary.count() == 0 and search(queries, empty, 3).count() == 0
+
+
+def test_a_shard_gives_its_hits_back_in_parts(spark, monkeypatch):
+    """Not all hits of a block of queries at once, whatever k is."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(searching, "HELD", 100)
+    docs = [(k, f"w{k % 3} v{k % 7} x") for k in range(90)]
+    queries = [(k, f"w{k % 3} v{k % 5} x") for k in range(40)]
+    given = []
+
+    def best_of_shard(*args):
+        best = real(*args)
+
+        def sized(batches):
+            for out in best(batches):
+                given.append(out.num_rows)
+                yield out
+
+        return sized
+
+    real = searching._best_of_shard
+    words = pa.array(["v0", "x"])
+    sent = type("Sent", (), {"value": (words, pa.array([f"q{k}" for k in range(40)]), np.repeat(np.arange(40), 2), np.tile([0, 1], 40), np.ones(80))})
+    table = pa.table({"term": ["v0", "x"], "most": [1.0, 0.5], "docs": [[0, 7, 14], list(range(20))], "shares": [[1.0, 0.9, 0.8], [0.5] * 20]})
+    parts = list(best_of_shard(sent, 10, 2e-4, ["_q", "doc_id", "score"])(iter(table.to_batches())))
+    assert len(given) == len(parts) > 3 and max(given) <= 120
+    assert all(part.schema.names == ["_q", "doc_id", "score"] for part in parts)
+    asked, index = spark.createDataFrame(queries, "query_id long, text string"), build_index(spark.createDataFrame(docs, "doc_id long, text string"))
+    rows = lambda df: [tuple(r) for r in df.orderBy("query_id", "rank").collect()]
+    assert rows(search(asked, index, 8)) == rows(search(asked, index, None).where("rank <= 8"))
