@@ -440,3 +440,12 @@ def test_a_shard_gives_its_hits_back_in_parts(spark, monkeypatch):
     asked, index = spark.createDataFrame(queries, "query_id long, text string"), build_index(spark.createDataFrame(docs, "doc_id long, text string"))
     rows = lambda df: [tuple(r) for r in df.orderBy("query_id", "rank").collect()]
     assert rows(search(asked, index, 8)) == rows(search(asked, index, None).where("rank <= 8"))
+
+
+def test_impacts_of_a_stored_index_join_whole_blocks(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"w{k % 3} v{k % 7} common") for k in range(300)], "doc_id long, text string")
+    made = write_index(build_index(docs), str(tmp_path / "ix"))
+    plan = made.impacts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join Inner")
+    order = lambda df: [tuple(r) for r in df.orderBy(*df.columns).collect()]
+    assert order(made.impacts) == order(build_index(docs).impacts)
