@@ -50,6 +50,25 @@ def test_split_over_batches(spark, tmp_path):
     assert got == [(1, 0, "a", False), (1, 1, "bc", True), (2, 0, "", True)]
 
 
+def test_split_keeps_a_state_row_a_block(spark, tmp_path):
+    """Texts of a request are split in one group, so calls to the state don't grow with their number; children are those of each text."""
+    stages.use_state_store(spark)
+    source, keys = tmp_path / "in", ["request_id", "claim_id", "question_id"]
+    source.mkdir()
+    schema = "request_id long, claim_id int, question_id int, text string, done boolean"
+    out = stages.stream_split(spark.readStream.schema(schema).parquet(str(source)), keys, "pos", "word", "last_token", " \n")
+    ids = [(r, c, q) for r in (-1, 1 << 60) for c in range(16) for q in range(-1, 4)]
+    whole = {k: f'a"{k[1]} \\é{k[2]} b/\tc' if k[2] else "" for k in ids}
+    for rows in ([(*k, t[:5], False) for k, t in whole.items()], [(*k, t, True) for k, t in whole.items()], [(*k, t + " later", True) for k, t in whole.items()]):
+        spark.createDataFrame(rows, schema).repartition(3).write.mode("append").parquet(str(source))
+        query = out.writeStream.option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    words = {k: t.split(" ") for k, t in whole.items()}
+    assert got == sorted((*k, i, w, i == len(ws) - 1) for k, ws in words.items() for i, w in enumerate(ws))
+    assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] <= 4  # question -1 is in a block of its own
+
+
 def test_latency_stream(spark, tmp_path):
     source = tmp_path / "in"
     spark.createDataFrame([(1, 0.5), (2, 1.5)], "request_id long, latency double").write.parquet(str(source))

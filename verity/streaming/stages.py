@@ -24,54 +24,80 @@ def use_state_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
 
 
+#: Bits by which the last two keys of a text may differ from those of others in its block, where nothing else is asked for.
+IN_BLOCK = 4
+
+
 class Splitter(StatefulProcessor):
     """Complete pieces of growing snapshots, each once; the rest, or a blank child, when the text is done.
 
-    One child is held back until the next is known, so that the last one is marked. State: the length of what has
-    been taken, the next id and the child held back.
+    One child is held back until the next is known, so that the last one is marked. Rows are (block, part: JSON of [keys, text, done]); a block is
+    a bounded number of keys. State: by keys the length of what has been taken, the next id, the child held back, and whether the text is done. So a block
+    costs two calls to the state and a row out, whatever keys it has: a call costs Spark's Python worker more than the splitting of many texts.
     """
 
-    def __init__(self, names: list[str], separators: str):
-        self.names, self.separators = names, separators
+    def __init__(self, separators: str):
+        self.separators = separators
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "taken long, next int, held string, done boolean")
+        self.state = handle.getValueState("state", "held string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        taken, number, held, done = self.state.get() if self.state.exists() else (0, 0, None, False)
+        came: dict[str, list[tuple[str, bool]]] = {}
+        for row in rows:
+            keys, text, done = json.loads(row.part)
+            came.setdefault(keys, []).append((text or "", done == "true"))
+        found = self.state.get()
+        held = json.loads(found[0]) if found else {}
         out = []
-
-        def child(value: str, last: bool) -> Row:
-            return Row(**dict(zip(self.names, (*key, number, value, last), strict=True)))
-
-        for text, last in sorted(((r.text or "", bool(r.done)) for r in rows), key=lambda x: (len(x[0]), x[1])):
+        for keys, texts in came.items():
+            first = held[keys][1] if keys in held else 0
+            held[keys], pieces = self.taken(texts, *held.get(keys, (0, 0, None, False)))
+            if pieces:
+                out.append({"keys": keys, "first": first, "pieces": pieces, "done": held[keys][3]})
+        self.state.update((json.dumps(held, ensure_ascii=False),))
+        return iter([Row(made=json.dumps(out, ensure_ascii=False))] if out else [])
+
+    def taken(self, texts: list[tuple[str, bool]], taken: int, number: int, held: str | None, done: bool) -> tuple[tuple, list[str]]:
+        """What is kept of a text from now on, and its new children; of a text that was done before there are none."""
+        if done:
+            return (taken, number, None, True), []
+        pieces = [] if held is None else [held]
+        for text, last in sorted(texts, key=lambda x: (len(x[0]), x[1])):
             if done or len(text) < taken:
                 continue
             rest = text[taken:]
             cut = len(rest) if last else max(rest.rfind(c) for c in self.separators) + 1
-            for piece in re.split(f"[{re.escape(self.separators)}]", rest[:cut]):
-                if piece:
-                    if held is not None:
-                        out.append(child(held, False))
-                        number += 1
-                    held = piece
+            pieces += [piece for piece in re.split(f"[{re.escape(self.separators)}]", rest[:cut]) if piece]
             taken, done = taken + cut, last
-            if done:
-                out.append(child(held or "", True))
-        self.state.update((taken, number, held, done))
-        return iter(out)
+        if done:
+            pieces = pieces or [""]
+            held = None
+        else:
+            held = pieces.pop() if pieces else None
+        return (taken, number + len(pieces), held, done), pieces
 
     def close(self) -> None: ...
 
 
-def stream_split(snapshots: DataFrame, keys: list[str] | None = None, id_col: str = "claim_id", value_col: str = "claim", last_col: str = "last_claim", separators: str = "\n") -> DataFrame:
+def stream_split(snapshots: DataFrame, keys: list[str] | None = None, id_col: str = "claim_id", value_col: str = "claim", last_col: str = "last_claim", separators: str = "\n", bits: dict[str, int] | None = None) -> DataFrame:
     """snapshots(keys, text, done) to children; a text must be cleaned on the left already, as it grows. Null texts are empty.
 
-    By default answers to claims; claims to questions and questions to words (``separators`` " \\n") with other names.
+    By default answers to claims; claims to questions and questions to words (``separators`` " \\n") with other names. Texts are grouped by
+    their keys less the last ``bits`` of each; by default ``IN_BLOCK`` of the last two, if they are whole numbers, so a block has 256 texts at most. Where ids have
+    gaps, more bits make blocks that are worth their calls to the state; a block is written again whenever one of its texts grows.
     """
     keys = keys or ["request_id"]
-    schema = T.StructType([*(snapshots.schema[k] for k in keys), T.StructField(id_col, T.IntegerType()), T.StructField(value_col, T.StringType()), T.StructField(last_col, T.BooleanType())])
-    return snapshots.groupBy(*keys).transformWithState(Splitter(schema.names, separators), schema, "Append", "None")
+    own = T.StructType([snapshots.schema[k] for k in keys])
+    if bits is None:
+        bits = {k: IN_BLOCK for k in keys[-2:] if isinstance(own[k].dataType, T.IntegerType | T.LongType)}
+    block = F.to_json(F.struct(*(F.shiftright(k, bits[k]).alias(k) if k in bits else F.col(k) for k in keys)))
+    part = F.to_json(F.array(F.to_json(F.struct(*keys)), F.col("text"), F.col("done").cast("string")))
+    made = snapshots.select(block.alias("block"), part.alias("part")).groupBy("block").transformWithState(Splitter(separators), "made string", "Append", "None")
+    rows = made.select(F.inline(F.from_json("made", "array<struct<keys:string,first:int,pieces:array<string>,done:boolean>>")))
+    rows = rows.select(F.from_json("keys", own).alias("_keys"), "first", "done", F.size("pieces").alias("_n"), F.posexplode("pieces").alias("_at", "_piece"))
+    last = F.col("done") & (F.col("_at") == F.col("_n") - 1)
+    return rows.select(*(F.col("_keys")[k].alias(k) for k in keys), (F.col("first") + F.col("_at")).alias(id_col), F.col("_piece").alias(value_col), last.alias(last_col))
 
 
 class Parts:
