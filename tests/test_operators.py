@@ -449,3 +449,59 @@ def test_impacts_of_a_stored_index_join_whole_blocks(spark, tmp_path):
     assert plan.index("Generate") < plan.index("Join Inner")
     order = lambda df: [tuple(r) for r in df.orderBy(*df.columns).collect()]
     assert order(made.impacts) == order(build_index(docs).impacts)
+
+
+def test_a_shard_is_read_once_for_several_blocks_of_queries(monkeypatch):
+    """And what is found by bounds in whole steps is what adding up finds: repeated words and documents, frequent and rare terms, long queries, ties."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    terms = [f"t{k}" for k in range(60)]
+    table, held = [], np.zeros((60, 900))
+    for k in range(60):
+        docs = np.sort(rng.choice(900, max(1, 800 // (k + 1)), replace=False))
+        shares = rng.choice([0.25, 0.5, 1.0, rng.random() + 0.1], len(docs))
+        held[k, docs] = shares
+        for a in range(0, len(docs), 128):
+            table.append({"term": f"t{k}", "docs": (docs[a : a + 128] * 3).tolist(), "shares": shares[a : a + 128].tolist()})
+    table.append({"term": "t3", "docs": [3 * 899], "shares": [0.125]})  # a repeated document
+    held[3, 899] += 0.125
+    table = pa.Table.from_pylist([table[k] for k in rng.permutation(len(table))])
+    idf = np.log(60.0 / np.arange(1, 61)) + 0.1
+    sents, want = [], []
+    for b in range(3):
+        at = [np.sort(rng.choice(60, 45 if q == 7 else rng.integers(1, 9), replace=False)) for q in range(70)]
+        query, term = np.repeat(np.arange(70), [len(x) for x in at]), np.concatenate(at)
+        weight = idf[term] * rng.choice([1, 2, 3, 5], len(term), p=[0.7, 0.1, 0.1, 0.1])
+        sents.append(type("Sent", (), {"value": (pa.array([*terms, "none"]), pa.array([f"{b}-{q}" for q in range(70)]), query, term, weight)}))
+        every = np.zeros((70, 900))
+        np.add.at(every, query, weight[:, None] * held[term])
+        want.append(every)
+    for few, k in ((searching.FEW, 1), (searching.FEW, 5), (searching.FEW, 150), (0, 5), (1 << 15, 5)):
+        monkeypatch.setattr(searching, "FEW", few)
+        read = []
+        parts = searching._best_of_shard(sents, k, 2e-4, ["_q", "doc_id", "score"])(read.append(1) or x for x in table.to_batches(50))
+        found = {}
+        for row in pa.Table.from_batches(list(parts)).to_pylist():
+            found.setdefault(row["_q"], {})[row["doc_id"] // 3] = row["score"]
+        assert len(read) == len(table.to_batches(50))
+        near = 0
+        for b, q in ((b, q) for b in range(3) for q in range(70)):
+            scores, got = want[b][q], found[f"{b}-{q}"]
+            kth = max(np.sort(scores)[-k], 1e-6)
+            assert {int(d) for d in np.flatnonzero(scores >= kth - 1e-9)} <= set(got)
+            assert all(abs(scores[d] - s) < 1e-9 for d, s in got.items())
+            near += (scores >= kth - 0.1).sum()
+        assert sum(map(len, found.values())) <= 1.1 * near  # few more than asked for
+
+
+def test_several_blocks_share_a_read_of_the_index(spark, tmp_path, monkeypatch):
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *(F.concat(F.lit("w"), F.pmod(F.xxhash64("id", F.lit(j)), F.lit(40))) for j in range(12))).alias("text"))
+    made = write_index(build_index(docs), str(tmp_path / "ix"))
+    queries = spark.createDataFrame([(k, f"w{k % 40} w{3 * k % 40} w1") for k in range(60)], "query_id long, text string")
+    monkeypatch.setattr(searching, "BLOCK", 9)
+    calls, real = [], searching._best_of_shard
+    monkeypatch.setattr(searching, "_best_of_shard", lambda sents, *args: calls.append(len(sents)) or real(sents, *args))
+    got = [tuple(r) for r in search(queries, made, 4, "bag").orderBy("query_id", "rank").collect()]
+    assert sum(calls) > 12 and max(calls) <= searching.TOGETHER and len(calls) < sum(calls)
+    assert got == [tuple(r) for r in search(queries, made, None, "bag").where("rank <= 4").orderBy("query_id", "rank").collect()]
