@@ -505,3 +505,28 @@ def test_several_blocks_share_a_read_of_the_index(spark, tmp_path, monkeypatch):
     got = [tuple(r) for r in search(queries, made, 4, "bag").orderBy("query_id", "rank").collect()]
     assert sum(calls) > 12 and max(calls) <= searching.TOGETHER and len(calls) < sum(calls)
     assert got == [tuple(r) for r in search(queries, made, None, "bag").where("rank <= 4").orderBy("query_id", "rank").collect()]
+
+
+def test_a_shard_gives_few_more_than_its_part_of_many_hits(spark, tmp_path, monkeypatch):
+    """Queries whose best documents are in few shards are searched again; all find what adding up finds."""
+    import random
+
+    from verity.operators import index as indexing
+
+    monkeypatch.setattr(indexing, "SHARD", 60)
+    rng = random.Random(6)
+    share = [1 / (k + 1) for k in range(90)]
+    text = lambda n: " ".join(rng.choices([f"v{k}" for k in range(90)], share, k=n))
+    rows = spark.createDataFrame([(k, text(rng.randint(1, 30))) for k in range(900)], "doc_id long, text string")
+    places = rows.select("doc_id", "text", indexing.shard_of(indexing.shard_count(rows)))
+    # A word that one shard has alone, and often: its part of the hits is all of them.
+    rows = places.select("doc_id", F.concat_ws(" ", "text", F.when(F.col("shard") == 3, F.lit("alone alone"))).alias("text"))
+    index = write_index(build_index(rows), str(tmp_path / "ix"))
+    asked = spark.createDataFrame([(k, text(rng.randint(1, 6))) for k in range(40)] + [(50, "alone"), (51, "v1 alone v3")], "query_id long, text string")
+    monkeypatch.setattr(searching, "BLOCK", 60)
+    calls, real = [], searching._best_of_shard
+    monkeypatch.setattr(searching, "_best_of_shard", lambda sents, k, *args: calls.append(k) or real(sents, k, *args))
+    order = lambda df: [tuple(r) for r in df.orderBy("query_id", "rank").collect()]
+    got = order(search(asked, index, 40, "bag"))
+    assert min(calls) < 20 and max(calls) == 40  # at first a part, then all for some
+    assert got == order(search(asked, index, None, "bag").where("rank <= 40"))
